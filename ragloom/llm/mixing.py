@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialise
 
 #: Sub-groups of the documents of one source and size, so that no group is one task's alone.
 FANS = 256
+#: Offsets tried for each source, evenly spaced from its random one.
+TRIES = 16
 
 
 def word_count(text: Column) -> Column:
@@ -58,7 +60,8 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     Within a source each document expects target / source_size copies.  The prefix sum of these,
     in order of size, plus one offset of the source drawn from `seed`, crosses some integers in
     each document's share; it is taken once for each.  Order by size keeps the words taken within
-    about one document of the target.
+    about one document of the target; of TRIES evenly spaced offsets, the first of them random,
+    that one serves whose words come nearest, which the group counts tell.
 
     The prefix sum is a rank times a constant.  The rank is the position in a (source, size, fan)
     group, where the fan is a hash of the key, plus the rows in the groups before it: a sum over
@@ -77,11 +80,16 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
         _fraction(_named(F.col("source")), seed).alias("offset"),
     )
-    shares = groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n").join(plan, "name")
+    shares = groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, "name")
+    crossed = lambda u, lo, hi: F.floor(u + F.col("rate") * hi) - F.floor(u + F.col("rate") * lo)
+    tried = [(F.col("offset") + k / TRIES) % 1.0 for k in range(TRIES)]
+    taken = [F.sum(F.col("size") * crossed(u, F.col("before"), F.col("before") + F.col("n"))) for u in tried]
+    missed = shares.groupBy("name").agg(F.array(*(F.abs(t - F.first("target")) for t in taken)).alias("missed"))
+    plan = plan.join(missed, "name").withColumn("offset", F.element_at(F.array(*tried), F.array_position("missed", F.array_min("missed")).cast("int"))).drop("missed")
+    shares = shares.select("name", "size", "fan", "before").join(plan, "name")
     place = F.row_number().over(Window.partitionBy("name", "size", "fan").orderBy("key"))
     ranked = rows.withColumn("place", place).join(shares, ["name", "size", "fan"]).withColumn("rank", F.col("before") + F.col("place"))
-    crossed = F.floor(F.col("offset") + F.col("rate") * F.col("rank")) - F.floor(F.col("offset") + F.col("rate") * (F.col("rank") - 1))
-    return ranked.select("row", "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies"))
+    return ranked.select("row", "size", "source_size", "target", F.least(crossed(F.col("offset"), F.col("rank") - 1, F.col("rank")), F.lit(cap)).cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -93,7 +101,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
 def mix_report(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted)."""
     slim = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("words"))
-    return mix(slim, F.col("words"), **options).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mix(materialise(slim, "sizes"), F.col("words"), **options).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def oracle(text: str = "text", key: str = "doc_id", cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, table: str = "documents") -> str:
@@ -122,7 +130,16 @@ plan AS (
          (CAST(CAST('0x' || substr(md5('{seed}/' || coalesce('s' || source, 'null')), 1, 5) AS BIGINT) AS DOUBLE) + 0.5) / 1048576.0 AS u
   FROM levels),
 rated AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM plan)
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM plan),
+placed AS (
+  SELECT ranked.*, source_size, target, rate, u FROM ranked JOIN rated ON ranked.source IS NOT DISTINCT FROM rated.source),
+tried AS (
+  SELECT *, unnest(range({TRIES})) AS k FROM placed),
+missed AS (
+  SELECT source, k, abs(sum(size * (floor((u + k / {TRIES}.0) % 1.0 + rate * place) - floor((u + k / {TRIES}.0) % 1.0 + rate * (place - 1)))) - any_value(target)) AS miss
+  FROM tried GROUP BY source, k),
+best AS (
+  SELECT source, min_by(k, (miss, k)) AS k FROM missed GROUP BY source)
 SELECT doc_id, size, source_size, target,
-       size * least(CAST(floor(u + rate * place) - floor(u + rate * (place - 1)) AS BIGINT), {cap}) AS taken
-FROM ranked JOIN rated ON ranked.source IS NOT DISTINCT FROM rated.source"""
+       size * least(CAST(floor((u + k / {TRIES}.0) % 1.0 + rate * place) - floor((u + k / {TRIES}.0) % 1.0 + rate * (place - 1)) AS BIGINT), {cap}) AS taken
+FROM placed JOIN best ON placed.source IS NOT DISTINCT FROM best.source"""
