@@ -13,11 +13,12 @@ class WordEncoder:
 
     Such a tokenizer gives a text the ids of its space-free runs, one after the other, so a run is
     encoded once and then looked up; runs not yet known are encoded many at a time, parted by a
-    special token.  A tokenizer that is not of this kind encodes each text whole.  The table is
+    special token.  If probing shows that the tokenizer also ignores case and parts a comma or a
+    full stop from the letter before it, a new run is put together from its lower-case core.  A tokenizer that is not of this kind encodes each text whole.  The table is
     emptied when it holds `limit` runs, and long runs stay out of it: memory is bounded.
     """
 
-    BLOCK, LONG = 4000, 64
+    BLOCK, LONG = 1000, 64
 
     def __init__(self, path: str, limit: int = 1_200_000):
         from tokenizers import Tokenizer
@@ -27,6 +28,9 @@ class WordEncoder:
         self.mark_id, self.mark = (special[-1][0], special[-1][1].content) if special else (None, None)
         probe = ["ab  'll \u0107d\n12", "x\ty.. z", " q r!?\r\ns"]
         self.independent = self.mark is not None and all(self._ids(p) == b"".join(map(self._ids, p.split())) for p in probe)
+        cores = [("Abc", "abc"), ("ÉTÉ", "été"), ("ÀÞß", "àþß")]
+        self.folds = self.independent and all(self._ids(a) == self._ids(b) and self._ids(f"{a},") + self._ids(".") == self._ids(b) + self._ids(",") + self._ids(".") == self._ids(f"{b},  .") for a, b in cores)
+        self.tails = {c: self._ids(c) for c in ",."}
         self.limit = limit
         self.table: dict[str, bytes] = {}
 
@@ -35,12 +39,27 @@ class WordEncoder:
 
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _add(self, runs: list[str]) -> None:
+        if not self.folds:
+            return self._learn(runs)
+        cores, made = set(), []
+        for r in runs:
+            core, tail = (r[:-1], r[-1]) if r[-1] in self.tails and r[-2:-1].isalpha() else (r, "")
+            if core.isascii() or max(core) < "\u0100":  # Latin-1: any lower-casing agrees, NFC changes nothing
+                core = core.lower()
+            if core != r:
+                made.append((r, core, tail))
+            if core not in self.table:
+                cores.add(core)
+        self._learn(list(cores))
+        self.table.update((r, self.table[core] + self.tails.get(tail, b"")) for r, core, tail in made)
+
     def _learn(self, runs: list[str]) -> None:
         import numpy as np
 
         for lo in range(0, len(runs), self.BLOCK):
             block = runs[lo : lo + self.BLOCK]
-            flat = np.asarray(self.tokenizer.encode(f" {self.mark} ".join(block), add_special_tokens=False).ids, "<u4")
+            flat = np.asarray(self.tokenizer.encode_batch_fast([f" {self.mark} ".join(block)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(flat == self.mark_id)
             raw = flat.tobytes()
             self.table.update(zip(block, (raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(flat)], strict=True)), strict=True))
@@ -54,8 +73,8 @@ class WordEncoder:
             split = [t.split() if p else None for t, p in zip(part, plain, strict=True)]
             if len(self.table) > self.limit:
                 self.table.clear()
-            new = {r for runs in split if runs for r in runs if r not in self.table}
-            self._learn([r for r in new if len(r) <= self.LONG])
+            new = set().union(*filter(None, split)).difference(self.table)
+            self._add([r for r in new if len(r) <= self.LONG])
             whole = {r: self._ids(r) for r in new if len(r) > self.LONG}
             get = self.table.__getitem__ if not whole else lambda r, whole=whole: self.table[r] if r in self.table else whole[r]
             out += [b"".join(map(get, runs)) if p else self._ids(t) if t else b"" for t, p, runs in zip(part, plain, split, strict=True)]
