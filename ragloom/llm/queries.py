@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_files
+from . import mixing, packing, token_files, warc
 from .common import read
 
 
@@ -20,6 +20,13 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, captures = warc.write_archives(read(spark, sf_dir, "pages"), min_bytes=0)
+    warc.write_index(captures, f"{folder}/index")
+    records = warc.read_archives(spark, folder, warc.archives_of(captures), payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
     return token_files.token_file_digests(spark, files)
@@ -34,6 +41,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc": op4_warc,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
