@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_files, warc
+from . import labelled, mixing, packing, quality, token_files, toxicity, warc
 from .common import read
 
 
@@ -20,6 +20,11 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return labelled.report(quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels"))), threshold=0.3)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, captures = warc.write_archives(read(spark, sf_dir, "pages"), min_bytes=0)
     warc.write_index(captures, f"{folder}/index")
@@ -40,11 +45,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return labelled.report(toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))), threshold=0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_warc": op4_warc,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
