@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import labelled, mixing, packing, quality, token_files, toxicity, warc
+from . import labelled, mixing, near_vectors, packing, quality, token_files, topk, toxicity, warc
 from .common import read
 
 
@@ -32,6 +33,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
     return token_files.token_file_digests(spark, files)
@@ -50,15 +55,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.report(toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels"))), threshold=0.5)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_warc": op4_warc,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_top_k": topk.oracle(k=5, scale=256, query="q.vec_id % 50 = 0"),
     "op7_mixing": mixing.oracle(),
 }
