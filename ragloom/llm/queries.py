@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, mixing, near_vectors, packing, quality, token_files, topk, toxicity, warc
+from . import labelled, mixing, near_vectors, ngram_join, packing, quality, token_files, topk, toxicity, warc
 from .common import read
 
 
@@ -21,6 +21,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return labelled.report(quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels"))), threshold=0.3)
@@ -60,6 +64,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality": op2_quality,
     "op4_warc": op4_warc,
     "op5_exact_top_k": op5_exact_top_k,
