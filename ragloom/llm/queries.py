@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, mixing, near_vectors, ngram_join, packing, quality, token_files, topk, toxicity, warc
-from .common import read
+from . import labelled, mixing, near_vectors, ngram_join, packing, ppm, quality, token_files, topk, toxicity, warc
+from .common import crc_mod, read
 
 
 def tokenizer_file(name: str) -> str:
@@ -30,6 +30,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.report(quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels"))), threshold=0.3)
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, captures = warc.write_archives(read(spark, sf_dir, "pages"), min_bytes=0)
     warc.write_index(captures, f"{folder}/index")
@@ -66,6 +70,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality": op2_quality,
+    "op3_ppm": op3_ppm,
     "op4_warc": op4_warc,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_token_files": op6_token_files,
