@@ -22,7 +22,7 @@ from . import common
 from .components import connected_components
 
 #: Share of the hashes whose shingles are counted, and come first; above p / n with room to spare.
-SAMPLED = 0.30
+SAMPLED = 0.26
 #: A counted shingle of more documents than COMMON is heavy; at most HEAVY of them, the commonest
 #: first.  Which shingles these are is a matter of speed: any set gives the same links.
 COMMON, HEAVY = 24, 200_000
@@ -85,8 +85,9 @@ def _bound(np):
     return np.uint64(int(SAMPLED * (1 << 64)))
 
 
-def heavy_shingles(texts: DataFrame, size: int):
-    """The heavy shingles, sorted: counts over all documents, at most HEAVY of them to the driver."""
+def repeated_shingles(texts: DataFrame, size: int):
+    """(heavy, filter): the heavy shingles, sorted, and a Bloom filter of those counted at least
+    twice.  Counts are over all documents; at most HEAVY shingles come to the driver."""
     import numpy as np
 
     def count(batches):
@@ -110,12 +111,15 @@ def heavy_shingles(texts: DataFrame, size: int):
             yield counted(held)
 
     counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = common.materialise(counts.where("n > 1"), "shingles")
     top = counts.where(F.col("n") > COMMON).orderBy(F.col("n").desc(), "shingle").limit(HEAVY).select("shingle").toArrow()
-    return np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64))
+    return np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64)), _members(counts.select("shingle"), counts.count())
 
 
-def document_sets(texts: DataFrame, heavy, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), fp (of the set), and the shingles in front: free and heavy ones."""
+def document_sets(texts: DataFrame, heavy, repeated, size: int, percent: int) -> DataFrame:
+    """doc_id, n (set size), fp (of the set), and the shingles in front: free and heavy ones.
+
+    Counted shingles that no other document has are left out: nothing can be shared by them."""
 
     def run(batches):
         import hashlib
@@ -139,6 +143,8 @@ def document_sets(texts: DataFrame, heavy, size: int, percent: int) -> DataFrame
                     a = known[~hot][:p]
                     c = known[hot][: p - len(a)] if len(a) < p else known[:0]
                     b = s[cut : cut + p - len(a) - len(c)]
+                    slot, bit = _slot(np, a.view(np.int64), 8 * len(repeated))
+                    a = a[(repeated[slot] & bit) != 0]
                     sizes.append(n), free.append(np.concatenate([a, b]).view(np.int64)), common_ones.append(c.view(np.int64))
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (free, common_ones)]
@@ -212,7 +218,8 @@ def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(wanted: DataFrame, n: int):
-    """A Bloom filter of wanted doc_ids: one hash, 16 bits for each, at most 64 MB."""
+    """A Bloom filter of n longs: one hash, 16 bits for each, at most 64 MB; where it is too small it
+    lets more through."""
     import numpy as np
 
     bits = 1 << min(29, max(16, (16 * n).bit_length()))
@@ -404,8 +411,8 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     null id has no links and a null component.  Other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    heavy = heavy_shingles(texts, size)
-    sets = common.materialise(document_sets(texts, heavy, size, percent), "sets")
+    heavy, repeated = repeated_shingles(texts, size)
+    sets = common.materialise(document_sets(texts, heavy, repeated, size, percent), "sets")
     groups = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("free").alias("free"), F.first("heavy").alias("heavy"))
     reps = common.materialise(groups, "reps")
     clusters = connected_components(_candidate_edges(reps, percent)).withColumnsRenamed({"node": "rep", "component": "cluster"})
