@@ -53,7 +53,13 @@ def keep(docs: DataFrame, score_column: Callable[[DataFrame], DataFrame], condit
     """The rows of docs whose scores meet the condition, all their columns unchanged.
 
     Ids of rows that go, one small row each, are joined to the documents; texts are not
-    shuffled for the scores.  Equal ids have equal texts or are judged by any of them that goes.
-    """
-    gone = score_column(docs).where(~condition).select(F.col("doc_id").alias("gone_id"), F.lit(True).alias("gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")), "left").where(F.col("gone").isNull()).drop("gone_id", "gone")
+    shuffled for the scores.  Rows with one id go together, if any of them does."""
+    return without(docs, score_column(docs).where(~condition).select("doc_id"), id_col)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose ids are not in the one column of `ids`; a null id is like any other.
+    Rows travel as one struct, so no name of their columns can clash."""
+    gone = ids.toDF("gone_id").distinct().withColumn("gone", F.lit(True))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"))
+    return rows.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")), "left").where(F.col("gone").isNull()).select("row.*")

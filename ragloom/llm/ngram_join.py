@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
+from .labelled import without
 
 #: Share of the hashes whose shingles are counted, and come first; above p / n with room to spare.
 SAMPLED = 0.26
@@ -433,11 +434,10 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     Of rows that repeat a document's id one stays; rows with a null id all stay."""
     found = common.materialise(link_documents(docs, size, percent, id_col), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.lit(True).alias("gone")).distinct()
-    key = F.col(id_col).cast("long")
-    kept = docs.join(gone, key == F.col("gone_id"), "left").where(F.col("gone").isNull()).drop("gone_id", "gone")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
+    kept = without(docs, found.where("doc_id <> component_id").select("doc_id"), id_col)
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, key == F.col("repeated_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, key == F.col("repeated_id"), "left_anti").unionByName(once)
+    rows = kept.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    once = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
+    return without(kept, repeated, id_col).unionByName(once.select("row.*"))

@@ -61,6 +61,8 @@ class _Opened:
         """(columns - 1, len(keys)): the values of each key, 0 where it is absent."""
         np = self.np
         out = np.zeros((self.columns - 1, len(keys)), np.int64)
+        if not self.maps:
+            return out
         order = np.argsort(keys)
         ranked = keys[order]
         cuts = np.searchsorted(ranked, self.first)
