@@ -68,7 +68,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24
                         part = same.slice(lo, 1000)
                         keys = hashes(np, _unit(np, part.column(0)), **width_of)
                         for t in range(tables):
-                            out = {"tab": pa.array(np.full(len(keys), t, np.int32)), "bucket": pa.array(keys[:, t].astype(np.int64))}
+                            out = {"tab": pa.array(np.full(len(keys), t, np.int32)), "bucket": pa.array(keys[:, t].astype(np.int64) | dim << 32)}
                             if full:
                                 out |= {"rep": part.column(1), "copies": part.column(2), "sig": pa.array([k.tobytes() for k in keys], pa.binary()), "e": part.column(0)}
                             yield pa.RecordBatch.from_pydict(out)
@@ -81,7 +81,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24
     parts = F.coalesce("parts", F.lit(1))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     placed = placed.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "other")
-    found = placed.groupBy("tab", "bucket", "lo", "hi").applyInArrow(_compare(threshold), LINK_SCHEMA)
+    run = ["tab", "bucket", "lo", "hi"]
+    dealt = placed.repartition(*run).sortWithinPartitions(*run).select(*run, "own", "rep", "copies", "sig", "e")
+    found = dealt.mapInArrow(_compare(threshold), LINK_SCHEMA)
     found = found.groupBy("rep").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots"))  # one root a table at most, and part
     found = materialise(found, "links")
     links = found.select("rep", "links")
@@ -94,41 +96,88 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def _compare(threshold: float):
-    def run(group):
+def _compare(threshold: float, small: int = 64):
+    """Compares the vectors of each run of equal (tab, bucket, lo, hi) in sorted rows."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            if not table.num_rows:
+                continue
+            keys = np.column_stack([table.column(k).to_numpy() for k in range(4)])
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            yield from links(table.slice(0, starts[-1]), starts[:-1])
+            rest = table.slice(starts[-1])  # may go on in the next batch
+        if rest is not None:
+            yield from links(rest, np.zeros(1, np.int64))
+
+    def links(table, starts):
         import numpy as np
         import pyarrow as pa
 
-        names = ["rep", "links", "root"]
-        empty = pa.table({n: pa.array([], pa.int64()) for n in names})
-        if group.num_rows < 2:
-            return empty
-        group = group.combine_chunks()
-        t, lo, hi = (group.column(c)[0].as_py() for c in ("tab", "lo", "hi"))
-        rep, copies, own = (group.column(c).to_numpy() for c in ("rep", "copies", "own"))
-        unit = _unit(np, group.column("e").combine_chunks())
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(rep), -1)[:, :t]
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        sizes = np.diff(np.r_[starts, table.num_rows])
+        if not (sizes > 1).any():
+            return
+        used = np.repeat(sizes > 1, sizes)  # vectors alone in their buckets go
+        table = table.filter(pa.array(used)).combine_chunks()
+        sizes = sizes[sizes > 1]
+        starts = np.cumsum(sizes) - sizes
+        tab, lo, hi, own, rep, copies = (table.column(c).to_numpy() for c in ("tab", "lo", "hi", "own", "rep", "copies"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(rep), -1)
+        unit, e = {}, table.column("e").combine_chunks()
+        lengths = np.diff(e.offsets.to_numpy())
+        slot = np.zeros(len(rep), np.int64)
+        for dim in np.unique(lengths):
+            rows = np.flatnonzero(lengths == dim)
+            unit[dim], slot[rows] = _unit(np, e.take(pa.array(rows))), np.arange(len(rows))
         links, parent = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        order = np.argsort(rep)  # smaller ids are roots
+        order = np.lexsort((rep, np.repeat(starts, sizes)))  # within a run smaller ids are roots
         place = np.empty(len(rep), np.int64)
         place[order] = np.arange(len(rep))
-        for at in range(0, len(left), 256):
-            rows = left[at : at + 256]
-            i, j = np.nonzero(unit[rows] @ unit[right].T >= threshold)
-            i, j = rows[i], right[j]
-            once = place[i] < place[j] if lo == hi else np.ones(len(i), bool)
-            i, j = i[once], j[once]
+
+        def found(i, j):
+            """Pairs of row numbers at or above the threshold; those of earlier tables don't count."""
+            if not len(i):
+                return
             new = np.ones(len(i), bool)
-            for s in range(0, len(i) if t else 0, 1 << 16):
-                new[s : s + (1 << 16)] = ~(sig[i[s : s + (1 << 16)]] == sig[j[s : s + (1 << 16)]]).any(axis=1)
+            for s in range(0, len(i), 1 << 15):
+                a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
+                new[s : s + (1 << 15)] = ~((sig[a] == sig[b]) & (np.arange(sig.shape[1]) < tab[a][:, None])).any(axis=1)
             i, j = i[new], j[new]
-            links += np.bincount(i, copies[j], len(rep)).astype(np.int64) + np.bincount(j, copies[i], len(rep)).astype(np.int64)
+            links[:] += np.bincount(i, copies[j], len(rep)).astype(np.int64) + np.bincount(j, copies[i], len(rep)).astype(np.int64)
             join(np, parent, place[i], place[j])
+
+        plain = (sizes <= small) & (lo[starts] == hi[starts])
+        for size in np.unique(sizes[plain]).tolist():
+            for dim, vectors in unit.items():  # a bucket has vectors of one length
+                at = starts[plain & (sizes == size) & (lengths[starts] == dim)]
+                step = max(1, 400_000 // (size * size))
+                for s in range(0, len(at), step):
+                    rows = at[s : s + step, None] + np.arange(size)
+                    v = vectors[slot[rows]]
+                    r, i, j = np.nonzero(v @ v.transpose(0, 2, 1) >= threshold)
+                    once = i < j
+                    found(rows[r[once], i[once]], rows[r[once], j[once]])
+        for k in np.flatnonzero(~plain):
+            rows = np.arange(starts[k], starts[k] + sizes[k])
+            one = lo[rows[0]] == hi[rows[0]]
+            left, right = (rows, rows) if one else (rows[own[rows] == lo[rows[0]]], rows[own[rows] == hi[rows[0]]])
+            vectors = unit[lengths[rows[0]]]
+            for s in range(0, len(left), 256):
+                part = left[s : s + 256]
+                i, j = np.nonzero(vectors[slot[part]] @ vectors[slot[right]].T >= threshold)
+                i, j = part[i], right[j]
+                keep = i < j if one else np.ones(len(i), bool)
+                found(i[keep], j[keep])
         linked = np.flatnonzero(links)
-        if not len(linked):
-            return empty
-        return pa.table({"rep": rep[linked], "links": links[linked], "root": rep[order[parent[place[linked]]]]})
+        if len(linked):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(links[linked]), pa.array(rep[order[parent[place[linked]]]])], ["rep", "links", "root"])
 
     return run
 
