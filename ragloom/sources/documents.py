@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import url_id
+from .index_store import Folder
 
 _EMPTY_MAP = "cast(map() as map<string,string>)"
 
@@ -24,8 +25,8 @@ def _stem() -> Column:
 
 
 def _whole_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("wholetext", "true")
-    return reader.text(path).select("value", _stem().alias("stem"), F.url_decode(_file_name()).alias("file"))
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
+    return reader.text(path, wholetext=True).select("value", _stem().alias("stem"), F.url_decode(_file_name()).alias("file"))
 
 
 def _json_items(files: DataFrame) -> DataFrame:
@@ -53,7 +54,8 @@ def documents_from_dir(spark: SparkSession, path: str) -> DataFrame:
     for suffix in (".txt", ".md"):
         texts = _whole_files(spark, path, suffix)
         found = found.unionByName(texts.select(F.col("stem").alias("doc_id"), F.col("value").alias("content"), F.col("file").alias("title"), F.expr(_EMPTY_MAP).alias("metadata")))
-    return found
+    empty = [(n.rpartition(".")[0], "", n, {}) for n in Folder(spark, path).empty_files(".txt", ".md")]
+    return found.unionByName(spark.createDataFrame(empty, schemas.DOCUMENT)) if empty else found
 
 
 def capped(samples: DataFrame, most: int | None, order: str = "idx") -> DataFrame:

@@ -32,11 +32,13 @@ class Folder:
     def read_json(self, name: str) -> dict | None:
         if not self.has(name):
             return None
-        rows = self.spark.read.option("wholetext", "true").text(f"{self.path}/{name}").collect()  # one small file
+        stream = self._fs.open(self._at(name))
         try:
-            return json.loads(rows[0].value)
-        except (ValueError, IndexError):
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
             return None
+        finally:
+            stream.close()
 
     def write_json(self, name: str, data: dict) -> None:
         out = self._fs.create(self._at(name), True)
@@ -45,6 +47,15 @@ class Folder:
         finally:
             out.close()
 
+    def empty_files(self, *suffixes: str) -> list[str]:
+        """Names of files of no bytes below the folder, which Spark's readers pass over."""
+        found, files = [], self._fs.listFiles(self._root, True)
+        while files.hasNext():
+            f = files.next()
+            if f.getLen() == 0 and f.getPath().getName().endswith(suffixes):
+                found.append(f.getPath().getName())
+        return sorted(found)
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
