@@ -13,7 +13,8 @@ from .functions import prompts, text, vectors
 from .operators import chunking, communities, evaluation, graph, knn, retrieval, summaries
 from .providers import HashedEmbedder, OfflineChat
 from .sources import documents as sources
-from .sources import index_store
+from .plans import indexing
+from .sources import index_store, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -554,3 +555,107 @@ def fingerprints(t):
 def llm_json_parse(t):
     v = F.try_parse_json("props")
     return t("events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"))
+
+
+# --- the rest: samples, stores, reports, look-ups -------------------------------------------------
+
+
+@query("SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn LIMIT 100")
+def sample_cap(t):
+    rows = t("conversations").withColumn("idx", F.struct("conv_id", "turn"))
+    return sources.capped(rows, 100).select("conv_id", "turn", "text")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE WHEN lang = 'en' THEN source ELSE text END AS content FROM documents UNION ALL SELECT 'p' || page_id, url FROM pages")
+def index_upsert(t):
+    """All documents are stored; then the English ones come again with other content, and pages."""
+    d = t("documents")
+    store = index_store.IndexStore(d.sparkSession, communities.fresh_path(d.sparkSession, "index"))
+    store.upsert("chunks", d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
+    new = d.where("lang = 'en'").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("content"))
+    store.upsert("chunks", new.union(t("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")), "url")), "chunk_id")
+    return store.read("chunks").select("chunk_id", "content")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS query_id, lang AS query_type, CASE WHEN quality = 1 THEN 'true' ELSE 'false' END AS is_correct, source AS query, lang AS ground_truth, source AS prediction FROM labels JOIN documents USING (doc_id)")
+def predictions_csv(t):
+    """Predictions written as CSV and read again."""
+    rows = t("labels").join(t("documents"), "doc_id").select(F.col("doc_id").cast("string").alias("query_id"), F.col("lang").alias("query_type"), (F.col("quality") == 1).alias("is_correct"), F.col("source").alias("query"), F.col("lang").alias("ground_truth"), F.col("source").alias("prediction"))
+    path = communities.fresh_path(rows.sparkSession, "report")
+    reports.save_predictions_csv(rows, path)
+    return rows.sparkSession.read.csv(path, header=True, quote='"', escape='"')
+
+
+@query(f"WITH h AS ({_knn_sql('q.vec_id % 100 = 0')}) SELECT query_id, rank, h.vec_id AS vec_id, score, text AS content FROM h LEFT JOIN documents ON doc_id = h.vec_id")
+def hits_with_content(t):
+    hits = _knn(t, F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "chunk_id")
+    return knn.with_content(hits, t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))).withColumnRenamed("chunk_id", "vec_id").select("query_id", "rank", "vec_id", "score", "content")
+
+
+def _chain(t) -> DataFrame:
+    """Relations of each vector's number with the next; the document of that number tells of it."""
+    d = t("documents")
+    name = lambda k: k.cast("string")
+    return d.select(F.array("doc_id").alias("ord"), name(F.col("doc_id")).alias("source"), name(F.col("doc_id") + 1).alias("target"), F.lit("NEXT").alias("relation"), F.lit("").alias("description"), name(F.col("doc_id")).alias("source_chunk_id"))
+
+
+@query(f"""WITH h AS ({_knn_sql('q.vec_id % 100 = 0')}), c AS (SELECT query_id, d.doc_id, max(score) AS score FROM h JOIN documents d ON h.vec_id = d.doc_id OR h.vec_id = d.doc_id + 1 GROUP BY ALL)
+SELECT query_id, CAST(rank - 1 AS INTEGER) AS rank, chunk_id, score FROM (SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS rank FROM c) WHERE rank <= 10""")
+def graph_chunk_hits(t):
+    e = t("embeddings")
+    # Ties of the nearest follow numbers; keys are texts, padded so that their order is the same.
+    pad = lambda c: F.lpad(c.cast("string"), 12, "0")
+    rel = _chain(t).withColumns({"source": pad(F.col("source")), "target": pad(F.col("target"))})
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    chunks = t("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    return retrieval.graph_hits(queries, e.select(pad(F.col("vec_id")).alias("node_key"), "embedding"), graph.merge_relations(rel), chunks, 10).select("query_id", "rank", "chunk_id", "score")
+
+
+@query("SELECT lower(c_name) AS key, CASE WHEN c_mktsegment <> '' THEN c_mktsegment ELSE c_name END AS shown FROM customer")
+def entity_text(t):
+    return indexing.entity_text(graph.merge_entities(_people(t))).select(F.col("node_key").alias("key"), "shown")
+
+
+@query(f"WITH {_PLACES} SELECT node_key, [nation] AS community_ids FROM places WHERE nation IS NOT NULL".replace("[nation]", "CAST(nation AS VARCHAR)"))
+def entity_communities(t):
+    return indexing.entity_to_communities(_by_nation(t)).select("node_key", F.array_join(F.transform("community_ids", lambda c: c.cast("string")), ",").alias("community_ids"))
+
+
+@query(r"SELECT count(*) AS chunks, count(*) FILTER (NOT regexp_matches(text, '(^|[^\p{L}])\p{Lu}\p{L}+')) AS empty, 0::BIGINT AS failed FROM documents")
+def extraction_counts(t):
+    rows = t("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("ord"), F.col("text").alias("content"))
+    return graph.extraction_counts(graph.extract(rows, OfflineChat()))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_EXTRACT_HEAD = prompts.EXTRACT_TEMPLATE.replace("{limit}", "10").partition("{text}")[0]
+
+
+@query(f"SELECT item_id, {_quoted(_EXTRACT_HEAD)} || text AS prompt FROM benchmark")
+def extraction_prompts(t):
+    return t("benchmark").select("item_id", prompts.extraction_prompt(F.col("text")).alias("prompt"))
+
+
+_SHOTS = "\n\n".join(f"Example:\nContext:\n{c}\n\nQuestion: {q}\n\nAnswer: {a}\n\n---" for c, q, a in prompts.EXAMPLES)
+
+
+@query(f"SELECT item_id, {_quoted(_SHOTS + chr(10) + chr(10) + 'Now answer the question:' + chr(10) + 'Context:' + chr(10))} || text || {_quoted(chr(10) + chr(10) + 'Question: ')} || item_id || {_quoted(chr(10) + chr(10) + 'Answer:')} AS prompt FROM benchmark")
+def few_shot_prompts(t):
+    return t("benchmark").select("item_id", prompts.few_shot_prompt(F.col("text"), F.col("item_id").cast("string")).alias("prompt"))
+
+
+@query(f"SELECT q.vec_id AS vec_id, {_COSINE} AS cosine FROM {_VECTORS} q JOIN {_VECTORS} c ON c.vec_id = q.vec_id + 1")
+def cosine_pairs(t):
+    e = t("embeddings").select("vec_id", "embedding")
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    return pairs.select("vec_id", (F.round(vectors.cosine(F.col("embedding"), F.col("next")), 6) + 0.0).alias("cosine"))
+
+
+@query(f"WITH {_GEOGRAPHY} SELECT src_key, dst_key, CAST(n AS INTEGER) AS n_relations FROM edges WHERE src_key = (SELECT min(src_key) FROM edges) AND dst_key = (SELECT min(dst_key) FROM edges WHERE src_key = (SELECT min(src_key) FROM edges))")
+def edge_lookup(t):
+    edges = graph.merge_relations(_geography(t))
+    first = edges.agg(F.min(F.struct("src_key", "dst_key")).alias("f")).first().f
+    return graph.edge_between(edges, first.dst_key, first.src_key).select("src_key", "dst_key", F.size("relations").alias("n_relations"))
