@@ -72,6 +72,37 @@ def crc_of(key: object) -> int:
     return zlib.crc32(b"" if key is None else str(key).encode())
 
 
+def each_text(batches: Iterable, column: int = 0, rows: int = 500) -> Iterator[str | None]:
+    """The texts of Arrow batches, few of them at a time as Python's."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield from batch.column(column).slice(lo, rows).to_pylist()
+
+
+def tidy(run):
+    """A function of Arrow batches that gives its memory back when a task is done: workers wait for
+    their next task beside a JVM that may need the room."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 # --- files in the shared folder, from Python on any machine -------------------------------------
 
 

@@ -11,9 +11,9 @@ from .common import materialise
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge to another; component is its smallest node.
 
-    Each round joins every node's edges to the smallest of its neighbours: a hub's edges meet one
-    row, in a join whose large side can be split.  Edges per round are written to the shared
-    folder; the driver sees two sums a round.
+    Each round joins every node's edges to the smallest of its neighbours.  Those are written
+    first, so that the join has two plain inputs and a hub's edges, which all meet one row, can be
+    split over many tasks.  Edges per round are written too; the driver sees three numbers a round.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     pairs = materialise(pairs, "edges")
@@ -38,9 +38,9 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     neighbour below u, and u, get the smallest of those below u."""
     if large:
         sided = pairs.union(pairs.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = sided.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialise(sided.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         out = sided.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = pairs.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
     return out.where("u > v").distinct()

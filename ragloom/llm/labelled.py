@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import crc_mod
 
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -41,7 +42,7 @@ def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[list[str | None]
                 scores = np.clip(np.asarray(score(part.column(1).to_pylist()), np.float64), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, score double")
 
 
 def report(scored: DataFrame, threshold: float) -> DataFrame:

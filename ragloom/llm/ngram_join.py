@@ -39,7 +39,7 @@ SETS_SCHEMA = "doc_id long, n long, fp binary, free array<long>, heavy array<lon
 class _Words(dict):
     """64-bit hash of each word; bounded."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
@@ -100,18 +100,17 @@ def repeated_shingles(texts: DataFrame, size: int):
             keys, counts = np.unique(np.concatenate(parts), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["shingle", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingles(np, table, text, size)
-                held.append(s[: np.searchsorted(s, _bound(np))])
-                n += len(held[-1])
-                if n > 2_000_000:
-                    yield counted(held)
-                    held, n = [], 0
+        for text in common.each_text(batches):
+            s = shingles(np, table, text, size)
+            held.append(s[: np.searchsorted(s, _bound(np))].copy())
+            n += len(held[-1])
+            if n > 2_000_000:
+                yield counted(held)
+                held, n = [], 0
         if held:
             yield counted(held)
 
-    counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(common.tidy(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     counts = common.materialise(counts.where("n > 1"), "shingles")
     top = counts.where(F.col("n") > COMMON).orderBy(F.col("n").desc(), "shingle").limit(HEAVY).select("shingle").toArrow()
     return np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64)), _members(counts.select("shingle"), counts.count())
@@ -151,7 +150,7 @@ def document_sets(texts: DataFrame, heavy, repeated, size: int, percent: int) ->
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (free, common_ones)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *lists], names)
 
-    return texts.mapInArrow(run, SETS_SCHEMA)
+    return texts.mapInArrow(common.tidy(run), SETS_SCHEMA)
 
 
 def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
@@ -210,7 +209,7 @@ def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield from emit(*rest)
 
-    found = dealt.mapInArrow(pairs, "a long, b long, need long")
+    found = dealt.mapInArrow(common.tidy(pairs), "a long, b long, need long")
     few = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
     heavy = reps.select("rep", F.explode("heavy").alias("key"))
     # A row for each heavy shingle: at most HEAVY, so it can go to every task.
@@ -241,7 +240,7 @@ def _members(wanted: DataFrame, n: int):
         return pa.table({"at": part.column("at").slice(0, 1), "bytes": pa.array([whole.tobytes()], pa.binary())})
 
     out = np.zeros(bits // 8, np.uint8)
-    for row in wanted.mapInArrow(mark, "at int, bytes binary").groupBy("at").applyInArrow(merge, "at int, bytes binary").collect():
+    for row in wanted.mapInArrow(common.tidy(mark), "at int, bytes binary").groupBy("at").applyInArrow(merge, "at int, bytes binary").collect():
         out[row.at * 1024 : (row.at + 1) * 1024] = np.frombuffer(bytes(row.bytes), np.uint8)
     return out
 
@@ -270,7 +269,7 @@ def _fetch_sets(texts: DataFrame, wanted, size: int) -> DataFrame:
                 sets = [shingles(np, table, t, size).tobytes() for t in some.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "fp", "items"])
 
-    return texts.mapInArrow(run, "doc_id long, fp binary, items binary")
+    return texts.mapInArrow(common.tidy(run), "doc_id long, fp binary, items binary")
 
 
 # --- the signature tree ---------------------------------------------------------------------------
@@ -396,7 +395,7 @@ def _join_clusters(placed: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield join()
 
-    return dealt.select("cluster", "lo", "hi", "rep", "own", "items").mapInArrow(run, "a long, b long")
+    return dealt.select("cluster", "lo", "hi", "rep", "own", "items").mapInArrow(common.tidy(run), "a long, b long")
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,3 +440,24 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     rows = kept.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
     once = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
     return without(kept, repeated, id_col).unionByName(once.select("row.*"))
+
+
+def oracle(size: int, percent: int, table: str = "documents") -> str:
+    """link_documents in DuckDB's SQL, by all shared shingles."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size} - 1], ' '))) END AS s FROM w),
+e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(least.b, s.doc_id)) AS component_id FROM s LEFT JOIN least ON least.a = s.doc_id"""

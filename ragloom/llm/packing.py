@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
-    return rows.mapInArrow(cut, PIECE_SCHEMA + ", ids binary" * with_ids)
+    return rows.mapInArrow(common.tidy(cut), PIECE_SCHEMA + ", ids binary" * with_ids)
 
 
 def pack(cut: DataFrame, capacity: int = 2048, group_rows: int = 32_768) -> DataFrame:
@@ -70,7 +70,7 @@ def pack(cut: DataFrame, capacity: int = 2048, group_rows: int = 32_768) -> Data
         table = table.append_column("sequence_id", pa.array(bins + base)).append_column("offset", pa.array(offsets))
         yield from table.to_batches(10_000)
 
-    return cut.repartition(groups).mapInArrow(place, schema)
+    return cut.repartition(groups).mapInArrow(common.tidy(place), schema)
 
 
 def fill(lengths, capacity: int = 2048):

@@ -112,7 +112,7 @@ def train(texts: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
         held = []
-        texts = (b" ".join(tokens(t)) for b in batches for t in b.column(0).to_pylist())
+        texts = (b" ".join(tokens(t)) for t in common.each_text(batches))
         for block in _blocks(np, texts):
             held.append(np.unique(_codes(np, block)[0], return_counts=True))
             if sum(len(h[0]) for h in held) > 3_000_000:
@@ -122,7 +122,7 @@ def train(texts: DataFrame) -> Model:
         if held:
             yield from out(*merged(held))
 
-    counted = texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(common.tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     nodes = common.materialise(counted, "nodes")
     level, code = F.shiftright("key", LEVEL_SHIFT), F.col("key").bitwiseAND(F.lit((1 << LEVEL_SHIFT) - 1))
     shorter = F.expr(f"key & ((1L << cast({SYMBOL_BITS} * (key >> {LEVEL_SHIFT}) as int)) - 1L) | (((key >> {LEVEL_SHIFT}) - 1L) << {LEVEL_SHIFT})")
@@ -217,17 +217,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens(text))
-                seen[b"\n"] += 1
-                if len(seen) > 500_000:
-                    yield out()
-                    seen = Counter()
+        for text in common.each_text(batches):
+            seen.update(tokens(text))
+            seen[b"\n"] += 1
+            if len(seen) > 500_000:
+                yield out()
+                seen = Counter()
         if seen:
             yield out()
 
-    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(common.tidy(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 SCORED_SCHEMA = "row long, doc_id long, n_tokens long, known long, logs double, score double, tail array<struct<word: binary, times: long>>"
@@ -282,7 +281,7 @@ def score_documents(docs: DataFrame, is_training: Column, id_col: str = "doc_id"
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays(columns, [*names, "tail"])
 
-    scored = common.materialise(rows.mapInArrow(score, SCORED_SCHEMA), "scored")
+    scored = common.materialise(rows.mapInArrow(common.tidy(score), SCORED_SCHEMA), "scored")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times").join(counts, "word")
     tail = tail.groupBy("row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_logs"))
     out = scored.drop("tail").join(tail, "row", "left")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled
+from . import common, labelled
 
 BITS, DIM, NONZERO, REACH, BLOCK = 15, 32, 4, 2, 1024
 
@@ -22,7 +22,7 @@ BITS, DIM, NONZERO, REACH, BLOCK = 15, 32, 4, 2, 1024
 class _Buckets(dict):
     """Bucket of each word; bounded."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 500_000):
         super().__init__()
         self.limit = limit
 
@@ -52,8 +52,8 @@ def index_vectors(np, seed: int = 5):
 def context_vectors(docs: DataFrame, text_col: str = "text", seed: int = 5):
     """(buckets, DIM): sums of the neighbours' index vectors over all documents, and word counts.
 
-    Each task sums into one array of fixed size and sends its nonzero blocks; blocks are added up
-    on the executors.  What comes to the driver is one array of that size, whatever the input.
+    Each task sums whole numbers into one array of fixed size and sends its nonzero blocks; blocks
+    are added up on the executors, exactly, so their order doesn't matter.  What comes to the driver is one array of that size, whatever the input.
     """
     import numpy as np
 
@@ -73,19 +73,18 @@ def context_vectors(docs: DataFrame, text_col: str = "text", seed: int = 5):
                 total[:, d] += np.bincount(ids, near[:, d], 1 << BITS)
             total[:, DIM] += np.bincount(ids, minlength=1 << BITS)
 
-        for batch in batches:
-            held, n = [], 0
-            for text in batch.column(0).to_pylist():
-                ids = table.of(np, text)
-                for lo in range(0, len(ids), 1 << 18):  # neighbours across this cut aren't counted
-                    held.append(ids[lo : lo + (1 << 18)])
-                    n += len(held[-1])
-                    if n >= 1 << 18:
-                        add(np.concatenate(held))
-                        held, n = [], 0
-            if n:
-                add(np.concatenate(held))
-        blocks = [(b, total[b * BLOCK : (b + 1) * BLOCK].astype("<f4")) for b in range((1 << BITS) // BLOCK)]
+        held, n = [], 0
+        for text in common.each_text(batches):
+            ids = table.of(np, text)
+            for lo in range(0, len(ids), 1 << 18):  # neighbours across this cut aren't counted
+                held.append(ids[lo : lo + (1 << 18)])
+                n += len(held[-1])
+                if n >= 1 << 18:
+                    add(np.concatenate(held))
+                    held, n = [], 0
+        if n:
+            add(np.concatenate(held))
+        blocks = [(b, total[b * BLOCK : (b + 1) * BLOCK]) for b in range((1 << BITS) // BLOCK)]
         blocks = [(b, x.tobytes()) for b, x in blocks if x[:, DIM].any()]
         if blocks:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["block", "sums"])
@@ -95,13 +94,13 @@ def context_vectors(docs: DataFrame, text_col: str = "text", seed: int = 5):
 
         total = np.zeros((BLOCK, DIM + 1))
         for raw in pieces.column("sums"):
-            total += np.frombuffer(raw.as_buffer(), "<f4").reshape(BLOCK, DIM + 1)
-        return pa.table({"block": pieces.column("block").slice(0, 1), "sums": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+            total += np.frombuffer(raw.as_buffer(), "<f8").reshape(BLOCK, DIM + 1)
+        return pa.table({"block": pieces.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(sums, "block int, sums binary")
-    out = np.zeros((1 << BITS, DIM + 1), np.float32)
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(common.tidy(sums), "block int, sums binary")
+    out = np.zeros((1 << BITS, DIM + 1))
     for row in parts.groupBy("block").applyInArrow(merge, "block int, sums binary").collect():  # at most 2**BITS / BLOCK rows
-        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(bytes(row.sums), "<f4").reshape(BLOCK, DIM + 1)
+        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(bytes(row.sums), "<f8").reshape(BLOCK, DIM + 1)
     return out[:, :DIM], out[:, DIM]
 
 
@@ -169,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
             x = [pooled(np, table.of(np, t), vectors).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
-    rows = labelled.training_rows(docs, labels, label, max_rows).mapInArrow(pool, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
+    rows = labelled.training_rows(docs, labels, label, max_rows).mapInArrow(common.tidy(pool), "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
     y = (np.asarray(rows["label"].to_numpy()) > 0).astype(np.float64)
     n = 2 * DIM + 1
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, n).astype(np.float64)

@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "documents": pa.array([len(column)], pa.int64()), "tokens": pa.array([int(offsets[-1])], pa.int64())})
 
     # One row a shard: as many as there are tasks, whatever the rows.
-    done = sorted({tuple(r) for r in dealt.mapInArrow(write, SHARD_SCHEMA).collect()})
+    done = sorted({tuple(r) for r in dealt.mapInArrow(common.tidy(write), SHARD_SCHEMA).collect()})
     shards, base = [], 0
     for k, documents, tokens in done:
         shards.append((k, documents, tokens, base))
@@ -128,4 +128,4 @@ def _scan(spark: SparkSession, files: TokenFiles, schema: str, of) -> DataFrame:
                     last = pa.array([v.tobytes() for v in values], pa.binary()) if names[-1] == "ids" else pa.array(values, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi].astype(np.int64), mask=null), pa.array(o[:-1] + bases[k]), pa.array(np.diff(o)), last], names)
 
-    return common.one_task_each(spark, bases).mapInArrow(scan, schema)
+    return common.one_task_each(spark, bases).mapInArrow(common.tidy(scan), schema)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled
+from . import common, labelled
 
 BITS = 20
 _EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "¡¿«»„“”’‘…–—"
@@ -100,11 +100,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         at = np.flatnonzero(seen.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], ["term", "pos", "neg"])
 
-    counts = rows.select("text", "label").mapInArrow(count, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = counts.crossJoin(F.broadcast(counts.where(F.col("term") == 1 << BITS).select(F.col("pos").alias("all_pos"), F.col("neg").alias("all_neg"))))  # one row
-    share = (F.col("pos") + F.col("neg")) / (F.col("all_pos") + F.col("all_neg"))
-    z = F.abs(F.col("pos") / F.col("all_pos") - F.col("neg") / F.col("all_neg")) / F.sqrt(share * (1 - share) * (1 / F.col("all_pos") + 1 / F.col("all_neg")))
-    ranked = ranked.where((F.col("term") < 1 << BITS) & (F.col("pos") + F.col("neg") >= 3) & (F.col("all_pos") > 0) & (F.col("all_neg") > 0) & (share < 1))
+    counts = rows.select("text", "label").mapInArrow(common.tidy(count), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = common.materialise(counts, "terms")
+    everything = counts.where(F.col("term") == 1 << BITS).first()  # the end of the table counts the rows
+    all_pos, all_neg = (everything.pos, everything.neg) if everything else (0, 0)
+    share = (F.col("pos") + F.col("neg")) / F.lit(max(all_pos + all_neg, 1))
+    z = F.abs(F.col("pos") / max(all_pos, 1) - F.col("neg") / max(all_neg, 1)) / F.sqrt(share * (1 - share))
+    ranked = counts.where((F.col("term") < 1 << BITS) & (F.col("pos") + F.col("neg") >= 3) & F.lit(all_pos * all_neg > 0) & (share < 1))
     chosen = [r.term for r in ranked.orderBy(z.desc(), "term").limit(features).select("term").collect()]
     positions = {t: i for i, t in enumerate(chosen)}
 
@@ -116,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
             found = [sorted(table.document(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "at"])
 
-    data = rows.mapInArrow(encode, "doc_id long, label int, at array<int>").toArrow().sort_by("doc_id")
+    data = rows.mapInArrow(common.tidy(encode), "doc_id long, label int, at array<int>").toArrow().sort_by("doc_id")
     y = (np.asarray(data["label"].to_numpy()) > 0).astype(np.float32)
     if not positions or not len(y):
         return Model({}, float(np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0))), np.zeros(0), np.zeros((0, factors)))
