@@ -196,3 +196,24 @@ def join(np, parent, i, j) -> None:
             if (up == parent).all():
                 break
             parent[:] = up
+
+
+def oracle(threshold: float, table: str = "embeddings") -> str:
+    """near_duplicates in DuckDB's SQL, by all pairs: what full recall gives."""
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM {table}
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= {threshold}),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a),
+found AS (
+  SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id
+  FROM {table} LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found"""

@@ -81,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.oracle(size=4, percent=85),
+    "op4_warc": warc.oracle(min_bytes=0),
     "op5_exact_top_k": topk.oracle(k=5, scale=256, query="q.vec_id % 50 = 0"),
     "op7_mixing": mixing.oracle(),
+    "op10_embedding_near_dedup": near_vectors.oracle(threshold=0.9),
 }

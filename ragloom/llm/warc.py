@@ -133,6 +133,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
                 out = []
 
+    # In order, so that a task that runs again writes the same bytes.
+    joined = joined.sortWithinPartitions("page_id", "digest", "url")
     return folder, common.materialise(joined.select("page_id", "url", "payload", "refers_to").mapInArrow(write, WRITTEN_SCHEMA), "captures")
 
 
@@ -246,3 +248,16 @@ def fetch(folder: str, capture: dict) -> tuple[dict[str, str], bytes]:
     with common.reading(f"{folder}/{capture['archive']:06d}.warc.gz") as f:
         f.seek(capture["at"])
         return parse(gzip.decompress(f.read(capture["length"])))
+
+
+def oracle(min_bytes: int = 0, table: str = "pages") -> str:
+    """What the archives hold, in DuckDB's SQL; base32 takes five hexadecimal digits at a time."""
+    letters = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {15 - 5 * k}) & 31 AS INTEGER) + 1, 1)" for g in range(8) for k in range(4))
+    return f"""
+WITH hashed AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM {table}),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= {min_bytes} THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM hashed)
+SELECT page_id, payload_bytes, ''{letters} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM firsts"""
