@@ -105,7 +105,8 @@ def merge_entities(rows: DataFrame) -> DataFrame:
 
 
 def merge_relations(rows: DataFrame) -> DataFrame:
-    """One edge for each unordered pair of keys; every relation is kept, with its direction."""
+    """One edge for each unordered pair of keys; every relation is kept, with its direction.  All
+    relations of one pair are one row, as an edge is defined: that bounds a pair's relations."""
     keyed = rows.withColumns({"a": node_key(F.col("source")), "b": node_key(F.col("target"))}).where("a <> '' AND b <> ''")
     ends = keyed.withColumns({"src_key": F.least("a", "b"), "dst_key": F.greatest("a", "b")})
     relation = F.struct("ord", "source", "target", "relation", "description", "source_chunk_id")

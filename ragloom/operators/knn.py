@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..providers import Embedder
+from .communities import written
 
 #: Queries that go to every task at once: at most so many rows of one vector each.
 QUERY_BLOCK = 4096
@@ -45,12 +46,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk
     slim = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     id_type, query_type = slim.schema["id"].dataType.simpleString(), asked.schema[query_id].dataType.simpleString()
     total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    if blocks > 1:
-        asked = asked.withColumn("block", F.ntile(blocks).over(Window.orderBy(query_id)))
+    blocks = 1
+    if total > QUERY_BLOCK:
+        asked, blocks = _in_blocks(asked, total)
     found = None
     for b in range(blocks):
-        rows = (asked.where(F.col("block") == b + 1) if blocks > 1 else asked).select(query_id, "v").toArrow()
+        rows = (asked.where(F.col("block") == b) if blocks > 1 else asked).select(query_id, "v").toArrow()
         part = slim.mapInArrow(_scan(rows, k, digits), f"query_id {query_type}, id {id_type}, score double")
         found = part if found is None else found.union(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
@@ -58,6 +59,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk
     return ranked.select(F.col("query_id").alias(query_id), "rank", F.col("id").alias(id_col), "score")
 
 
+def _in_blocks(asked: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """Queries with the number of their block, and how many blocks there are: none has more than
+    QUERY_BLOCK rows, which is counted, not assumed."""
+    numbered = written(asked.withColumn("n", F.monotonically_increasing_id()))
+    blocks = -(-5 * total // (4 * QUERY_BLOCK))
+    while True:
+        dealt = numbered.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)))
+        if dealt.groupBy("block").count().agg(F.max("count")).first()[0] <= QUERY_BLOCK:
+            return dealt, blocks
+        blocks += -(-blocks // 4)
+
+
 def _scan(rows, k: int, digits: int):
     def run(batches):
         import numpy as np
