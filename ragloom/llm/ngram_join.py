@@ -11,6 +11,7 @@ HEAVY ones among them (the commonest, counted over all documents), by hash; then
 then the rest.  Two sets that reach the similarity share a shingle among the first
 p = n - ceil(similarity * n) + 1 of each.  Where the shared ones are not heavy, the documents even
 share p - (n - least overlap) of them, for the smaller of these two numbers, or they aren't linked.
+Counted shingles of one document only can't be shared, so they take a place in front but don't travel.
 """
 
 from __future__ import annotations
@@ -174,8 +175,8 @@ def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
             for size in np.unique(sizes[(sizes > 1) & (sizes <= RUN)]).tolist():
                 at = starts[sizes == size]
                 i, j = np.triu_indices(size, 1)
-                for lo in range(0, len(at), max(1, 1_000_000 // len(i))):
-                    some = at[lo : lo + max(1, 1_000_000 // len(i))]
+                for lo in range(0, len(at), max(1, 300_000 // len(i))):
+                    some = at[lo : lo + max(1, 300_000 // len(i))]
                     x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
                     nx, ny = n[x], n[y]
                     near = (np.minimum(nx, ny) * 100 >= percent * np.maximum(nx, ny)) & (rep[x] != rep[y])

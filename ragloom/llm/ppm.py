@@ -263,8 +263,7 @@ def score_documents(docs: DataFrame, is_training: Column, id_col: str = "doc_id"
         for batch in batches:
             for lo in range(0, batch.num_rows, 1500):
                 part = batch.slice(lo, 1500)
-                texts, sizes, known, sums, rest, cuts = [], [], [], [], Counter(), [0]
-                words_out, times_out = [], []
+                texts, sizes, known, sums, cuts, words_out, times_out = [], [], [], [], [0], [], []
                 for text in part.column(1).to_pylist():
                     words = tokens(text)
                     texts.append(b" ".join(words))

@@ -73,7 +73,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     rows a query; a window keeps the best of those.
 
     Null vectors and those with null or non-finite components take no part; vectors of another
-    length aren't candidates.  Rows with a query's id aren't its candidates.  Ties go to the
+    length aren't candidates.  Rows with a query's id aren't its candidates; equal query rows are one
+    query, and of different ones with one id the best of both count.  Ties go to the
     smaller id; rows with null ids come first among equals.  Scores beyond 64 bits are clamped.
     """
     spark = vectors.sparkSession
@@ -107,8 +108,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
                 files.append((name, dim, len(ids)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*files, strict=True)) or [()] * 3, [pa.string(), pa.int32(), pa.int64()], strict=True)], ["name", "dim", "n"])
 
-    # A row for each Arrow batch of queries.
-    files = [tuple(r) for r in rows.where(is_query).mapInArrow(save, "name string, dim int, n long").orderBy("name").collect()]
+    # Each query once, and in order, so that a task that runs again writes the same files; a row for
+    # each Arrow batch of queries comes to the driver.
+    asked = rows.where(is_query).distinct().sortWithinPartitions("vec_id", "e")
+    files = [tuple(r) for r in asked.mapInArrow(save, "name string, dim int, n long").orderBy("name").collect()]
 
     def search(batches):
         import numpy as np

@@ -110,6 +110,13 @@ def test_top_k_of_few_and_of_huge(spark):
     assert topk.top_k(frame(spark, rows).limit(0), F.col("vec_id") % 3 == 0).count() == 0
 
 
+def test_repeated_rows_search(spark):
+    """A query row that is there twice is one query; a candidate that is there twice counts twice."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0])]
+    found = topk.top_k(frame(spark, rows), F.col("vec_id") % 3 == 0).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(1, 1, 32768), (2, 1, 32768), (3, 2, 16384)]
+
+
 def test_bounds_drop_no_candidate():
     rng = np.random.default_rng(3)
     for _ in range(20):
