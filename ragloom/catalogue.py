@@ -108,7 +108,37 @@ def _documents(t) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.col("source").alias("title"), F.create_map(F.lit("lang"), "lang").alias("metadata"))
 
 
-@query()
+def _estimate(x: str) -> str:
+    return f"CAST(floor(len({_WORDS.format(x)}) / 0.75) AS INTEGER)"
+
+
+# One step a sentence for all documents at once: open parts and their tokens, place, chunks so far.
+_CHUNKS = f"""
+WITH RECURSIVE s AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, lang, {_SPLIT.format('text')} AS s FROM documents),
+r(doc_id, i, parts, tokens, pos, begins, done) AS (
+  SELECT doc_id, 0, CAST([] AS VARCHAR[]), CAST([] AS INTEGER[]), 0, 0, CAST([] AS STRUCT(c VARCHAR, a INTEGER, b INTEGER)[]) FROM s
+  UNION ALL
+  SELECT doc_id, i + 1,
+    CASE WHEN n > 256 THEN w[whole + 1:] WHEN held + n > 256 THEN list_append(parts[keep:], t) ELSE list_append(parts, t) END,
+    CASE WHEN n > 256 THEN list_transform(w[whole + 1:], lambda x: 1) WHEN held + n > 256 THEN list_append(est[keep:], n) ELSE list_append(tokens, n) END,
+    pos + CAST(length(t) AS INTEGER) + 1,
+    CASE WHEN n > 256 THEN CASE WHEN whole > 0 THEN pos + CAST(length(runs[len(runs)]) AS INTEGER) + 1 WHEN len(parts) > 0 THEN pos ELSE begins END WHEN held + n > 256 THEN pos ELSE begins END,
+    CASE WHEN n > 256 OR held + n > 256 THEN done || closed || list_transform(CASE WHEN n > 256 THEN range(1, len(runs) + 1) ELSE [] END,
+        lambda k: struct_pack(c := runs[k], a := CASE WHEN k > 1 THEN pos + CAST(length(runs[k - 1]) AS INTEGER) + 1 WHEN len(parts) > 0 THEN pos ELSE begins END, b := pos + CAST(length(runs[k]) AS INTEGER))) ELSE done END
+  FROM (SELECT *, CASE WHEN len(parts) > 0 THEN [struct_pack(c := array_to_string(parts, ' '), a := begins, b := pos)] ELSE [] END AS closed,
+      list_transform(range(0, whole // 256), lambda k: array_to_string(w[k * 256 + 1:k * 256 + 256], ' ')) AS runs,
+      len(parts) + 1 - len(list_filter(range(1, len(parts) + 1), lambda j: list_sum(est[j:]) <= 50)) AS keep
+    FROM (SELECT r.*, s.s[i + 1] AS t, {_estimate('s.s[i + 1]')} AS n, {_WORDS.format('s.s[i + 1]')} AS w, len({_WORDS.format('s.s[i + 1]')}) // 256 * 256 AS whole, coalesce(list_sum(tokens), 0) AS held,
+        list_transform(parts, lambda x: {_estimate('x')}) AS est
+      FROM r JOIN s USING (doc_id) WHERE i < len(s.s)))),
+ended AS (
+  SELECT r.doc_id, source, lang, CASE WHEN len(parts) > 0 THEN list_append(done, struct_pack(c := array_to_string(parts, ' '), a := begins, b := pos)) ELSE done END AS done
+  FROM r JOIN s USING (doc_id) WHERE i = len(s.s))
+SELECT doc_id || '::chunk_' || (k - 1) AS chunk_id, doc_id, CAST(k - 1 AS INTEGER) AS chunk_index, done[k].c AS content, done[k].a AS start_idx, done[k].b AS end_idx, source AS title, lang
+FROM ended, LATERAL (SELECT unnest(range(1, len(done) + 1)) AS k)"""
+
+
+@query(_CHUNKS)
 def chunks(t):
     return chunking.chunk_documents(_documents(t)).select("chunk_id", "doc_id", "chunk_index", "content", "start_idx", "end_idx", F.col("metadata")["title"].alias("title"), F.col("metadata")["lang"].alias("lang"))
 
