@@ -491,7 +491,9 @@ def entity_merge(t):
     return graph.merge_entities(rows).select("key", "name", "description", F.size("source_chunk_ids").alias("n_chunks"))
 
 
-@query()
+@query(r"""WITH n AS (SELECT doc_id, list_filter(regexp_extract_all(text, '\p{L}{2,}'), lambda x: regexp_matches(x, '^\p{Lu}')) AS names FROM documents),
+c AS (SELECT *, CAST(least(greatest(len(names) - 1, 0), 10) AS INTEGER) AS r FROM n)
+SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE WHEN len(names) = 0 THEN 'empty' ELSE 'ok' END AS status, CAST(len(list_distinct(names[1:r + 1])) AS INTEGER) AS n_entities, r AS n_relations FROM c""")
 def entity_extract(t):
     rows = t("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("ord"), F.col("text").alias("content"))
     found = graph.extract(rows, OfflineChat())
