@@ -60,7 +60,16 @@ def test_all_pairs(spark, documents, size, percent, monkeypatch):
     assert found == brute(rows, size, percent)
 
 
-def test_without_heavy_shingles_runs_are_long(spark, documents, monkeypatch):
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_without_heavy_shingles_runs_are_long(spark, documents, monkeypatch, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        check_long_runs(spark, documents, monkeypatch)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def check_long_runs(spark, documents, monkeypatch):
     monkeypatch.setattr(ngram_join, "HEAVY", 0)
     monkeypatch.setattr(ngram_join, "RUN", 8)
     rng = random.Random(3)

@@ -47,8 +47,16 @@ def sample(seed=5, n=300, dim=32):
 ODD = [(90_001, None), (90_002, [0.0] * 32), (90_003, [float("nan")] * 32), (90_004, [None] * 32), (90_005, [float("inf")] + [1.0] * 31), (90_006, [1.0, 2.0]), (90_007, [2.0, 4.0]), (90_008, [])]
 
 
+@pytest.fixture(params=[10_000, 5])
+def batches(spark, request):
+    """Runs of rows go on over the ends of small Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", request.param)
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("block", [4096, 16])
-def test_near_duplicates(spark, block):
+def test_near_duplicates(spark, block, batches):
     """With wide cells every pair meets in some table, and the rest is exact."""
     rows = sample() + ODD
     found = near_vectors.near_duplicates(frame(spark, rows), block=block, width=4.0, projections=4).collect()
@@ -96,7 +104,7 @@ def plain_top(rows, k=5, every=3):
 
 
 @pytest.mark.parametrize("block", [8192, 40])
-def test_top_k(spark, block):
+def test_top_k(spark, block, batches):
     rows = sample(6, 200) + ODD + [(90_010, [1.0] * 32), (90_012, [1.0] * 32), (90_014, [0.0] * 32)]
     found = topk.top_k(frame(spark, rows), F.col("vec_id") % 3 == 0, block=block, query_block=16).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == plain_top(rows)
