@@ -64,15 +64,20 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     that one serves whose words come nearest, which the group counts tell.
 
     The prefix sum is a rank times a constant.  The rank is the position in a (source, size, fan)
-    group, where the fan is a hash of the key, plus the rows in the groups before it: a sum over
-    group counts.  So a source or a group of copies that holds a third of all rows is dealt by
+    group, where the fan is a hash of the key, plus the rows in the groups before it: running sums
+    over a source's distinct sizes and over a size's fans.  So a source or a group of copies that holds a third of all rows is dealt by
     size and fan.  Rows with equal keys are each a document.  An empty source has its own share; a
     null source is one too; sources without words have target 0.  Extra columns pass through.
     """
     fan = F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int") % FANS
     rows = docs.select(F.struct("*").alias("row"), _named(F.col(source)).alias("name"), size.alias("size"), F.col(key).alias("key")).withColumn("fan", fan)
     groups = rows.groupBy("name", "size", "fan").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("name").orderBy("size", "fan").rowsBetween(Window.unboundedPreceding, -1)
+    # The rows before a group: those of smaller sizes, and those of its size in lower fans.
+    sizes = groups.groupBy("name", "size").agg(F.sum("n").alias("of_size"))
+    lower = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("name", "size", F.coalesce(F.sum("of_size").over(lower(["name"], "size")), F.lit(0)).alias("smaller"))
+    placed = groups.withColumn("fans", F.coalesce(F.sum("n").over(lower(["name", "size"], "fan")), F.lit(0)))
+    placed = placed.join(sizes, ["name", "size"]).select("name", "size", "fan", "n", (F.col("smaller") + F.col("fans")).alias("before"))
     totals = groups.groupBy("name").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     plan = source_targets(totals.withColumn("source", F.when(F.col("name") != "null", F.substring("name", 2, 1 << 30))), cap, weights)
     plan = plan.select(
@@ -80,7 +85,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
         _fraction(_named(F.col("source")), seed).alias("offset"),
     )
-    shares = groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, "name")
+    shares = placed.join(plan, "name")
     crossed = lambda u, lo, hi: F.floor(u + F.col("rate") * hi) - F.floor(u + F.col("rate") * lo)
     tried = [(F.col("offset") + k / TRIES) % 1.0 for k in range(TRIES)]
     taken = [F.sum(F.col("size") * crossed(u, F.col("before"), F.col("before") + F.col("n"))) for u in tried]
