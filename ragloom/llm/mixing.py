@@ -76,8 +76,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     sizes = groups.groupBy("name", "size").agg(F.sum("n").alias("of_size"))
     lower = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("name", "size", F.coalesce(F.sum("of_size").over(lower(["name"], "size")), F.lit(0)).alias("smaller"))
-    placed = groups.withColumn("fans", F.coalesce(F.sum("n").over(lower(["name", "size"], "fan")), F.lit(0)))
-    placed = placed.join(sizes, ["name", "size"]).select("name", "size", "fan", "n", (F.col("smaller") + F.col("fans")).alias("before"))
+    fans = groups.withColumn("fans", F.coalesce(F.sum("n").over(lower(["name", "size"], "fan")), F.lit(0)))
     totals = groups.groupBy("name").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     plan = source_targets(totals.withColumn("source", F.when(F.col("name") != "null", F.substring("name", 2, 1 << 30))), cap, weights)
     plan = plan.select(
@@ -85,13 +84,14 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
         _fraction(_named(F.col("source")), seed).alias("offset"),
     )
-    shares = placed.join(plan, "name")
+    # A source's plan meets its sizes, then they meet the groups: no join of groups is by source alone.
+    placed = lambda plan: fans.join(sizes.join(plan, "name"), ["name", "size"]).withColumn("before", F.col("smaller") + F.col("fans"))
     crossed = lambda u, lo, hi: F.floor(u + F.col("rate") * hi) - F.floor(u + F.col("rate") * lo)
     tried = [(F.col("offset") + k / TRIES) % 1.0 for k in range(TRIES)]
     taken = [F.sum(F.col("size") * crossed(u, F.col("before"), F.col("before") + F.col("n"))) for u in tried]
-    missed = shares.groupBy("name").agg(F.array(*(F.abs(t - F.first("target")) for t in taken)).alias("missed"))
+    missed = placed(plan).groupBy("name").agg(F.array(*(F.abs(t - F.first("target")) for t in taken)).alias("missed"))
     plan = plan.join(missed, "name").withColumn("offset", F.element_at(F.array(*tried), F.array_position("missed", F.array_min("missed")).cast("int"))).drop("missed")
-    shares = shares.select("name", "size", "fan", "before").join(plan, "name")
+    shares = placed(plan).select("name", "size", "fan", "before", "source_size", "target", "rate", "offset")
     place = F.row_number().over(Window.partitionBy("name", "size", "fan").orderBy("key"))
     ranked = rows.withColumn("place", place).join(shares, ["name", "size", "fan"]).withColumn("rank", F.col("before") + F.col("place"))
     return ranked.select("row", "size", "source_size", "target", F.least(crossed(F.col("offset"), F.col("rank") - 1, F.col("rank")), F.lit(cap)).cast("long").alias("copies"))
