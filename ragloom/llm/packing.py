@@ -107,37 +107,137 @@ def fill(lengths, capacity: int = 2048):
     return of, offsets
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, window: int = 64, rounds: int = 40) -> list[list[int]]:
-    """Swap-based local search over the underfull bins: the emptiest `window` of them at a time.
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Swap-based local search over all underfull bins.
 
     A step moves one document, exchanges one for one, or one for two between two bins, if that
-    raises the sum of squared fills (the fuller bin gets fuller), the largest rise first.  Bins
-    that become empty go.  The sum rises with each step, so this ends; `rounds` bounds the passes
-    over the window, and a pass that changes nothing ends it.
+    raises the sum of squared fills (the fuller bin gets fuller).  Bins give in turn, the emptiest
+    first, each the step with the largest rise among all takers until it has none.  The sum rises
+    with each step, so this ends: when no pair of bins has a step left, or when the bins are as few
+    as the total length allows.
     """
-    fills = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if 0 < fills[b] < capacity), key=fills.__getitem__)[:window]
-        if len(under) < 2 or sum(fills[b] for b in under) > (len(under) - 1) * capacity:
-            break  # not even a perfect filling of these would empty one
-        changed = False
-        for x, giver in enumerate(under):
-            for taker in reversed(under[x + 1 :]):
-                while fills[giver] and fills[taker] < capacity:
-                    step = _best_step(bins[giver], bins[taker], lengths, fills[giver], fills[taker], capacity - fills[taker])
-                    if step is None:
-                        break
-                    out, back, rise = step
-                    bins[giver] = [i for i in bins[giver] if i not in out] + back
-                    bins[taker] = [i for i in bins[taker] if i not in back] + out
-                    fills[giver] -= rise
-                    fills[taker] += rise
-                    changed = True
-        if not changed:
+    total, used = sum(lengths[i] for b in bins for i in b), sum(map(bool, bins))
+    least = -(-total // capacity)
+    if used <= least:
+        return bins
+    takers = _Takers(bins, lengths, capacity)
+    rooms, idle = takers.rooms, set()  # idle: bins without a step since the last one made
+    while used > least:
+        todo = sorted((b for b in takers.options if b not in idle), key=lambda b: (-rooms[b], b))
+        if not todo:
             break
+        for giver in todo:
+            if giver not in takers.options:
+                continue  # filled up meanwhile
+            takers.remove(giver)
+            moved = False
+            while bins[giver] and (taker := takers.best(giver)) is not None:
+                takers.remove(taker)
+                out, back, rise = _best_step(bins[giver], bins[taker], lengths, capacity - rooms[giver], capacity - rooms[taker], rooms[taker])
+                bins[giver] = [i for i in bins[giver] if i not in out] + back
+                bins[taker] = [i for i in bins[taker] if i not in back] + out
+                rooms[giver] += rise
+                rooms[taker] -= rise
+                takers.add(taker)
+                moved = True
+            takers.add(giver)
+            if moved:
+                idle.clear()
+            idle.add(giver)
+            used -= not bins[giver]
+            if used <= least:
+                break
     return bins
 
 
+class _Takers:
+    """Underfull bins by what they can give back and their room.
+
+    Back is nothing or one document (table 0), or two (table 1).  first[table][s, q] is the least
+    room, s - q or more, of the bins that can give back the length q: the tightest bin that takes
+    s for q.  Two tables of (capacity + 1)**2 numbers.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        import numpy as np
+
+        self.np, self.bins, self.lengths, self.capacity = np, bins, lengths, capacity
+        self.rooms = [capacity - sum(lengths[i] for i in b) for b in bins]
+        self.none, self.width = 4 * capacity, capacity + 1
+        self.first = [np.full((self.width, self.width), self.none, np.int16 if self.none < 2**15 else np.int32) for _ in range(2)]
+        self.flat = [x.reshape(-1) for x in self.first]
+        self.gain = np.arange(self.width, dtype=np.int32 if self.none < 2**15 else np.int64)
+        self.options: dict[int, tuple[list[int], list[int]]] = {}
+        self.held: tuple[dict, dict] = ({}, {})  # (q, room): bins
+        for b in range(len(bins)):
+            self.add(b)
+
+    def sums(self, b: int) -> tuple[list[int], list[int]]:
+        """Lengths of one document of the bin, and of two."""
+        one, two = _by_length(self.bins[b], self.lengths)
+        return list(one), list(two)
+
+    def column(self, table: int, q: int, room: int):
+        """first[table][q + d, q] for d = 0 to room (as far as the table goes)."""
+        at = q * self.width + q
+        return self.flat[table][at : at + room * self.width + 1 : self.width]
+
+    def add(self, b: int) -> None:
+        room = self.rooms[b]
+        if not self.bins[b] or not room:
+            return
+        one, two = self.sums(b)
+        self.options[b] = one, two
+        for table, backs in enumerate(([0, *one], two)):
+            for q in backs:
+                holders = self.held[table].setdefault((q, room), set())
+                if not holders:
+                    column = self.column(table, q, room)
+                    self.np.minimum(column, room, out=column)
+                holders.add(b)
+
+    def remove(self, b: int) -> None:
+        room = self.rooms[b]
+        one, two = self.options.pop(b)
+        for table, backs in enumerate(([0, *one], two)):
+            for q in backs:
+                holders = self.held[table][q, room]
+                holders.discard(b)
+                if not holders:
+                    del self.held[table][q, room]
+                    column = self.column(table, q, room + 1)
+                    after = column[room + 1] if room + 1 < len(column) else self.none
+                    column = column[: room + 1]
+                    column[column.searchsorted(room) :] = after
+
+    def best(self, giver: int) -> int | None:
+        """The bin that takes part in the giver's step with the largest rise; None if there is none.
+
+        With s going and q coming back, d = s - q, the sum of squares rises by
+        2 * d * (giver's room - taker's room + d)."""
+        np, room = self.np, self.rooms[giver]
+        one, two = self.sums(giver)
+        found, most = None, 0
+        for table, outs in ((0, one + two), (1, one)):
+            if not outs:
+                continue
+            s = np.asarray(outs)
+            upto = int(s.max())
+            d = s[:, None].astype(self.gain.dtype) - self.gain[:upto]
+            least = self.first[table][s, :upto].astype(self.gain.dtype)
+            rise = np.where(d > 0, d * (room + d - least), 0)
+            if table == 0:
+                rise[len(one) :, 0] = 0  # two for nothing is no step
+            k = int(rise.argmax())
+            if rise.flat[k] > most:
+                most, q = int(rise.flat[k]), k % upto
+                found = table, q, int(least.flat[k])
+        if found is None:
+            return None
+        table, q, room = found
+        return min(self.held[table][q, room])
+
+
 def _best_step(giver: list[int], taker: list[int], lengths: list[int], low: int, high: int, room: int):
     """(documents that leave the giver, that come back, by how much the taker grows) of the step
     with the largest growth within the room; None if no step raises the sum of squares.
@@ -151,24 +251,30 @@ def _best_step(giver: list[int], taker: list[int], lengths: list[int], low: int,
         if least < d <= room:
             best, least = (out, back, d), d
 
-    for i in giver:
-        offer([i], [], lengths[i])
-    if least < room:
-        for i in giver:
-            for j in taker:
-                offer([i], [j], lengths[i] - lengths[j])
-    if least < room and len(giver) <= 64 and len(taker) <= 64:
-        for p, i in enumerate(giver):
-            for k in giver[p + 1 :]:
-                for j in taker:
-                    offer([i, k], [j], lengths[i] + lengths[k] - lengths[j])
-        for p, j in enumerate(taker):
-            for k in taker[p + 1 :]:
-                for i in giver:
-                    offer([i], [j, k], lengths[i] - lengths[j] - lengths[k])
+    one, two = _by_length(giver, lengths)
+    one_back, two_back = _by_length(taker, lengths)
+    for outs, backs in ((one, {0: []}), (one, one_back), (two, one_back), (one, two_back)):
+        if least < room:
+            for s, out in outs.items():
+                for q, back in backs.items():
+                    offer(out, back, s - q)
     return best
 
 
+def _by_length(docs: list[int], lengths: list[int]) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """One document of each length among docs, and two of each sum of lengths."""
+    one: dict[int, list[int]] = {}
+    two: dict[int, list[int]] = {}
+    for i in docs:
+        if lengths[i] in one:
+            two.setdefault(2 * lengths[i], [one[lengths[i]][0], i])
+        else:
+            for x, (k,) in one.items():
+                two.setdefault(x + lengths[i], [k, i])
+            one[lengths[i]] = [i]
+    return one, two
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, group_rows: int = 32_768, with_ids: bool = False, **columns) -> DataFrame:
     """One row a piece with its sequence and its place there; pieces are written once to the shared
     folder, so that texts are encoded once.  An empty table gives no rows."""

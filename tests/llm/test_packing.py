@@ -44,6 +44,40 @@ def test_each_step_raises_the_squares():
             assert (high + d) ** 2 + (low - d) ** 2 > high**2 + low**2
 
 
+def test_no_step_is_left(monkeypatch):
+    lengths = np.random.default_rng(3).integers(300, 1101, 1200).tolist()
+    bins, _ = packing.fill(lengths, 2048)
+    least, found = -(-sum(lengths) // 2048), int(bins.max()) + 1
+    monkeypatch.setattr(packing, "improve", lambda bins, *_: bins)
+    best_fit = int(packing.fill(lengths, 2048)[0].max()) + 1
+    assert 2 * (found - least) <= best_fit - least
+    held = {}
+    for i, b in enumerate(bins.tolist()):
+        held.setdefault(b, []).append(i)
+    fills = {b: sum(lengths[i] for i in held[b]) for b in held}
+    under = [b for b in held if fills[b] < 2048]
+    assert len(under) > 64
+    for b in under:
+        for c in under:
+            if b != c:
+                assert packing._best_step(held[b], held[c], lengths, fills[b], fills[c], 2048 - fills[c]) is None
+
+
+@given(st.lists(st.integers(1, 40), min_size=2, max_size=60), st.randoms(use_true_random=False))
+@settings(max_examples=60, deadline=None)
+def test_search_from_any_bins(lengths, random):
+    bins = [[i] for i in range(len(lengths))]
+    random.shuffle(bins)
+    better = [b for b in packing.improve(bins, lengths, 40) if b]
+    assert sorted(i for b in better for i in b) == list(range(len(lengths)))
+    fills = [sum(lengths[i] for i in b) for b in better]
+    assert max(fills) <= 40
+    if len(better) > -(-sum(lengths) // 40):
+        for b, low in zip(better, fills, strict=True):
+            for c, high in zip(better, fills, strict=True):
+                assert b is c or packing._best_step(b, c, lengths, low, high, 40 - high) is None
+
+
 def test_pack_documents(spark, documents, tokenizer_path):
     rows = [(i, "some words of a text " * (i % 40)) for i in range(60)] + [(100, "word " * 5000), (101, None), (102, ""), (101, None)]
     packed = packing.pack_documents(documents(rows), tokenizer_path, with_ids=True).collect()
