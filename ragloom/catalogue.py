@@ -316,16 +316,24 @@ def context_for_items(t):
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def retrieval_relevance(t):
-    """Documents that hold an item's text.  Both start from a common word sequence: an item is
-    sought only in documents with its first four words, so no pair of rows is formed otherwise."""
+    """Documents that hold an item's text.  An item of five words or more is sought only in the
+    documents with its words two to four in sequence: these are whole words of any text that holds
+    it, so no pair of rows is formed otherwise.  Shorter items, which need not hold three whole
+    words of the document, are compared with every document, by broadcast if their counted size allows it."""
     lead = lambda w: F.array_join(w, " ")
     split = lambda x: F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     items = t("benchmark").select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w"))
-    items = items.select("item_id", "item", lead(F.slice("w", 2, 3)).alias("gram"))  # inner words: the first may be part of a longer one
+    short = items.where(F.size("w") < 5).select("item_id", "item")
+    items = items.where(F.size("w") >= 5).select("item_id", "item", lead(F.slice("w", 2, 3)).alias("gram"))
     docs = t("documents").select("doc_id", "text", split(F.col("text")).alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: lead(F.slice("w", i, 3)))
     listed = docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
-    return listed.join(items, "gram").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
+    found = listed.join(items, "gram").where(F.contains("text", "item")).select("item_id", "doc_id")
+    size = short.agg(F.sum(F.octet_length("item") + 64)).first()[0]
+    if size:
+        short = F.broadcast(short) if size <= 32 << 20 else short
+        found = found.union(docs.select("doc_id", "text").join(short, F.contains("text", "item")).select("item_id", "doc_id"))
+    return found.distinct()
 
 
 # --- retrieval ------------------------------------------------------------------------------------

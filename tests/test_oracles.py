@@ -30,6 +30,19 @@ def test_same_as_sql(spark, con, small, name):
     assert rows(found) == rows(con.execute(catalogue.ORACLES[name]).df())
 
 
+def test_relevance_of_short_items(spark, tmp_path):
+    """Items of few words, whose first and last may be parts of longer ones."""
+    items = ["", "w", "two", "one two", "ne two thre", "one two three", "ne two three fou", "one two three four fiv", "e  two", "absent", None]
+    texts = ["one two three four five", "none two three fourth", "one\ttwo three", "one  two", "two", "", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found, told = catalogue.QUERIES["retrieval_relevance"](spark, str(tmp_path)).toPandas(), con.execute(catalogue.ORACLES["retrieval_relevance"]).df()
+    assert len(told) > 20 and rows(found) == rows(told)
+
+
 def test_entry(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no fixture tables")
