@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import labelled, mixing, near_vectors, ngram_join, packing, ppm, quality, token_files, topk, toxicity, warc
+from . import common, labelled, mixing, near_vectors, ngram_join, packing, ppm, quality, token_files, topk, toxicity, warc
 from .common import crc_mod, read
 
 
@@ -35,9 +35,11 @@ def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, captures = warc.write_archives(read(spark, sf_dir, "pages"), min_bytes=0)
+    pages = read(spark, sf_dir, "pages")
+    folder, captures = warc.write_archives(pages, min_bytes=0)
     warc.write_index(captures, f"{folder}/index")
-    records = warc.read_archives(spark, folder, warc.archives_of(captures), payloads=False)
+    found = warc.CaptureIndex(spark, f"{folder}/index").lookup_all(pages)
+    records = warc.read_captures(folder, found, common.tasks(pages), payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -29,12 +29,13 @@ DATE = "2020-01-01T00:00:00Z"
 
 def surt(url: str | None) -> str:
     """The sort key of a URL: host parts reversed, then path and query; scheme, port, user, a
-    leading www and the fragment are dropped.  Null and URLs that can't be split sort as text."""
+    leading www and the fragment are dropped.  Null and URLs that can't be split sort as text.
+    Tabs and line ends, which part the index's lines, are escaped."""
     try:
         parts = urlsplit(url or "")
         host = (parts.hostname or "").removeprefix("www.")
     except ValueError:
-        return f"){(url or '').lower()}"
+        return f"){(url or '').lower()}".translate({9: "%09", 10: "%0a"})
     return ",".join(reversed(host.split("."))) + ")" + (parts.path or "/").lower() + (f"?{parts.query.lower()}" if parts.query else "")
 
 
@@ -138,40 +139,74 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     return folder, common.materialise(joined.select("page_id", "url", "payload", "refers_to").mapInArrow(write, WRITTEN_SCHEMA), "captures")
 
 
+def _rows(records: Iterator[tuple[dict[str, str], bytes]], payloads: bool) -> Iterator:
+    """Batches of RECORD_SCHEMA, checked against the digests and sizes recorded."""
+    import pyarrow as pa
+
+    names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    rows = []
+    for h, payload in records:
+        kind, named, size = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
+        if kind == "response" and (digest(payload), len(payload)) != (named, size):
+            raise ValueError(f"damaged record {h['warc-record-id']}")
+        rows.append((_number(h["warc-record-id"]), kind, _number(h["warc-refers-to"]) if kind == "revisit" else None, h["warc-target-uri"], size, named, payload if payloads and kind == "response" else None))
+        if len(rows) == 500:
+            yield batch(rows)
+            rows = []
+    if rows:
+        yield batch(rows)
+
+
+def _number(record_id: str) -> int | None:
+    return None if "null" in record_id else int(record_id.strip("<>").rpartition(":")[2])
+
+
 def read_archives(spark: SparkSession, folder: str, archives: list[int], payloads: bool = True) -> DataFrame:
     """One row a record, from the archives alone.  A response's size and digest are of the payload
     that was read, and it is an error if they differ from those recorded; a revisit has them from
     its headers, and a null payload."""
 
     def scan(batches):
-        import pyarrow as pa
-
-        names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-        number = lambda x: None if "null" in x else int(x.strip("<>").rpartition(":")[2])
-
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
         for b in batches:
             for k in b.column(0).to_pylist():
-                rows = []
                 with common.reading(f"{folder}/{k:06d}.warc.gz") as f:
-                    for raw in members(f):
-                        h, payload = parse(raw)
-                        kind, named, size = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
-                        if kind == "response" and (digest(payload), len(payload)) != (named, size):
-                            raise ValueError(f"damaged record {h['warc-record-id']}")
-                        rows.append((number(h["warc-record-id"]), kind, number(h["warc-refers-to"]) if kind == "revisit" else None, h["warc-target-uri"], size, named, payload if payloads and kind == "response" else None))
-                        if len(rows) == 500:
-                            yield batch(rows)
-                            rows = []
-                if rows:
-                    yield batch(rows)
+                    yield from _rows(map(parse, members(f)), payloads)
 
     return common.one_task_each(spark, archives).mapInArrow(scan, RECORD_SCHEMA)
 
 
+def read_captures(folder: str, captures: DataFrame, tasks: int, payloads: bool = True) -> DataFrame:
+    """The rows of read_archives for the captures (page_id, archive, at, length, record_type): a
+    range read each, those of an archive in one task and in its order.  It is an error if a record
+    is not the one that the capture names."""
+
+    def fetched(batches):
+        now, f = None, None
+        try:
+            for batch in batches:
+                for page_id, archive, at, length, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if archive != now:
+                        if f:
+                            f.close()
+                        now, f = archive, common.reading(f"{folder}/{archive:06d}.warc.gz")
+                    f.seek(at)
+                    h, payload = parse(gzip.decompress(f.read(length)))
+                    if (h["warc-type"], _number(h["warc-record-id"])) != (kind, page_id):
+                        raise ValueError(f"the index names another record than {h['warc-record-id']}")
+                    yield h, payload
+        finally:
+            if f:
+                f.close()
+
+    dealt = captures.select("page_id", "archive", "at", "length", "record_type").repartitionById(tasks, F.col("archive")).sortWithinPartitions("archive", "at")
+    return dealt.mapInArrow(lambda batches: _rows(fetched(batches), payloads), RECORD_SCHEMA)
+
+
 def archives_of(captures: DataFrame) -> list[int]:
     """The numbers of the archives that hold a record: one small row an archive."""
     return [r.archive for r in captures.select("archive").distinct().collect()]
@@ -226,21 +261,62 @@ class CaptureIndex:
 
     def lookup(self, url: str) -> list[dict]:
         """All captures of a URL, in the order of the index."""
-        key, found = surt(url), []
-        i = max(0, bisect.bisect_left(self.keys, key) - 1)  # a block before may end with the key
-        while i < len(self.blocks) and self.keys[i] <= key:
-            shard, at, length = self.blocks[i]
-            with common.reading(f"{self.folder}/{shard:06d}.cdx.gz") as f:
-                f.seek(at)
-                lines = gzip.decompress(f.read(length)).decode().splitlines()
-            lo = bisect.bisect_left(lines, key + "\t")
-            for line in lines[lo:]:
-                name, _, rest = line.partition("\t")
-                if name != key:
-                    break
-                found.append(json.loads(rest))
-            i += 1
-        return found
+        key = surt(url)
+        return [x for i in _blocks_of(self.keys, key) for x in _captures_of(_block(self.folder, self.blocks[i]), key)]
+
+    def lookup_all(self, pages: DataFrame, url_col: str = "url") -> DataFrame:
+        """The captures of all URLs of a table, each once: keys are sought in the directory by
+        binary search, then meet at their blocks, each of which is read once."""
+        folder, keys, blocks, tasks = self.folder, self.keys, self.blocks, common.tasks(pages)
+
+        def place(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                of = [(i, key) for key in {surt(u) for u in batch.column(0).to_pylist()} for i in _blocks_of(keys, key)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in of], pa.int32()), pa.array([k for _, k in of], pa.string())], ["block", "surt"])
+
+        def find(batches):
+            import pyarrow as pa
+
+            kinds = {"page_id": pa.int64(), "archive": pa.int32(), "at": pa.int64(), "length": pa.int64(), "record_type": pa.string()}
+            table = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], t) for n, t in kinds.items()], list(kinds))
+            now, lines, found = None, [], []
+            for batch in batches:
+                for i, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if i != now:
+                        now, lines = i, _block(folder, blocks[i])
+                    found += _captures_of(lines, key)
+                    if len(found) >= 10_000:
+                        yield table(found)
+                        found = []
+            if found:
+                yield table(found)
+
+        placed = pages.select(F.col(url_col).cast("string")).mapInArrow(place, "block int, surt string").distinct()
+        dealt = placed.repartitionById(tasks, F.col("block")).sortWithinPartitions("block", "surt")
+        return dealt.mapInArrow(find, "page_id long, archive int, at long, length long, record_type string")
+
+
+def _blocks_of(keys: list[str], key: str) -> range:
+    """The blocks that may hold a key, by the first keys of all; the one before may end with it."""
+    return range(max(0, bisect.bisect_left(keys, key) - 1), bisect.bisect_right(keys, key))
+
+
+def _block(folder: str, block: tuple[int, int, int]) -> list[str]:
+    """The lines of a block, by one range read."""
+    shard, at, length = block
+    with common.reading(f"{folder}/{shard:06d}.cdx.gz") as f:
+        f.seek(at)
+        return gzip.decompress(f.read(length)).decode().split("\n")[:-1]
+
+
+def _captures_of(lines: list[str], key: str) -> Iterator[dict]:
+    name = lambda line: line.partition("\t")[0]
+    for k in range(bisect.bisect_left(lines, key, key=name), len(lines)):
+        if name(lines[k]) != key:
+            return
+        yield json.loads(lines[k].partition("\t")[2])
 
 
 def fetch(folder: str, capture: dict) -> tuple[dict[str, str], bytes]:

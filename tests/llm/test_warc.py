@@ -57,6 +57,39 @@ def test_index(spark, written):
     assert index.lookup("http://none.example/") == []
 
 
+def test_every_page_is_read_through_the_index(spark, written):
+    folder, captures = written
+    pages = spark.createDataFrame([(u,) for _, u, _ in PAGES] + [("http://none.example/",)], "url string")
+    found = warc.CaptureIndex(spark, f"{folder}/index").lookup_all(pages)
+    key = lambda r: repr(r)
+    rows = sorted(warc.read_captures(folder, found, 3).collect(), key=key)
+    assert rows == sorted(warc.read_archives(spark, folder, warc.archives_of(captures)).collect(), key=key)
+    wrong = captures.withColumn("page_id", captures.page_id + 1).where("page_id = 14")
+    with pytest.raises(Exception, match="another record"):
+        warc.read_captures(folder, wrong, 3).collect()
+
+
+def test_query_opens_the_index(spark, tmp_path, monkeypatch):
+    """Without the index's lines of a page the query has no row of it."""
+    from ragloom.llm import queries
+
+    spark.createDataFrame([(i, f"http://h{i}/", f"page {i}") for i in range(6)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.op4_warc(spark, str(tmp_path)).count() == 6
+    whole = warc.write_index
+    monkeypatch.setattr(warc, "write_index", lambda captures, folder: whole(captures.where("page_id <> 3"), folder))
+    assert sorted(r.page_id for r in queries.op4_warc(spark, str(tmp_path)).collect()) == [0, 1, 2, 4, 5]
+
+
+def test_any_key_is_found(spark):
+    urls = ["http://a/x", "http://a/x\x01", "http://a/x!", "http://[a\tb", "http://[a\nb", "http://a/\u2028\x85\x1cy", "http://a/x\x01y"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    folder, captures = warc.write_archives(pages)
+    warc.write_index(captures, f"{folder}/index", block_lines=3)
+    index = warc.CaptureIndex(spark, f"{folder}/index")
+    assert all(i in [c["page_id"] for c in index.lookup(u)] for i, u in enumerate(urls))
+    assert sorted(r.page_id for r in warc.read_captures(folder, index.lookup_all(pages), 2).collect()) == list(range(7))
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long enough"), (4, "d", "long enough")], "page_id long, url string, html string")
     folder, captures = warc.write_archives(pages, min_bytes=5)
