@@ -112,3 +112,16 @@ def test_any_text(tokenizer_path, text):
     _encoder = globals().get("_encoder") or WordEncoder(tokenizer_path)
     text = text.encode("utf-8", "replace").decode()
     assert _encoder.encode_all([text]) == [_encoder._ids(text)]
+
+
+def test_every_code_point(tokenizer_path):
+    """Alone, before a full stop or a comma, and folded, in one text with others."""
+    encoder = WordEncoder(tokenizer_path)
+    assert encoder.folds
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 4000):
+        for form in ("{}", "{}.", "a{},"):
+            text = " ".join(form.format(f(c)) for c in points[lo : lo + 4000] for f in (str, str.upper, str.lower))
+            assert encoder.encode_all([text]) == [encoder._ids(text)]
+    for text in ("<|STARTOFTEXT|> x", "x<|startoftext|>,", "<|endoftext|>."):
+        assert encoder.encode_all([text]) == [encoder._ids(text)]
