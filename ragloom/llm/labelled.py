@@ -1,4 +1,4 @@
-"""What the classifiers share: labelled training rows, and scoring of every document."""
+"""What the classifiers share: labelled training rows, scoring of every document, and filtering."""
 
 from __future__ import annotations
 
@@ -11,56 +11,81 @@ from . import common
 from .common import crc_mod
 
 FOLDS, HELD_OUT_FOLD = 5, 0
+#: Makes, in a worker, what scores a list of texts.
+Scorer = Callable[[], Callable[[list[str | None]], object]]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, label of at most max_rows labelled documents outside the held-out fold.
+def training_features(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, features: Callable, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, label, x of at most max_rows labelled documents outside the held-out fold, written
+    to the shared folder.
 
-    The rows are those with the smallest hashes of their ids, so the sample is the same in each
-    run.  Null labels don't count; of repeated ones the largest does.  max_rows bounds what is
-    broadcast: an id and a label each.
+    features() gives, in a worker, what makes an Arrow array of the type `kind` of a list of texts.
+    The documents are those whose ids have the smallest hashes, so the sample is the same in each
+    run.  Null labels and ids don't count; of repeated labels the largest does.  Of rows with one id
+    and different texts that with the smallest hash of its text counts, so max_rows bounds the rows
+    as well as the ids and labels that are broadcast.
     """
     given = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), FOLDS) != HELD_OUT_FOLD))
     given = given.groupBy(F.col(id_col).cast("long").alias("labelled_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     sample = given.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
+    rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "label", F.xxhash64("text").alias("of_text"), "text")
 
+    def run(batches):
+        import pyarrow as pa
 
-def score_texts(docs: DataFrame, scorer: Callable[[], Callable[[list[str | None]], object]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every row; scorer() gives, in a worker, what scores a list of texts."""
+        make = features()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], make(part.column(3).to_pylist())], ["doc_id", "label", "of_text", "x"])
+
+    made = rows.mapInArrow(common.tidy(run), f"doc_id long, label int, of_text long, x {kind}")
+    once = made.groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "of_text").alias("of"))
+    return common.materialise(once.select("doc_id", "of.label", "of.x"), "training")
+
+
+def score_texts(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         score = scorer()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                scores = np.clip(np.asarray(score(part.column(1).to_pylist()), np.float64), 0.0, 1.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_bounded(score, part.column(1)))], ["doc_id", "score"])
 
     return rows.mapInArrow(common.tidy(run), "doc_id long, score double")
 
 
+def _bounded(score, texts):
+    import numpy as np
+
+    return np.clip(np.asarray(score(texts.to_pylist()), np.float64), 0.0, 1.0)
+
+
 def report(scored: DataFrame, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT_FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep(docs: DataFrame, score_column: Callable[[DataFrame], DataFrame], condition, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose scores meet the condition, all their columns unchanged.
+def keep(docs: DataFrame, scorer: Scorer, good: Callable, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose scores are good, all their columns unchanged.
+
+    Each row is decided by its own text and stays where it is: nothing is shuffled, null and
+    repeated ids are like any others, equal texts share their fate."""
+    at = docs.columns.index(text_col)
 
-    Ids of rows that go, one small row each, are joined to the documents; texts are not
-    shuffled for the scores.  Rows with one id go together, if any of them does."""
-    return without(docs, score_column(docs).where(~condition).select("doc_id"), id_col)
+    def run(batches):
+        import pyarrow as pa
 
+        score = scorer()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                yield part.filter(pa.array(good(_bounded(score, part.column(at)))))
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose ids are not in the one column of `ids`; a null id is like any other.
-    Rows travel as one struct, so no name of their columns can clash."""
-    gone = ids.toDF("gone_id").distinct().withColumn("gone", F.lit(True))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"))
-    return rows.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")), "left").where(F.col("gone").isNull()).select("row.*")
+    return docs.mapInArrow(common.tidy(run), docs.schema)

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
-from .labelled import without
 
 #: Share of the hashes whose shingles are counted, and come first; above p / n with room to spare.
 SAMPLED = 0.26
@@ -34,7 +33,7 @@ RUN = 64
 PART_DOCS, PART_SHINGLES = 1500, 2_000_000
 LEAF, FANOUT = 8, 8
 
-SETS_SCHEMA = "doc_id long, n long, fp binary, free array<long>, heavy array<long>"
+SETS_SCHEMA = "doc_id long, of_text long, n long, fp binary, free array<long>, heavy array<long>"
 
 
 class _Words(dict):
@@ -118,7 +117,8 @@ def repeated_shingles(texts: DataFrame, size: int):
 
 
 def document_sets(texts: DataFrame, heavy, repeated, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), fp (of the set), and the shingles in front: free and heavy ones.
+    """doc_id, of_text (hash of the text), n (set size), fp (of the set), and the shingles in front:
+    free and heavy ones.
 
     Counted shingles that no other document has are left out: nothing can be shared by them."""
 
@@ -128,12 +128,12 @@ def document_sets(texts: DataFrame, heavy, repeated, size: int, percent: int) ->
         import numpy as np
         import pyarrow as pa
 
-        table, names = _Words(), ["doc_id", "n", "fp", "free", "heavy"]
+        table, names = _Words(), ["doc_id", "of_text", "n", "fp", "free", "heavy"]
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 sizes, prints, free, common_ones = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     s = shingles(np, table, text, size)
                     n = len(s)
                     p = front(n, percent) if n else 0
@@ -149,15 +149,15 @@ def document_sets(texts: DataFrame, heavy, repeated, size: int, percent: int) ->
                     sizes.append(n), free.append(np.concatenate([a, b]).view(np.int64)), common_ones.append(c.view(np.int64))
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (free, common_ones)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *lists], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *lists], names)
 
-    return texts.mapInArrow(common.tidy(run), SETS_SCHEMA)
+    return texts.select("doc_id", F.xxhash64("text").alias("of_text"), "text").mapInArrow(common.tidy(run), SETS_SCHEMA)
 
 
 def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): linked documents are connected by these edges."""
-    keys = reps.select("rep", "n", F.explode("free").alias("key"))
-    dealt = keys.repartition("key").sortWithinPartitions("key", "rep")
+    keys = reps.select("node", "n", F.explode("free").alias("key"))
+    dealt = keys.repartition("key").sortWithinPartitions("key", "node")
 
     def pairs(batches):
         import numpy as np
@@ -188,7 +188,7 @@ def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
                 yield out(np.full(size - 1, rep[at]), rep[at + 1 : at + size], np.zeros(size - 1, np.int64))
 
         for batch in batches:
-            rep, n, key = (batch.column(c).to_numpy() for c in ("rep", "n", "key"))
+            rep, n, key = (batch.column(c).to_numpy() for c in ("node", "n", "key"))
             if first is not None:
                 same = int(np.searchsorted(key, first[0], "right")) if len(key) and key[0] == first[0] else 0
                 if same:
@@ -212,10 +212,10 @@ def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
 
     found = dealt.mapInArrow(common.tidy(pairs), "a long, b long, need long")
     few = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    heavy = reps.select("rep", F.explode("heavy").alias("key"))
+    heavy = reps.select("node", F.explode("heavy").alias("key"))
     # A row for each heavy shingle: at most HEAVY, so it can go to every task.
-    hubs = heavy.groupBy("key").agg(F.min("rep").alias("hub"))
-    return few.union(heavy.join(F.broadcast(hubs), "key").where("rep > hub").select("hub", "rep").distinct())
+    hubs = heavy.groupBy("key").agg(F.min("node").alias("hub"))
+    return few.union(heavy.join(F.broadcast(hubs), "key").where("node > hub").select("hub", "node").distinct())
 
 
 def _members(wanted: DataFrame, n: int):
@@ -360,9 +360,13 @@ def linked(np, x, y, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def _join_clusters(placed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): spanning edges of the linked documents in each (cluster, lo, hi)."""
-    dealt = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "rep")
+def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> DataFrame:
+    """(a, b): spanning edges of the linked documents of each cluster."""
+    parts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    placed = members.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    placed = placed.join(fetched.withColumnRenamed("doc_id", "rep"), ["rep", "fp"])
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    dealt = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
 
     def run(batches):
         import numpy as np
@@ -387,16 +391,39 @@ def _join_clusters(placed: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(ids[parent[apart]])], ["a", "b"])
 
         for batch in batches:
-            for cluster, lo, hi, rep, own, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for cluster, lo, hi, node, own, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (cluster, lo, hi) != now:
                     if len(held) > 1:
                         yield join()
                     held, now = [], (cluster, lo, hi)
-                held.append((rep, own, items))
+                held.append((node, own, items))
         if len(held) > 1:
             yield join()
 
-    return dealt.select("cluster", "lo", "hi", "rep", "own", "items").mapInArrow(common.tidy(run), "a long, b long")
+    return dealt.select("cluster", "lo", "hi", "node", "own", "items").mapInArrow(common.tidy(run), "a long, b long")
+
+
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, of_text, n, component (a number), least (its smallest doc_id) of each row of docs; the
+    last two are null for a null id or a text without words.
+
+    Equal sets are one node with a number of its own, so that different texts under one id stay
+    apart."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    heavy, repeated = repeated_shingles(texts, size)
+    sets = common.materialise(document_sets(texts, heavy, repeated, size, percent), "sets")
+    groups = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("free").alias("free"), F.first("heavy").alias("heavy"))
+    nodes = common.materialise(groups.withColumn("node", F.monotonically_increasing_id()), "reps")  # numbered once, then read
+    clusters = connected_components(_candidate_edges(nodes, percent)).withColumnRenamed("component", "cluster")
+    members = common.materialise(clusters.join(nodes.select("node", "rep", "fp", "n"), "node"), "clusters")
+    fetched = _fetch_sets(texts, _members(members.select("rep"), members.count()), size)
+    component = connected_components(_join_clusters(members, fetched, percent))
+    of = nodes.select("fp", "rep", "node").join(component, "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("component"))
+    of = common.materialise(of, "components")
+    joined = of.join(component.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("smallest"))
+    of = of.join(joined, "component", "left").select("fp", "component", F.coalesce("smallest", "rep").alias("least"))
+    slim = sets.select("doc_id", "of_text", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
+    return slim.join(of, "fp", "left").select("doc_id", "of_text", "n", "component", "least")
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,39 +435,33 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
 
     Texts that are null or without words have no shingles and no links.  Shorter texts have their
     whole sequence as one shingle.  Equal rows have equal results.  Rows with one id and different
-    texts each have the links of their text; sets whose smallest id is the same one are linked.  A
-    null id has no links and a null component.  Other columns are not read.
+    texts each have the links of their text, and no others.  A null id has no links and a null
+    component.  Other columns are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    heavy, repeated = repeated_shingles(texts, size)
-    sets = common.materialise(document_sets(texts, heavy, repeated, size, percent), "sets")
-    groups = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("free").alias("free"), F.first("heavy").alias("heavy"))
-    reps = common.materialise(groups, "reps")
-    clusters = connected_components(_candidate_edges(reps, percent)).withColumnsRenamed({"node": "rep", "component": "cluster"})
-    members = common.materialise(clusters.join(reps.select("rep", "fp", "n"), "rep"), "clusters")
-    parts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
-    placed = members.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-    fetched = _fetch_sets(texts, _members(members.select("rep"), members.count()), size)
-    placed = placed.join(fetched.withColumnRenamed("doc_id", "rep"), ["rep", "fp"])
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    component = connected_components(_join_clusters(placed, percent))
-    slim = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
-    out = slim.join(reps.select("fp", "rep"), "fp", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    found = _components(docs, size, percent, id_col, text_col)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id, with all columns unchanged.
 
-    Of rows that repeat a document's id one stays; rows with a null id all stay."""
-    found = common.materialise(link_documents(docs, size, percent, id_col), "components")
-    kept = without(docs, found.where("doc_id <> component_id").select("doc_id"), id_col)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    Rows are decided by id and text: of rows that repeat both one stays, the first in order of its
+    columns as JSON; of one id's texts each that is linked with none before it stays.  Rows with a
+    null id all stay, and texts without words are linked with nothing."""
+    found = common.materialise(_components(docs, size, percent, id_col, text_col).where("doc_id IS NOT NULL"), "found")
+    key = ["doc_id", "of_text"]
+    copies = common.materialise(found.groupBy(*key).agg(F.count("*").alias("rows"), F.first("component").alias("component")), "copies")
+    firsts = copies.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
+    stays = F.col("component").isNull() | (F.struct(*key) == F.col("first"))
+    decided = copies.join(firsts, "component", "left").select(*key, "rows", stays.alias("stays"))
+    gone = decided.where("NOT stays OR rows > 1").select(*key)
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("of_text"))
+    kept = keyed.join(gone, key, "left_anti").select("row.*")  # null ids meet nothing
+    repeated = decided.where("stays AND rows > 1").select(*key)
     if repeated.isEmpty():
         return kept
-    rows = kept.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
-    once = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
-    return without(kept, repeated, id_col).unionByName(once.select("row.*"))
+    once = keyed.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.unionByName(once.select("row.*"))
 
 
 def oracle(size: int, percent: int, table: str = "documents") -> str:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import common, labelled
 
 BITS, DIM, NONZERO, REACH, BLOCK = 15, 32, 4, 2, 1024
+#: Words that are counted at once.
+CUT = 1 << 18
 
 
 class _Buckets(dict):
@@ -53,37 +55,47 @@ def context_vectors(docs: DataFrame, text_col: str = "text", seed: int = 5):
     """(buckets, DIM): sums of the neighbours' index vectors over all documents, and word counts.
 
     Each task sums whole numbers into one array of fixed size and sends its nonzero blocks; blocks
-    are added up on the executors, exactly, so their order doesn't matter.  What comes to the driver is one array of that size, whatever the input.
+    are added up on the executors.  Neighbours are sought inside each text, whole: texts stand apart
+    by REACH blanks, and a cut of a long text is made with REACH words of overlap.  So the sums are
+    exact and don't depend on how rows are dealt.  What comes to the driver is one array of that
+    size, whatever the input.
     """
     import numpy as np
 
     def sums(batches):
         import pyarrow as pa
 
-        index, table = index_vectors(np, seed), _Buckets()
-        total = np.zeros((1 << BITS, DIM + 1))
+        blank = 1 << BITS
+        index, table = np.vstack([index_vectors(np, seed), np.zeros((1, DIM), np.int8)]), _Buckets()
+        total = np.zeros((blank + 1, DIM + 1))
+        gap = np.full(REACH, blank, np.int64)
 
-        def add(ids):
-            near = np.zeros((len(ids), DIM), np.int8)
-            vectors = index[ids]
+        def add(words, counted):
+            """Words in sequence, and the same with blanks for those that other cuts count."""
+            vectors = index[np.concatenate(words)]
+            at = np.concatenate(counted)
+            near = np.zeros(vectors.shape, np.int8)
             for k in range(1, REACH + 1):
                 near[k:] += vectors[:-k]
                 near[:-k] += vectors[k:]
             for d in range(DIM):
-                total[:, d] += np.bincount(ids, near[:, d], 1 << BITS)
-            total[:, DIM] += np.bincount(ids, minlength=1 << BITS)
+                total[:, d] += np.bincount(at, near[:, d], blank + 1)
+            total[:, DIM] += np.bincount(at, minlength=blank + 1)
 
-        held, n = [], 0
+        words, counted, n = [], [], 0
         for text in common.each_text(batches):
             ids = table.of(np, text)
-            for lo in range(0, len(ids), 1 << 18):  # neighbours across this cut aren't counted
-                held.append(ids[lo : lo + (1 << 18)])
-                n += len(held[-1])
-                if n >= 1 << 18:
-                    add(np.concatenate(held))
-                    held, n = [], 0
+            for lo in range(0, len(ids), CUT):
+                hi = min(lo + CUT, len(ids))
+                first, last = max(0, lo - REACH), min(len(ids), hi + REACH)
+                words += [ids[first:last], gap]
+                counted += [gap[: lo - first], ids[lo:hi], gap[: last - hi], gap]
+                n += hi - lo
+                if n >= CUT:
+                    add(words, counted)
+                    words, counted, n = [], [], 0
         if n:
-            add(np.concatenate(held))
+            add(words, counted)
         blocks = [(b, total[b * BLOCK : (b + 1) * BLOCK]) for b in range((1 << BITS) // BLOCK)]
         blocks = [(b, x.tobytes()) for b, x in blocks if x[:, DIM].any()]
         if blocks:
@@ -140,8 +152,9 @@ class Model:
         table = _Buckets()
 
         def score(texts):
-            x = np.stack([pooled(np, table.of(np, t), self.vectors) for t in texts])
-            return 1 / (1 + np.exp(-np.clip(_logits(np, x, self.scaling, self.layers) / self.temperature, -35, 35)))
+            # One by one: a product of matrices may round a row by the rows beside it.
+            logits = np.asarray([_logits(np, pooled(np, table.of(np, t), self.vectors), self.scaling, self.layers) for t in texts]).reshape(len(texts))
+            return 1 / (1 + np.exp(-np.clip(logits / self.temperature, -35, 35)))
 
         return score
 
@@ -160,15 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
     vectors = word_vectors(np, *context_vectors(docs, seed=seed))
 
-    def pool(batches):
+    def features():
         import pyarrow as pa
 
         table = _Buckets()
-        for batch in batches:
-            x = [pooled(np, table.of(np, t), vectors).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
+        return lambda texts: pa.array([pooled(np, table.of(np, t), vectors).tobytes() for t in texts], pa.binary())
 
-    rows = labelled.training_rows(docs, labels, label, max_rows).mapInArrow(common.tidy(pool), "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
+    rows = labelled.training_features(docs, labels, label, max_rows, features, "binary").toArrow().sort_by("doc_id")
     y = (np.asarray(rows["label"].to_numpy()) > 0).astype(np.float64)
     n = 2 * DIM + 1
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, n).astype(np.float64)
@@ -216,6 +227,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The documents that score at least the threshold, with all their columns."""
-    model = fit(docs, labels, **options)
-    return labelled.keep(docs, lambda d: score(d, model), F.col("score") >= threshold)
+    """The documents that score at least the threshold, with all their columns, decided row by row."""
+    return labelled.keep(docs, fit(docs, labels, **options).scorer, lambda s: s >= threshold)

@@ -1,9 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's terms are the words that occur in it and their beginnings of four and five letters,
-hashed.  Those that tell the classes of the training rows apart best have a weight and a vector
-each; a document's score is the logistic function of bias, weights, and products of the vectors
-of all pairs of its terms, so a pair such as an insult with a group's name counts by itself.
+hashed.  Each hash has a weight and a vector; a document's score is the logistic function of bias,
+weights, and products of the vectors of all pairs of its terms, so a pair such as an insult with a
+group's name counts by itself.
+
+Training rows are few and terms many, so training moves a term by its evidence: how surely its rate
+differs between the classes, or how often it occurs, as a term that tells nothing by itself can
+only be trusted in pairs if it was seen often.  No term is left out but those seen fewer than
+LEAST times, of which nothing can be learnt.
 """
 
 from __future__ import annotations
@@ -12,11 +17,12 @@ import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from . import common, labelled
+from . import labelled
 
-BITS = 20
+BITS = 18
+#: Training rows with a term, at least; the z at which its evidence is one half.
+LEAST, HALF = 3, 6.0
 _EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "¡¿«»„“”’‘…–—"
 
 
@@ -31,31 +37,34 @@ def terms(run: str) -> tuple[int, ...]:
 
 
 class _Terms(dict):
-    """Terms of a run, or the positions of those that a model knows; bounded."""
+    """Terms of a run, those that `known` marks if it is given; bounded."""
 
-    def __init__(self, of=None, limit: int = 500_000):
+    def __init__(self, known=None, limit: int = 500_000):
         super().__init__()
-        self.of, self.limit = of, limit
+        self.known, self.limit = known, limit
 
     def __missing__(self, run: str) -> tuple[int, ...]:
         found = terms(run)
-        if self.of is not None:
-            found = tuple(self.of[t] for t in found if t in self.of)
+        if self.known is not None:
+            found = tuple(t for t in found if self.known[t])
         if len(run) <= 64:
             if len(self) > self.limit:
                 self.clear()
             self[run] = found
         return found
 
-    def document(self, text: str | None) -> set[int]:
-        return set().union(*map(self.__getitem__, set(text.split()))) if text else set()
+    def document(self, np, text: str | None):
+        """The sorted terms of a text, each once."""
+        found = set().union(*map(self.__getitem__, set(text.split()))) if text else ()
+        out = np.fromiter(found, np.int64, len(found))
+        out.sort()
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Positions by term hash, bias, weights (n), vectors (n, k)."""
+    """Bias, weights (2**BITS), vectors (2**BITS, k); of the terms never learnt both are zero."""
 
-    positions: dict[int, int]
     bias: float
     weights: object
     vectors: object
@@ -63,89 +72,108 @@ class Model:
     def scorer(self):
         import numpy as np
 
-        table = _Terms(self.positions)
+        table = _Terms(((self.weights != 0) | self.vectors.any(axis=1)).tolist())
 
         def score(texts):
             logits = np.full(len(texts), self.bias)
             for i, text in enumerate(texts):
-                if found := table.document(text):
-                    at = np.fromiter(found, np.int64, len(found))
-                    at.sort()
-                    v = self.vectors[at]
-                    logits[i] += self.weights[at].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
+                at = table.document(np, text)
+                if len(at):
+                    v = self.vectors[at].astype(np.float64)
+                    logits[i] += self.weights[at].sum(dtype=np.float64) + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
             return 1.0 / (1.0 + np.exp(-np.clip(logits, -35, 35)))
 
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, features: int = 2048, factors: int = 8, seed: int = 11) -> Model:
-    """Fit on at most max_rows labelled rows (a bounded sample, the one thing here that is).
-
-    Terms are counted by class where the rows are; the `features` with the largest z of their two
-    rates come to the driver, then each row's positions among them.  With one class only, or no
-    labelled row, the model has a bias only.
-    """
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, max_terms: int = 20_000_000, factors: int = 8, seed: int = 11) -> Model:
+    """Fit on at most max_rows labelled rows (a bounded sample, the one thing here that is), fewer
+    if their terms are more than max_terms: both bound what comes to the driver.  All terms of these
+    rows are trained.  With one class only, or no labelled row, the model has a bias only."""
     import numpy as np
+    from pyspark.sql import functions as F
 
-    rows = labelled.training_rows(docs, labels, label, max_rows)
-
-    def count(batches):
-        import pyarrow as pa
-
-        table, seen = _Terms(), np.zeros((2, (1 << BITS) + 1), np.int64)
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = table.document(text)
-                seen[int(y > 0), list(found) + [1 << BITS]] += 1
-        at = np.flatnonzero(seen.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], ["term", "pos", "neg"])
-
-    counts = rows.select("text", "label").mapInArrow(common.tidy(count), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = common.materialise(counts, "terms")
-    everything = counts.where(F.col("term") == 1 << BITS).first()  # the end of the table counts the rows
-    all_pos, all_neg = (everything.pos, everything.neg) if everything else (0, 0)
-    share = (F.col("pos") + F.col("neg")) / F.lit(max(all_pos + all_neg, 1))
-    z = F.abs(F.col("pos") / max(all_pos, 1) - F.col("neg") / max(all_neg, 1)) / F.sqrt(share * (1 - share))
-    ranked = counts.where((F.col("term") < 1 << BITS) & (F.col("pos") + F.col("neg") >= 3) & F.lit(all_pos * all_neg > 0) & (share < 1))
-    chosen = [r.term for r in ranked.orderBy(z.desc(), "term").limit(features).select("term").collect()]
-    positions = {t: i for i, t in enumerate(chosen)}
-
-    def encode(batches):
+    def features():
         import pyarrow as pa
 
-        table = _Terms(positions)
-        for batch in batches:
-            found = [sorted(table.document(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "label", "at"])
-
-    data = rows.mapInArrow(common.tidy(encode), "doc_id long, label int, at array<int>").toArrow().sort_by("doc_id")
-    y = (np.asarray(data["label"].to_numpy()) > 0).astype(np.float32)
-    if not positions or not len(y):
-        return Model({}, float(np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0))), np.zeros(0), np.zeros((0, factors)))
-    return Model(positions, *_train(np, data["at"].to_pylist(), y, len(positions), factors, seed))
-
-
-def _train(np, at: list[list[int]], y, n: int, k: int, seed: int, epochs: int = 20, batch: int = 256, decay: float = 4e-5, rate: float = 0.02):
-    """Adam on the logistic loss; a batch is one small dense matrix."""
-    rng = np.random.default_rng(seed)
-    params = [np.asarray([np.log((y.sum() + 1) / (len(y) - y.sum() + 1))]), np.zeros(n), rng.normal(0, 0.01, (n, k))]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    step = 0
+        table = _Terms()
+        return lambda texts: pa.array([table.document(np, t) for t in texts], pa.list_(pa.int32()))
+
+    rows = labelled.training_features(docs, labels, label, max_rows, features, "array<int>").withColumn("place", F.xxhash64("doc_id"))
+    sizes = rows.select("place", F.size("x").alias("n")).toArrow().sort_by("place")
+    fits = np.cumsum(sizes["n"].to_numpy().astype(np.int64)) <= max_terms
+    if not fits.all():
+        rows = rows.where(F.col("place") < F.lit(int(sizes["place"][int(fits.argmin())].as_py())))
+    data = rows.select("doc_id", "label", "x").toArrow().sort_by("doc_id").combine_chunks()
+    y = (data["label"].to_numpy() > 0).astype(np.float32)
+    n = data["x"].combine_chunks().value_lengths().to_numpy() if len(y) else np.zeros(0, np.int64)
+    at = data["x"].combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0, np.int32)
+    if not 0 < y.sum() < len(y):
+        return Model(float(np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0))), np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, factors), np.float32))
+    return Model(*_train(np, at, n, y, factors, seed))
+
+
+def evidence(np, at, row, y, size: int):
+    """For each term 0 to 1: z**4 / (z**4 + HALF**4), z from the difference of its two rates, or the
+    share of the rows that have it if that is more; 0 below LEAST rows."""
+    seen, pos = np.bincount(at, minlength=size), np.bincount(at, y[row], size)
+    yes, no = y.sum(), len(y) - y.sum()
+    share = seen / len(y)
+    z4 = (np.abs(pos / yes - (seen - pos) / no) ** 2 / np.maximum(share * (1 - share) * (1 / yes + 1 / no), 1e-12)) ** 2
+    return np.where(seen >= LEAST, np.maximum(z4 / (z4 + HALF**4), share), 0).astype(np.float32)
+
+
+def _train(np, at, n, y, k: int, seed: int, epochs: int = 12, rate: float = 0.07, spread: float = 0.05):
+    """(bias, weights, vectors) by adaptive gradient steps on the logistic loss, over sparse batches;
+    at: the terms of all rows, n: how many each row has."""
+    rng, size = np.random.default_rng(seed), 1 << BITS
+    row = np.repeat(np.arange(len(n)), n)
+    scale = evidence(np, at, row, y, size)
+    used = scale[at] > 0
+    at, n = at[used], np.bincount(row[used], minlength=len(n))
+    known = np.flatnonzero(scale)
+    place = np.zeros(size, np.int32)
+    place[known] = np.arange(len(known))
+    at, scale, starts = place[at], scale[known], np.cumsum(n) - n
+    w, v = np.zeros(len(known), np.float32), rng.normal(0, spread, (len(known), k)).astype(np.float32)
+    seen_w, seen_v = np.zeros_like(w), np.zeros_like(v)
+    bias, seen_bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0
+    slot = np.zeros(len(known), np.int32)
+    batch = min(256, max(16, len(y) // 64))
     for epoch in range(epochs):
+        step = rate * 0.5 ** (epoch / 4)
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
-            x = np.zeros((len(part), n))
-            for row, i in enumerate(part):
-                x[row, at[i]] = 1.0
-            s = x @ params[2]
-            logit = params[0] + x @ params[1] + 0.5 * ((s * s).sum(1) - x @ (params[2] ** 2).sum(1))
-            g = (1 / (1 + np.exp(-np.clip(logit, -35, 35))) - y[part]) / len(part)
-            grads = [np.asarray([g.sum()]), x.T @ g + decay * params[1], x.T @ (g[:, None] * s) - params[2] * (x.T @ g)[:, None] + decay * params[2]]
-            step += 1
-            for p, m, d in zip(params, moments, grads, strict=True):
-                m[0] += 0.1 * (d - m[0])
-                m[1] += 0.001 * (d * d - m[1])
-                p -= rate * (0.5 ** (epoch / 5)) * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-    return float(params[0][0]), params[1], params[2]
+            m = n[part]
+            ends = np.cumsum(m)
+            here = at[np.repeat(starts[part] - (ends - m), m) + np.arange(ends[-1])]
+            r = np.repeat(np.arange(len(part)), m)
+            marked = np.zeros(len(known), bool)
+            marked[here] = True
+            cols = np.flatnonzero(marked)
+            slot[cols] = np.arange(len(cols), dtype=np.int32)
+            of = slot[here]
+            e = scale[cols]
+            vectors = v[cols] * e[:, None]
+            full = m > 0
+            s, squares, linear = np.zeros((len(part), k), np.float32), np.zeros(len(part)), np.zeros(len(part))
+            if full.any():
+                cuts = (ends - m)[full]
+                s[full] = np.add.reduceat(vectors[of], cuts)
+                squares[full] = np.add.reduceat((vectors * vectors).sum(1)[of], cuts)
+                linear[full] = np.add.reduceat((w[cols] * e)[of], cuts)
+            logit = bias + linear + 0.5 * ((s * s).sum(1) - squares)
+            g = ((1 / (1 + np.exp(-np.clip(logit, -35, 35))) - y[part]) / len(part)).astype(np.float32)
+            each = g[r]
+            total = np.bincount(of, each, len(cols))
+            pairs = np.stack([np.bincount(of, each * s[r, f], len(cols)) for f in range(k)], axis=1)
+            for x, seen, d in ((w, seen_w, total * e), (v, seen_v, (pairs - vectors * total[:, None]) * e[:, None])):
+                seen[cols] += d * d
+                x[cols] -= step * d / np.sqrt(seen[cols] + 1e-9)
+            seen_bias += float(g.sum()) ** 2
+            bias -= step * float(g.sum()) / (seen_bias + 1e-9) ** 0.5
+    weights, out = np.zeros(size, np.float32), np.zeros((size, k), np.float32)
+    weights[known], out[known] = w * scale, v * scale[:, None]
+    return bias, weights, out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -154,6 +182,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
-    model = fit(docs, labels, **options)
-    return labelled.keep(docs, lambda d: score(d, model), F.col("score") < threshold)
+    """The documents that score below the threshold, with all their columns, decided row by row."""
+    return labelled.keep(docs, fit(docs, labels, **options).scorer, lambda s: s < threshold)

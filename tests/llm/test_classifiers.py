@@ -87,29 +87,72 @@ def test_keep(data):
     assert 0.9 < good.count() / sum(q for _, q, _ in truth.values()) < 1.1
 
 
-def test_context_vectors_are_sums_over_all_rows(documents):
-    texts = ["a b c", "b c", None, "", "c a b a"]
-    sums, counts = quality.context_vectors(documents(list(enumerate(texts))))
+@pytest.mark.parametrize("cut", [1 << 18, 3])
+def test_context_vectors_are_sums_inside_texts(documents, monkeypatch, cut):
+    monkeypatch.setattr(quality, "CUT", cut)
+    texts = ["a b c", "b c", None, "", "c a b a", "d", "a b c d e f g h i a b c"]
     index, table = quality.index_vectors(np), quality._Buckets()
-    # Texts in one task follow each other, so only what lies inside a text is certain; one row a task.
-    one = documents([(0, "c a b a")]).coalesce(1)
-    s, c = quality.context_vectors(one)
-    ids = table.of(np, "c a b a")
-    expected = np.zeros_like(s)
-    for i in range(4):
-        for j in range(max(0, i - 2), min(4, i + 3)):
-            if i != j:
-                expected[ids[i]] += index[ids[j]]
-    assert np.array_equal(s, expected) and c.sum() == 4 and counts.sum() == 9
-
-
-def test_factorization_machine_learns_pairs(documents, labels):
+    expected, seen = np.zeros((1 << quality.BITS, quality.DIM)), np.zeros(1 << quality.BITS)
+    for text in texts:
+        ids = table.of(np, text)
+        for i in range(len(ids)):
+            seen[ids[i]] += 1
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if i != j:
+                    expected[ids[i]] += index[ids[j]]
+    for parts in (1, 3):
+        sums, counts = quality.context_vectors(documents(list(enumerate(texts))).repartition(parts))
+        assert np.array_equal(sums, expected) and np.array_equal(counts, seen)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_scores_do_not_depend_on_the_dealing(spark, small, module):
+    """To the last bit."""
+    docs, marks = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    found = []
+    for parts in (1, 3, 7):
+        dealt = docs.repartition(parts)
+        found.append(sorted(tuple(r) for r in module.score(dealt, module.fit(dealt, marks.repartition(parts))).collect()))
+    assert found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_rows_are_kept_one_by_one(module, documents, labels):
+    """Null and repeated ids: each row by its own text."""
+    rows, marks = corpus(400)
+    odd = [(None, rows[1][1]), (None, rows[2][1]), (7000, rows[3][1]), (7000, rows[4][1]), (7000, None), (7000, rows[3][1])]
+    docs, given = documents(rows + odd), labels(marks)
+    model = module.fit(docs, given)
+    keep, good = (module.keep_good, lambda s: s >= 0.3) if module is quality else (module.keep_clean, lambda s: s < 0.5)
+    scores = dict(zip([r[1] for r in rows + odd], model.scorer()([r[1] for r in rows + odd]), strict=True))
+    expected = sorted(repr((i, t)) for i, t in rows + odd if good(scores[t]))
+    kept = keep(docs, given)
+    assert kept.columns == docs.columns
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == expected
+
+
+def test_training_rows_are_bounded(documents, labels):
+    """One id many times with different texts, and more labels than rows wanted."""
+    docs = documents([(1, f"text {k}") for k in range(300)] + [(i, "other") for i in range(2, 60)])
+    marks = labels([(i, 1, 0) for i in range(1, 60)])
+    import pyarrow as pa
+
+    found = [labelled.training_features(docs.repartition(p), marks, "quality", n, lambda: lambda texts: pa.array(texts, pa.string()), "string").collect() for p in (1, 4) for n in (1, 20, 1000)]
+    assert [len(f) for f in found] == [1, 20, len(found[2])] * 2 and 20 < len(found[2]) < 60
+    assert sorted(found[0]) == sorted(found[3]) and sorted(found[2]) == sorted(found[5])
+
+
+NOISE = [f"noise{k * 7919 % 6007}x{k}" for k in range(6000)]
+
+
+@pytest.mark.parametrize("vocabulary", [FILLER, NOISE])
+def test_factorization_machine_learns_pairs(documents, labels, vocabulary):
     """Two words that are harmless alone and toxic together, which weights alone can't tell."""
     rng = random.Random(4)
     rows, marks = [], []
     for i in range(1200):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        words = ["alpha"] * a + ["omega"] * b + [rng.choice(FILLER) for _ in range(5)]
+        words = ["alpha"] * a + ["omega"] * b + [rng.choice(vocabulary) for _ in range(5)]
         rng.shuffle(words)
         rows.append((i, " ".join(words)))
         marks.append((i, 1, int(a == b)))
@@ -119,6 +162,45 @@ def test_factorization_machine_learns_pairs(documents, labels):
     assert held_out_accuracy(labelled.report(toxicity.score(docs, model), 0.5).collect(), truth, 2) > 0.9
 
 
+def test_factorization_machine_by_pairs(data):
+    """The score is bias, weights and products of all pairs' vectors, summed in a plain loop."""
+    docs, given, _ = data
+    model = toxicity.fit(docs, given)
+    texts = [r.text for r in docs.limit(30).collect()] + ["", None, "unseen words only"]
+    for text, s in zip(texts, model.scorer()(texts), strict=True):
+        at = sorted({t for run in (text or "").split() for t in toxicity.terms(run)})
+        logit = model.bias + sum(float(model.weights[i]) for i in at)
+        logit += sum(float(model.vectors[i].astype(float) @ model.vectors[j].astype(float)) for k, i in enumerate(at) for j in at[:k])
+        assert s == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
+
+
+def test_training_lowers_the_loss(monkeypatch):
+    """By a plain loss of every row, one without terms among them."""
+    at, n, y = np.asarray([0, 1, 1, 2, 0, 2, 0, 1, 2, 1, 0, 2]), np.asarray([2, 2, 2, 3, 0, 1, 2]), np.asarray([1, 0, 1, 0, 1, 0, 1], np.float32)
+    monkeypatch.setattr(toxicity, "LEAST", 1)
+    bias, w, v = toxicity._train(np, at, n, y, 2, 1, epochs=40, rate=0.2)
+    start = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+
+    def loss(bias, w, v):
+        out, k = 0.0, 0
+        for size, label in zip(n, y, strict=True):
+            mine = at[k : k + size]
+            k += size
+            s = v[mine].sum(0)
+            z = bias + w[mine].sum() + 0.5 * ((s * s).sum() - (v[mine] ** 2).sum())
+            out += np.logaddexp(0, z) - label * z
+        return out
+
+    assert loss(bias, w, v) < 0.9 * loss(start, np.zeros_like(w), np.zeros_like(v))
+
+
+def test_many_terms_bound_the_rows(data):
+    docs, given, truth = data
+    model = toxicity.fit(docs, given, max_terms=20_000)
+    whole = toxicity.fit(docs, given)
+    assert np.count_nonzero(model.weights) > 0 and not np.array_equal(model.weights, whole.weights)
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     logits = rng.normal(0, 2, 4000)

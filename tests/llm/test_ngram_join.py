@@ -104,6 +104,26 @@ def test_keep_first_keeps_columns_and_one_of_each(spark, documents):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 5, 7, 8]
 
 
+def test_rows_of_one_id(spark, documents):
+    """Decided by id and text: no text that is unlike all others is lost."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, one), (2, one), (2, two), (2, two), (2, two + " end"), (3, three), (3, "odd"), (None, one), (None, one), (4, None), (4, None), (4, ""), (5, "few words"), (6, "few words")]
+    docs = documents(rows)
+    linked = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs).collect()), key=str)
+    n = 36
+    assert linked == sorted([(1, n, 1), (2, n, 1), (2, n, 2), (2, n, 2), (2, n + 1, 2), (3, n, 3), (3, 1, 3), (None, n, None), (None, n, None), (4, 0, 4), (4, 0, 4), (4, 0, 4), (5, 1, 5), (6, 1, 5)], key=str)
+    found = [sorted(((r.doc_id, r.text) for r in ngram_join.keep_first(docs.repartition(p)).collect()), key=str) for p in (1, 5)]
+    assert found[0] == found[1]
+    assert [t for i, t in found[0] if i == 2] in ([two], [two + " end"])
+    assert sorted(((i, t) for i, t in found[0] if i != 2), key=str) == sorted([(1, one), (3, three), (3, "odd"), (None, one), (None, one), (4, None), (4, ""), (5, "few words")], key=str)
+
+
+def test_repeated_rows_leave_one(spark, documents):
+    """That with the smallest columns, whatever the order of the rows."""
+    docs = documents([(1, "a b c d e f", s) for s in "zyx"])
+    assert [r.source for r in ngram_join.keep_first(docs).collect()] == ["x"]
+
+
 def test_tree_prunes_but_loses_nothing():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in rng.integers(5, 300, 150)]
