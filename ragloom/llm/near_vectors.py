@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .components import connected_components
 from .common import materialise
+from .components import connected_components
 
-LINK_SCHEMA = "rep long, links long, root long"
+LINK_SCHEMA = "node long, links long, root long"
+TABLE_BITS = 8
 
 
 def usable(embedding: Column) -> Column:
@@ -40,64 +42,66 @@ def _unit(np, column):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24, projections: int = 8, width: float = 1.5, seed: int = 3, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors.
 
-    Equal vectors are one, with a count, before anything else.  A pair is found if some table has
-    both in one bucket, and linked if its cosine reaches the threshold; it counts in the first
-    table that has it.  A bucket is compared inside one task by matrix products; what leaves the
-    task is a row for each vector: links found and its root among them.  Buckets of more than
-    `block` vectors are cut into parts of that size and every two parts compared, in tasks of
-    their own.  The defaults find a pair at cosine 0.9 with probability 0.94, at 0.95 with 0.99.
+    Equal vectors are one node, with a count, before anything else.  A pair is found if some table
+    has both in one bucket, and linked if its cosine, in double precision, reaches the threshold; it
+    counts in the first table that has it.  Buckets are counted on numbers alone; only vectors that
+    share a bucket travel to it, once each.  A bucket is compared inside one task by matrix products;
+    what leaves the task is a row for each vector: links found and its root among them.  Buckets of
+    more than `block` vectors are cut into parts of that size and every two parts compared, in tasks
+    of their own.  The defaults find a pair at cosine 0.9 with probability 0.94, at 0.95 with 0.99.
 
     Null or zero vectors and those with null or non-finite components have no links and stand for
-    themselves.  Vectors of different lengths are never linked.  Rows with equal ids are each one.
+    themselves.  Vectors of different lengths are never linked.  Rows with equal ids are each one,
+    and linked only by their own vectors.  A null id has no links and a null component.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("e"))
+    kind = "array<float>" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("e"))
     ok = rows.where(usable(F.col("e")) & F.col("vec_id").isNotNull())
     distinct = ok.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     width_of = dict(tables=tables, projections=projections, width=width, seed=seed)
 
-    def keyed(full: bool):
-        def run(batches):
-            import numpy as np
-            import pyarrow as pa
-            import pyarrow.compute as pc
-
-            for batch in batches:
-                for dim in pc.unique(pc.list_value_length(batch.column(0))).to_pylist():
-                    same = batch.filter(pc.equal(pc.list_value_length(batch.column(0)), dim))
-                    for lo in range(0, same.num_rows, 1000):
-                        part = same.slice(lo, 1000)
-                        keys = hashes(np, _unit(np, part.column(0)), **width_of)
-                        for t in range(tables):
-                            out = {"tab": pa.array(np.full(len(keys), t, np.int32)), "bucket": pa.array(keys[:, t].astype(np.int64) | dim << 32)}
-                            if full:
-                                out |= {"rep": part.column(1), "copies": part.column(2), "sig": pa.array([k.tobytes() for k in keys], pa.binary()), "e": part.column(0)}
-                            yield pa.RecordBatch.from_pydict(out)
-
-        return run
-
-    hot = distinct.mapInArrow(keyed(False), "tab int, bucket long").groupBy("tab", "bucket").count().where(F.col("count") > block)
-    hot = hot.select("tab", "bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    placed = distinct.mapInArrow(keyed(True), "tab int, bucket long, rep long, copies long, sig binary, e array<float>").join(hot, ["tab", "bucket"], "left")
-    parts = F.coalesce("parts", F.lit(1))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    placed = placed.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("parts", "other")
-    run = ["tab", "bucket", "lo", "hi"]
-    dealt = placed.repartition(*run).sortWithinPartitions(*run).select(*run, "own", "rep", "copies", "sig", "e")
-    found = dealt.mapInArrow(_compare(threshold), LINK_SCHEMA)
-    found = found.groupBy("rep").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots"))  # one root a table at most, and part
+    def sign(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for dim in pc.unique(pc.list_value_length(batch.column(0))).to_pylist():
+                same = batch.filter(pc.equal(pc.list_value_length(batch.column(0)), dim))
+                for lo in range(0, same.num_rows, 1000):
+                    part = same.slice(lo, 1000)
+                    keys = hashes(np, _unit(np, part.column(0)), **width_of).view(np.int32)
+                    sig = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, sig], ["e", "rep", "copies", "sig"])
+
+    nodes = distinct.mapInArrow(sign, f"e {kind}, rep long, copies long, sig array<int>")
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # hashed and numbered once
+    # A bucket's number: the vectors' length, 8 bits of the table, 32 of the hash.
+    slot = nodes.select("node", F.size("e").cast("long").alias("dim"), F.posexplode("sig").alias("tab", "key"))
+    keyed = slot.select("node", F.expr(f"(dim << {TABLE_BITS + 32}) | (cast(tab as bigint) << 32) | (cast(key as bigint) & 4294967295)").alias("bucket"))
+    shared = keyed.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    placed = keyed.join(shared, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("node", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+    run = ["bucket", "lo", "hi"]
+    dealt = placed.join(nodes.select("node", "copies", "sig", "e"), "node").repartition(*run).sortWithinPartitions(*run)
+    found = dealt.select(*run, "own", "node", "copies", "sig", "e").mapInArrow(_compare(threshold), LINK_SCHEMA)
+    found = found.groupBy("node").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots"))  # one root a table at most, and part
     found = materialise(found, "links")
-    links = found.select("rep", "links")
-    component = connected_components(found.select(F.col("rep").alias("a"), F.explode("roots").alias("b")))
-    groups = distinct.join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    groups = groups.select(F.col("e").alias("g"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    component = connected_components(found.select(F.col("node").alias("a"), F.explode("roots").alias("b")))
+    slim = nodes.select("node", "rep", "copies")
+    smallest = component.join(slim, "node").groupBy("component").agg(F.min("rep").alias("smallest"))
+    told = slim.join(found.select("node", "links"), "node", "left").join(component, "node", "left").join(smallest, "component", "left")
+    told = told.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "rep").alias("component_id"))
     key = F.when(usable(F.col("e")) & F.col("vec_id").isNotNull(), F.col("e"))
-    out = rows.withColumn("k", key).join(groups, F.col("k") == F.col("g"), "left")
+    out = rows.select("vec_id", key.alias("k")).join(nodes.select(F.col("e").alias("g"), "node"), F.col("k") == F.col("g"), "left").select("vec_id", "node")
+    out = out.join(told, "node", "left")
     component_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(True)).alias("kept"))
 
 
 def _compare(threshold: float, small: int = 64):
-    """Compares the vectors of each run of equal (tab, bucket, lo, hi) in sorted rows."""
+    """Compares the vectors of each run of equal (bucket, lo, hi) in sorted rows."""
 
     def run(batches):
         import numpy as np
@@ -110,7 +114,7 @@ def _compare(threshold: float, small: int = 64):
                 table = pa.concat_tables([rest, table])
             if not table.num_rows:
                 continue
-            keys = np.column_stack([table.column(k).to_numpy() for k in range(4)])
+            keys = np.column_stack([table.column(k).to_numpy() for k in range(3)])
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             yield from links(table.slice(0, starts[-1]), starts[:-1])
             rest = table.slice(starts[-1])  # may go on in the next batch
@@ -128,18 +132,19 @@ def _compare(threshold: float, small: int = 64):
         table = table.filter(pa.array(used)).combine_chunks()
         sizes = sizes[sizes > 1]
         starts = np.cumsum(sizes) - sizes
-        tab, lo, hi, own, rep, copies = (table.column(c).to_numpy() for c in ("tab", "lo", "hi", "own", "rep", "copies"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(rep), -1)
+        bucket, lo, hi, own, node, copies = (table.column(c).to_numpy() for c in ("bucket", "lo", "hi", "own", "node", "copies"))
+        tab = bucket >> 32 & (1 << TABLE_BITS) - 1
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         unit, e = {}, table.column("e").combine_chunks()
         lengths = np.diff(e.offsets.to_numpy())
-        slot = np.zeros(len(rep), np.int64)
+        slot = np.zeros(len(node), np.int64)
         for dim in np.unique(lengths):
             rows = np.flatnonzero(lengths == dim)
             unit[dim], slot[rows] = _unit(np, e.take(pa.array(rows))), np.arange(len(rows))
-        links, parent = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        order = np.lexsort((rep, np.repeat(starts, sizes)))  # within a run smaller ids are roots
-        place = np.empty(len(rep), np.int64)
-        place[order] = np.arange(len(rep))
+        links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
+        order = np.lexsort((node, np.repeat(starts, sizes)))  # within a run smaller nodes are roots
+        place = np.empty(len(node), np.int64)
+        place[order] = np.arange(len(node))
 
         def found(i, j):
             """Pairs of row numbers at or above the threshold; those of earlier tables don't count."""
@@ -150,7 +155,7 @@ def _compare(threshold: float, small: int = 64):
                 a, b = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
                 new[s : s + (1 << 15)] = ~((sig[a] == sig[b]) & (np.arange(sig.shape[1]) < tab[a][:, None])).any(axis=1)
             i, j = i[new], j[new]
-            links[:] += np.bincount(i, copies[j], len(rep)).astype(np.int64) + np.bincount(j, copies[i], len(rep)).astype(np.int64)
+            links[:] += np.bincount(i, copies[j], len(node)).astype(np.int64) + np.bincount(j, copies[i], len(node)).astype(np.int64)
             join(np, parent, place[i], place[j])
 
         plain = (sizes <= small) & (lo[starts] == hi[starts])
@@ -177,7 +182,7 @@ def _compare(threshold: float, small: int = 64):
                 found(i[keep], j[keep])
         linked = np.flatnonzero(links)
         if len(linked):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(links[linked]), pa.array(rep[order[parent[place[linked]]]])], ["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(links[linked]), pa.array(node[order[parent[place[linked]]]])], ["node", "links", "root"])
 
     return run
 

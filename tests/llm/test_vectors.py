@@ -79,6 +79,34 @@ def test_repeated_rows_link(spark):
     assert near_vectors.near_duplicates(frame(spark, [(1, [1, 2])]).limit(0)).count() == 0
 
 
+def test_double_precision(spark):
+    """Components that no float holds, and a cosine that floats would round over the threshold."""
+    near = 0.9 - 1e-12
+    rows = [(1, [1e-60] * 4), (2, [1e-60] * 4), (3, [1e200, 1e200, 1.0, 1.0]), (4, [1e200, 1e200, 1.0, 1.0]), (5, [1.0, 0.0]), (6, [near, (1 - near**2) ** 0.5]), (7, [0.9 + 1e-12, (1 - (0.9 + 1e-12) ** 2) ** 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_duplicates(frame, width=4.0, projections=2).collect())
+    assert found == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5), (7, 2, 5)]
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(3, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [0.01, 1.0, 0.0]), (7, [0.0, 0.0, 1.0])]
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_duplicates(frame(spark, rows)).collect())
+    assert found == [(3, 1, 3), (3, 1, 3), (5, 1, 3), (6, 1, 3), (7, 0, 7)]
+
+
+def test_planted_copies_in_the_table(spark, small):
+    """The fixture's vectors with near copies of a third of them, as the table has none by itself."""
+    rng = np.random.default_rng(4)
+    table = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
+    rows = table + [(10_000 + i, [float(np.float32(x + 0.02 * rng.normal())) for x in v]) for i, v in table[::3]] + [(20_000 + i, v) for i, v in table[::5]]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(frame(spark, rows)).collect()}
+    expected = {i: (n, c) for i, n, c in plain_links(rows)}
+    assert sum(n for n, _ in expected.values()) > 400
+    assert all(found[i][0] <= n for i, (n, _) in expected.items())
+    assert sum(n for n, _ in found.values()) >= 0.97 * sum(n for n, _ in expected.values())
+    assert np.mean([found[i] == expected[i] for i in expected]) > 0.97
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs of a cosine just above 0.9, the hardest to find."""
     rng = np.random.default_rng(8)
