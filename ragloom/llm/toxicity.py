@@ -37,16 +37,16 @@ def terms(run: str) -> tuple[int, ...]:
 
 
 class _Terms(dict):
-    """Terms of a run, those that `known` marks if it is given; bounded."""
+    """Terms of a run, or the places of those that `known` has if it is given; bounded."""
 
-    def __init__(self, known=None, limit: int = 500_000):
+    def __init__(self, known: dict[int, int] | None = None, limit: int = 250_000):
         super().__init__()
         self.known, self.limit = known, limit
 
     def __missing__(self, run: str) -> tuple[int, ...]:
         found = terms(run)
         if self.known is not None:
-            found = tuple(t for t in found if self.known[t])
+            found = tuple(self.known[t] for t in found if t in self.known)
         if len(run) <= 64:
             if len(self) > self.limit:
                 self.clear()
@@ -63,16 +63,17 @@ class _Terms(dict):
 
 @dataclass(frozen=True)
 class Model:
-    """Bias, weights (2**BITS), vectors (2**BITS, k); of the terms never learnt both are zero."""
+    """Bias, and of each learnt term its hash, weight, and vector (n, k)."""
 
     bias: float
+    hashes: object
     weights: object
     vectors: object
 
     def scorer(self):
         import numpy as np
 
-        table = _Terms(((self.weights != 0) | self.vectors.any(axis=1)).tolist())
+        table = _Terms({t: i for i, t in enumerate(self.hashes.tolist())})
 
         def score(texts):
             logits = np.full(len(texts), self.bias)
@@ -109,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     n = data["x"].combine_chunks().value_lengths().to_numpy() if len(y) else np.zeros(0, np.int64)
     at = data["x"].combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0, np.int32)
     if not 0 < y.sum() < len(y):
-        return Model(float(np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0))), np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, factors), np.float32))
+        return Model(float(np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0))), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
     return Model(*_train(np, at, n, y, factors, seed))
 
 
@@ -124,7 +125,7 @@ def evidence(np, at, row, y, size: int):
 
 
 def _train(np, at, n, y, k: int, seed: int, epochs: int = 12, rate: float = 0.07, spread: float = 0.05):
-    """(bias, weights, vectors) by adaptive gradient steps on the logistic loss, over sparse batches;
+    """(bias, hashes, weights, vectors) by adaptive gradient steps on the logistic loss, over sparse batches;
     at: the terms of all rows, n: how many each row has."""
     rng, size = np.random.default_rng(seed), 1 << BITS
     row = np.repeat(np.arange(len(n)), n)
@@ -171,9 +172,7 @@ def _train(np, at, n, y, k: int, seed: int, epochs: int = 12, rate: float = 0.07
                 x[cols] -= step * d / np.sqrt(seen[cols] + 1e-9)
             seen_bias += float(g.sum()) ** 2
             bias -= step * float(g.sum()) / (seen_bias + 1e-9) ** 0.5
-    weights, out = np.zeros(size, np.float32), np.zeros((size, k), np.float32)
-    weights[known], out[known] = w * scale, v * scale[:, None]
-    return bias, weights, out
+    return bias, known.astype(np.int32), w * scale, v * scale[:, None]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

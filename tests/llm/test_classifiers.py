@@ -168,7 +168,8 @@ def test_factorization_machine_by_pairs(data):
     model = toxicity.fit(docs, given)
     texts = [r.text for r in docs.limit(30).collect()] + ["", None, "unseen words only"]
     for text, s in zip(texts, model.scorer()(texts), strict=True):
-        at = sorted({t for run in (text or "").split() for t in toxicity.terms(run)})
+        place = {t: k for k, t in enumerate(model.hashes.tolist())}
+        at = sorted({place[t] for run in (text or "").split() for t in toxicity.terms(run) if t in place})
         logit = model.bias + sum(float(model.weights[i]) for i in at)
         logit += sum(float(model.vectors[i].astype(float) @ model.vectors[j].astype(float)) for k, i in enumerate(at) for j in at[:k])
         assert s == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
@@ -178,7 +179,7 @@ def test_training_lowers_the_loss(monkeypatch):
     """By a plain loss of every row, one without terms among them."""
     at, n, y = np.asarray([0, 1, 1, 2, 0, 2, 0, 1, 2, 1, 0, 2]), np.asarray([2, 2, 2, 3, 0, 1, 2]), np.asarray([1, 0, 1, 0, 1, 0, 1], np.float32)
     monkeypatch.setattr(toxicity, "LEAST", 1)
-    bias, w, v = toxicity._train(np, at, n, y, 2, 1, epochs=40, rate=0.2)
+    bias, _, w, v = toxicity._train(np, at, n, y, 2, 1, epochs=40, rate=0.2)
     start = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
 
     def loss(bias, w, v):
