@@ -11,6 +11,8 @@ from .components import connected_components
 
 LINK_SCHEMA = "node long, links long, root long"
 TABLE_BITS = 8
+#: Further projections in a byte each; the 0.99999 quantile of the mean of that many chi-square numbers.
+PROBES, PROBE_WIDTH, PROBE_REACH = 24, 0.05, 2.8
 
 
 def usable(embedding: Column) -> Column:
@@ -44,8 +46,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24
 
     Equal vectors are one node, with a count, before anything else.  A pair is found if some table
     has both in one bucket, and linked if its cosine, in double precision, reaches the threshold; it
-    counts in the first table that has it.  Buckets are counted on numbers alone; only vectors that
-    share a bucket travel to it, once each.  A bucket is compared inside one task by matrix products;
+    counts in the first table that has it.  Numbers meet in the buckets first, each with a few
+    more projections in a byte each; only vectors that have another in their bucket that these do
+    not put far away (a linked pair is lost by them in one case of 100,000) travel there.  A bucket is compared inside one task by matrix products;
     what leaves the task is a row for each vector: links found and its root among them.  Buckets of
     more than `block` vectors are cut into parts of that size and every two parts compared, in tasks
     of their own.  The defaults find a pair at cosine 0.9 with probability 0.94, at 0.95 with 0.99.
@@ -70,28 +73,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24
                 same = batch.filter(pc.equal(pc.list_value_length(batch.column(0)), dim))
                 for lo in range(0, same.num_rows, 1000):
                     part = same.slice(lo, 1000)
-                    keys = hashes(np, _unit(np, part.column(0)), **width_of).view(np.int32)
+                    unit = _unit(np, part.column(0))
+                    keys = hashes(np, unit, **width_of).view(np.int32)
                     sig = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel()))
-                    yield pa.RecordBatch.from_arrays([*part.columns, sig], ["e", "rep", "copies", "sig"])
+                    probe = pa.array([x.tobytes() for x in probes(np, unit, seed)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns, sig, probe], ["e", "rep", "copies", "sig", "probe"])
 
-    nodes = distinct.mapInArrow(sign, f"e {kind}, rep long, copies long, sig array<int>")
+    nodes = distinct.mapInArrow(sign, f"e {kind}, rep long, copies long, sig array<int>, probe binary")
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")  # hashed and numbered once
     # A bucket's number: the vectors' length, 8 bits of the table, 32 of the hash.
-    slot = nodes.select("node", F.size("e").cast("long").alias("dim"), F.posexplode("sig").alias("tab", "key"))
-    keyed = slot.select("node", F.expr(f"(dim << {TABLE_BITS + 32}) | (cast(tab as bigint) << 32) | (cast(key as bigint) & 4294967295)").alias("bucket"))
-    shared = keyed.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    placed = keyed.join(shared, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    slot = nodes.select("node", "probe", F.size("e").cast("long").alias("dim"), F.posexplode("sig").alias("tab", "key"))
+    keyed = slot.select("node", "probe", F.expr(f"(dim << {TABLE_BITS + 32}) | (cast(tab as bigint) << 32) | (cast(key as bigint) & 4294967295)").alias("bucket"))
+    hot = keyed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    placed = keyed.join(materialise(hot, "hot"), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("node", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
     run = ["bucket", "lo", "hi"]
-    dealt = placed.join(nodes.select("node", "copies", "sig", "e"), "node").repartition(*run).sortWithinPartitions(*run)
-    found = dealt.select(*run, "own", "node", "copies", "sig", "e").mapInArrow(_compare(threshold), LINK_SCHEMA)
+    placed = placed.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "probe")
+    near = placed.repartition(*run).sortWithinPartitions(*run).mapInArrow(_runs(_near(threshold)), "bucket long, lo int, hi int, own int, node long")
+    dealt = near.join(nodes.select("node", "copies", "sig", "e"), "node").repartition(*run).sortWithinPartitions(*run)
+    found = dealt.select(*run, "own", "node", "copies", "sig", "e").mapInArrow(_runs(_compare(threshold)), LINK_SCHEMA)
     found = found.groupBy("node").agg(F.sum("links").alias("links"), F.collect_set("root").alias("roots"))  # one root a table at most, and part
     found = materialise(found, "links")
     component = connected_components(found.select(F.col("node").alias("a"), F.explode("roots").alias("b")))
     slim = nodes.select("node", "rep", "copies")
     smallest = component.join(slim, "node").groupBy("component").agg(F.min("rep").alias("smallest"))
-    told = slim.join(found.select("node", "links"), "node", "left").join(component, "node", "left").join(smallest, "component", "left")
+    told = slim.join(found.select("node", "links"), "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = told.join(smallest, "component", "left")
     told = told.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "rep").alias("component_id"))
     key = F.when(usable(F.col("e")) & F.col("vec_id").isNotNull(), F.col("e"))
     out = rows.select("vec_id", key.alias("k")).join(nodes.select(F.col("e").alias("g"), "node"), F.col("k") == F.col("g"), "left").select("vec_id", "node")
@@ -100,8 +107,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 24
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("vec_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def _compare(threshold: float, small: int = 64):
-    """Compares the vectors of each run of equal (bucket, lo, hi) in sorted rows."""
+def probes(np, unit, seed: int):
+    """(n, PROBES) of int8: further projections of each vector, in cells of PROBE_WIDTH."""
+    directions = np.random.default_rng([seed, unit.shape[1], PROBES]).normal(size=(unit.shape[1], PROBES))
+    return np.clip(np.rint(unit @ directions / PROBE_WIDTH), -127, 127).astype(np.int8)
+
+
+def _runs(of):
+    """of(table, starts) for the rows of whole runs of equal (bucket, lo, hi), in sorted batches."""
 
     def run(batches):
         import numpy as np
@@ -116,22 +129,79 @@ def _compare(threshold: float, small: int = 64):
                 continue
             keys = np.column_stack([table.column(k).to_numpy() for k in range(3)])
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            yield from links(table.slice(0, starts[-1]), starts[:-1])
+            yield from of(table.slice(0, starts[-1]), starts[:-1])
             rest = table.slice(starts[-1])  # may go on in the next batch
         if rest is not None:
-            yield from links(rest, np.zeros(1, np.int64))
+            yield from of(rest, np.zeros(1, np.int64))
+
+    return run
+
+
+def _shared(np, pa, table, starts):
+    """(table, sizes, starts) of the runs of more than one row."""
+    sizes = np.diff(np.r_[starts, table.num_rows])
+    table = table.filter(pa.array(np.repeat(sizes > 1, sizes))).combine_chunks()
+    sizes = sizes[sizes > 1]
+    return table, sizes, np.cumsum(sizes) - sizes
+
+
+def _sides(np, rows, lo, hi, own):
+    """The two sides of a run's pairs, and whether they are one."""
+    one = lo[rows[0]] == hi[rows[0]]
+    return (rows, rows, True) if one else (rows[own[rows] == lo[rows[0]]], rows[own[rows] == hi[rows[0]]], False)
+
+
+def _near(threshold: float, small: int = 64):
+    """The rows that have another in their run no farther, by their probes, than linked ones are.
+
+    PROBES squared differences of projections add up to the squared distance times a chi-square
+    number; PROBE_REACH is what that exceeds in one case of 100,000."""
+
+    def near(table, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        table, sizes, starts = _shared(np, pa, table, starts)
+        if not table.num_rows:
+            return
+        reach = (((2 - 2 * threshold) * PROBES * PROBE_REACH) ** 0.5 / PROBE_WIDTH + PROBES**0.5) ** 2  # cells are rounded
+        lo, hi, own = (table.column(c).to_numpy() for c in ("lo", "hi", "own"))
+        x = np.frombuffer(b"".join(table.column("probe").to_pylist()), np.int8).reshape(table.num_rows, PROBES).astype(np.float32)
+        square, keep = (x * x).sum(1), np.zeros(len(x), bool)
+        plain = (sizes <= small) & (lo[starts] == hi[starts])
+        for size in np.unique(sizes[plain]).tolist():
+            at = starts[plain & (sizes == size)]
+            for s in range(0, len(at), max(1, 400_000 // (size * size))):
+                rows = at[s : s + max(1, 400_000 // (size * size)), None] + np.arange(size)
+                v = x[rows]
+                apart = square[rows][:, :, None] + square[rows][:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
+                apart[:, np.arange(size), np.arange(size)] = np.inf
+                keep[rows] = (apart <= reach).any(axis=2)
+        for k in np.flatnonzero(~plain):
+            left, right, one = _sides(np, np.arange(starts[k], starts[k] + sizes[k]), lo, hi, own)
+            for s in range(0, len(left), 256):
+                part = left[s : s + 256]
+                close = square[part][:, None] + square[right][None, :] - 2 * (x[part] @ x[right].T) <= reach
+                if one:
+                    close[np.arange(len(part)), np.arange(s, s + len(part))] = False
+                keep[part] |= close.any(axis=1)
+                keep[right] |= close.any(axis=0)
+        kept = table.filter(pa.array(keep)).select(["bucket", "lo", "hi", "own", "node"])
+        yield from kept.combine_chunks().to_batches()
+
+    return near
+
+
+def _compare(threshold: float, small: int = 64):
+    """Links and roots of the vectors of each run."""
 
     def links(table, starts):
         import numpy as np
         import pyarrow as pa
 
-        sizes = np.diff(np.r_[starts, table.num_rows])
-        if not (sizes > 1).any():
+        table, sizes, starts = _shared(np, pa, table, starts)
+        if not table.num_rows:
             return
-        used = np.repeat(sizes > 1, sizes)  # vectors alone in their buckets go
-        table = table.filter(pa.array(used)).combine_chunks()
-        sizes = sizes[sizes > 1]
-        starts = np.cumsum(sizes) - sizes
         bucket, lo, hi, own, node, copies = (table.column(c).to_numpy() for c in ("bucket", "lo", "hi", "own", "node", "copies"))
         tab = bucket >> 32 & (1 << TABLE_BITS) - 1
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
@@ -170,10 +240,8 @@ def _compare(threshold: float, small: int = 64):
                     once = i < j
                     found(rows[r[once], i[once]], rows[r[once], j[once]])
         for k in np.flatnonzero(~plain):
-            rows = np.arange(starts[k], starts[k] + sizes[k])
-            one = lo[rows[0]] == hi[rows[0]]
-            left, right = (rows, rows) if one else (rows[own[rows] == lo[rows[0]]], rows[own[rows] == hi[rows[0]]])
-            vectors = unit[lengths[rows[0]]]
+            left, right, one = _sides(np, np.arange(starts[k], starts[k] + sizes[k]), lo, hi, own)
+            vectors = unit[lengths[starts[k]]]
             for s in range(0, len(left), 256):
                 part = left[s : s + 256]
                 i, j = np.nonzero(vectors[slot[part]] @ vectors[slot[right]].T >= threshold)
@@ -184,7 +252,7 @@ def _compare(threshold: float, small: int = 64):
         if len(linked):
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(links[linked]), pa.array(node[order[parent[place[linked]]]])], ["node", "links", "root"])
 
-    return run
+    return links
 
 
 def join(np, parent, i, j) -> None:
