@@ -85,24 +85,27 @@ def members(f, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def first_captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(id_key, digest, refers_to) of the pages whose payload of at least min_bytes bytes occurs more
-    than once; refers_to is the smallest page_id with it.
+    """(id_key, digest, refers_to, shared) of the pages whose payload of at least min_bytes bytes
+    occurs more than once, each pair of id and digest once; refers_to is the smallest page_id with
+    it, null if all are null.
 
     Only ids and digests travel.  Counts and minima are combined before they are shuffled, and
-    only digests seen twice are joined, so a payload that a third of all pages share meets one
-    small row, in a join whose large side can be split.
+    only digests seen twice are joined.  Pairs are made one before that join, and its result is
+    dealt anew by both, so the side that a common payload makes large can be split.
     """
     keyed = pages.where(F.length("payload") >= min_bytes).select("page_id", "id_key", "digest")
     shared = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return keyed.join(shared, "digest").select("id_key", "digest", "refers_to").distinct()
+    return keyed.select("id_key", "digest").distinct().join(shared, "digest").select("id_key", "digest", "refers_to", F.lit(True).alias("shared"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = 3) -> tuple[str, DataFrame]:
     """(folder, captures written): a record for each row, payload the html in UTF-8 (null: empty).
 
     Rows meet their first capture by page_id and digest, so that payloads are dealt evenly.
-    Repeated page_ids are each a record; of equal rows one is the response, the others revisit it.  A null
-    page_id comes after all others.  An empty table writes no archive.
+    Repeated page_ids are each a record.  Of the records with one payload that with the smallest
+    page_id is the response, of equal page_ids the first by url, null first; the others revisit it.
+    A null page_id comes after all others; where all are null, the revisits refer to null.  An
+    empty table writes no archive.
     """
     spark = pages.sparkSession
     folder = folder or common.fresh_path(spark, "warc")
@@ -119,15 +122,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
         k, at, answered, out = TaskContext.get().partitionId(), 0, set(), []
         with common.writing(f"{folder}/{k:06d}.warc.gz") as f:
             for batch in batches:
-                for page_id, url, payload, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own = (page_id, digest(payload)) if first_id is not None and first_id == page_id else None
-                    revisit = first_id is not None and first_id != page_id or own is not None and own in answered
-                    if own:
-                        answered.add(own)
-                    raw = gzip.compress(record(page_id, url, payload, first_id, revisit), level, mtime=0)
-                    f.write(raw)
-                    out.append((surt(url), page_id, k, at, len(raw), "revisit" if revisit else "response"))
-                    at += len(raw)
+                for lo in range(0, batch.num_rows, 500):
+                    for page_id, url, payload, first_id, shared in zip(*(c.slice(lo, 500).to_pylist() for c in batch.columns), strict=True):
+                        own = (page_id, digest(payload)) if shared and first_id == page_id else None
+                        revisit = bool(shared) and (own is None or own in answered)
+                        if own:
+                            answered.add(own)
+                        raw = gzip.compress(record(page_id, url, payload, first_id, revisit), level, mtime=0)
+                        f.write(raw)
+                        out.append((surt(url), page_id, k, at, len(raw), "revisit" if revisit else "response"))
+                        at += len(raw)
                 names = [x.split()[0] for x in WRITTEN_SCHEMA.split(", ")]
                 kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
                 columns = list(zip(*out, strict=True)) or [()] * len(names)
@@ -136,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
     # In order, so that a task that runs again writes the same bytes.
     joined = joined.sortWithinPartitions("page_id", "digest", "url")
-    return folder, common.materialise(joined.select("page_id", "url", "payload", "refers_to").mapInArrow(write, WRITTEN_SCHEMA), "captures")
+    return folder, common.materialise(joined.select("page_id", "url", "payload", "refers_to", "shared").mapInArrow(common.tidy(write), WRITTEN_SCHEMA), "captures")
 
 
 def _rows(records: Iterator[tuple[dict[str, str], bytes]], payloads: bool) -> Iterator:
@@ -331,9 +335,9 @@ def oracle(min_bytes: int = 0, table: str = "pages") -> str:
     letters = "".join(f" || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {15 - 5 * k}) & 31 AS INTEGER) + 1, 1)" for g in range(8) for k in range(4))
     return f"""
 WITH hashed AS (
-  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM {table}),
+  SELECT page_id, url, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM {table}),
 firsts AS (
-  SELECT *, CASE WHEN payload_bytes >= {min_bytes} THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM hashed)
-SELECT page_id, payload_bytes, ''{letters} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
+  SELECT *, payload_bytes >= {min_bytes} AND row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST) > 1 AS again, min(page_id) OVER (PARTITION BY h) AS first FROM hashed)
+SELECT page_id, payload_bytes, ''{letters} AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
 FROM firsts"""

@@ -97,6 +97,21 @@ def test_small_payloads_are_all_responses(spark):
     assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
+def test_null_ids_and_repeated_ids(spark):
+    """Of equal payloads one is the response, also if no page_id tells them apart; as the SQL has it."""
+    import duckdb
+
+    rows = [(None, "b", "x"), (None, "a", "x"), (None, None, "x"), (None, "c", "y"), (4, "d", "y"), (4, "e", "y"), (9, "f", "y"), (None, "g", "alone"), (None, "h", None), (None, "i", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder, captures = warc.write_archives(pages)
+    found = warc.read_archives(spark, folder, warc.archives_of(captures)).collect()
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    told = con.execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({warc.oracle()})").fetchall()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=repr) == sorted(told, key=repr)
+    assert sorted((r.url, r.record_type, r.refers_to) for r in found if r.payload_bytes == 1) == [("", "response", None), ("a", "revisit", None), ("b", "revisit", None), ("c", "revisit", 4), ("d", "response", None), ("e", "revisit", 4), ("f", "revisit", 4)]
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder, captures = warc.write_archives(pages)
