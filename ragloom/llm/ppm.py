@@ -7,8 +7,8 @@ escapes to the next shorter one, where the symbols of the longer context are exc
 the empty context to all symbols not seen there, evenly.  The escape estimate is method D: with
 D symbols in T occurrences a symbol seen n times has (2n - 1) / 2T, the escape D / 2T.
 
-The trie is two sorted tables in the shared folder, memory-mapped by the workers, so its size is
-not bounded by any one memory: nodes (context and symbol) with their counts, and contexts with T,
+The trie is two sorted tables in the shared folder, memory-mapped by the workers, or read block by
+block where the store is no file system, so its size is not bounded by any one memory: nodes (context and symbol) with their counts, and contexts with T,
 D and the occurrences that their symbols have in the next shorter context.
 """
 

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,20 @@ def test_long_text(spark, documents):
     long = "abc def " * 60_000
     rows = {r.doc_id: r for r in ppm.score_documents(documents([(1, long), (2, "abc")]), F.lit(True)).collect()}
     assert rows[1].n_tokens == 120_001 and rows[1].score > rows[1].base_score
+
+
+@pytest.mark.parametrize("kept", [64, 2])
+def test_tables_in_other_stores(spark, monkeypatch, kept):
+    """Blocks read by range give what mapped shards give."""
+    from ragloom.llm import common, sorted_files
+
+    monkeypatch.setattr(sorted_files, "STEP", 50)
+    monkeypatch.setattr(sorted_files, "KEPT", kept)
+    frame = spark.range(0, 4000, 3).selectExpr("id * id AS key", "id AS a", "-id AS b").repartition(5)
+    table = sorted_files.SortedTable.write(frame, common.fresh_path(spark, "sorted"), "t")
+    keys = np.random.default_rng(1).permutation(np.r_[np.arange(0, 4000) ** 2, -5, 1 << 50, 9, 9])
+    mapped = table.opened().find(keys)
+    monkeypatch.setattr(common, "local_path", lambda uri: None)
+    ranged = table.opened()
+    assert np.array_equal(ranged.find(keys), mapped) and np.array_equal(ranged.find(keys[:7]), mapped[:, :7])
+    assert np.count_nonzero(mapped[0]) == 1334 + 1  # 0 has the value 0; 9 is there three times
