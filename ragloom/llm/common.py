@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -32,18 +33,27 @@ def lower_ascii(text: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
 
-    Where the setting is absent (local tests) one temporary folder is made and set.
+    Where the setting is absent one temporary folder is made and set, but only for a local master:
+    on a cluster no folder of one machine will do, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ragloom-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Folders made by this driver and not yet removed.
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/ragloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ragloom/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -51,7 +61,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     survives the loss of any executor."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialised_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what materialise wrote, once nothing will be computed from it any more."""
+    _remove(df.sparkSession, df.materialised_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that the operators of this package have written to the shared folder; to be called
+    when the results are written elsewhere, as frames not yet computed read these folders."""
+    for path in list(_made):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _made.remove(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

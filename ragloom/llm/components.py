@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -13,13 +13,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Each round joins every node's edges to the smallest of its neighbours.  Those are written
     first, so that the join has two plain inputs and a hub's edges, which all meet one row, can be
-    split over many tasks.  Edges per round are written too; the driver sees three numbers a round.
+    split over many tasks.  Edges per step are written too, and those of the step before removed; the driver
+    sees three numbers a round.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     pairs = materialise(pairs, "edges")
     state = _state(pairs)
     for _ in range(most_rounds):
-        pairs = materialise(_star(_star(pairs, large=True), large=False), "edges")
+        for large in (True, False):
+            new, least = _star(pairs, large)
+            new = materialise(new, "edges")
+            discard(pairs)
+            discard(least)
+            pairs = new
         before, state = state, _state(pairs)
         if state == before:
             break
@@ -33,8 +39,8 @@ def _state(pairs: DataFrame) -> tuple:
     return tuple(pairs.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """Large: every neighbour above u gets the smallest of u and its neighbours.  Small: every
+def _star(pairs: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """(edges, written minima).  Large: every neighbour above u gets the smallest of u and its neighbours.  Small: every
     neighbour below u, and u, get the smallest of those below u."""
     if large:
         sided = pairs.union(pairs.select(F.col("v"), F.col("u"))).toDF("u", "v")
@@ -43,4 +49,4 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     else:
         least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = pairs.join(least, "u").select("v", "m").union(least.select("u", "m")).toDF("u", "v")
-    return out.where("u > v").distinct()
+    return out.where("u > v").distinct(), least
