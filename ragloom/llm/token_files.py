@@ -50,8 +50,10 @@ class TokenFiles:
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encode every whole text (null: empty), append end_id, write shards in ascending id order.
 
-    The one shuffle is a range partitioning by id; each task streams its rows to its shard, so
-    memory holds one Arrow batch.  Rows with equal ids stand together, in order of their texts; an
+    The one shuffle is a range partitioning by id, then by the text's hash, then by the row's
+    number, so that neither a null nor a repeated id nor a repeated row is one task's; each task
+    streams its rows to its shard, a few at a time.  Rows with equal ids stand together, in order of
+    their texts' xxhash64; equal rows have equal ids in the files, so their order is no matter.  An
     empty table gives a manifest with empty shards.  Other columns are not read.
     """
     spark = docs.sparkSession
@@ -62,7 +64,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     vocabulary = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(common.tasks(docs), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumns({"of_text": F.xxhash64("text"), "number": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(common.tasks(docs), "doc_id", "of_text", "number").sortWithinPartitions("doc_id", "of_text", "number").select("doc_id", "text")
 
     def write(batches):
         import numpy as np
@@ -74,11 +77,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         lengths, ids = [np.zeros(1, "<u8")], []
         with common.writing(f"{at}.ids") as out:
             for batch in batches:
-                codes = [c + end for c in encode(batch.column(1).to_pylist())]
                 ids.append(batch.column(0))
-                lengths.append(np.fromiter((len(c) // 4 for c in codes), "<u8", len(codes)))
-                flat = np.frombuffer(b"".join(codes), "<u4")
-                out.write(flat.astype(dtype).tobytes())
+                for lo in range(0, batch.num_rows, 500):
+                    codes = [c + end for c in encode(batch.column(1).slice(lo, 500).to_pylist())]
+                    lengths.append(np.fromiter((len(c) // 4 for c in codes), "<u8", len(codes)))
+                    out.write(np.frombuffer(b"".join(codes), "<u4").astype(dtype).tobytes())
         offsets = np.cumsum(np.concatenate(lengths), dtype="<u8")
         column = pa.chunked_array(ids, pa.int64())
         for suffix, data in (("off", offsets), ("doc", column.fill_null(0).to_numpy().astype("<i8")), ("nul", np.flatnonzero(column.is_null().to_numpy()).astype("<u8"))):
