@@ -16,6 +16,8 @@ Counted shingles of one document only can't be shared, so they take a place in f
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ SAMPLED = 0.26
 COMMON, HEAVY = 24, 200_000
 #: Documents with a shingle in front in common: all pairs up to RUN, beyond it edges to the first.
 RUN = 64
-#: A cluster beyond these documents or shingles is joined part by part.
-PART_DOCS, PART_SHINGLES = 1500, 2_000_000
+#: A cluster beyond these documents or shingles is joined part by part, at first of PART documents.
+PART_DOCS, PART_SHINGLES, PART = 1500, 2_000_000, 100
 LEAF, FANOUT = 8, 8
 
 SETS_SCHEMA = "doc_id long, of_text long, n long, fp binary, free array<long>, heavy array<long>"
@@ -361,12 +363,60 @@ def linked(np, x, y, percent: int) -> bool:
 
 
 def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> DataFrame:
-    """(a, b): spanning edges of the linked documents of each cluster."""
-    parts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
-    placed = members.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-    placed = placed.join(fetched.withColumnRenamed("doc_id", "rep"), ["rep", "fp"])
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    dealt = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
+    """(a, b): spanning edges of the linked documents of each cluster.
+
+    A cluster of up to PART_DOCS documents and PART_SHINGLES shingles is one task's.  A larger one
+    is dealt by size, as sets of sizes too far apart can't be linked, and then by hash to parts of
+    PART documents; each part is joined by itself and with the cluster's hub, its first document,
+    and mostly that makes the whole cluster one component.  What is left outside its largest
+    component is then joined with the documents of all sizes in reach, block by block.  So a large
+    group of near copies costs a row a document, and only documents that may yet be linked anew
+    are compared twice.
+    """
+    held = common.materialise(members.join(fetched.withColumnRenamed("doc_id", "rep"), ["rep", "fp"]).select("node", "fp", "n", "cluster", "items"), "members")
+    slim, items = held.select("node", "fp", "n", "cluster"), held.select("node", "items")
+    sizes = slim.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    large = common.materialise(sizes.where((F.col("docs") > PART_DOCS) | (F.col("shingles") > PART_SHINGLES)).select("cluster", F.lit(True).alias("large")), "large")
+    band = F.floor(F.log("n") / math.log(100 / percent * 1.000001)).cast("long")  # linked sets are in one band or in neighbours
+    tagged = slim.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), band).otherwise(0))
+    bands = _parts(tagged.where("large"), PART)
+    placed = tagged.join(bands, ["cluster", "band"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+    hubs = tagged.where("large").groupBy("cluster").agg(F.min(F.struct("node", "band")).alias("hub")).join(bands, "cluster").where(F.abs(F.col("hub.band") - F.col("band")) <= 1)
+    hubs = hubs.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub.node")
+    rows = placed.select("cluster", "band", "part", "node").union(hubs)
+    rows = rows.select("cluster", "band", "part", F.lit(0).alias("other_band"), F.lit(0).alias("other"), F.lit(0).alias("side"), "node", F.col("node").alias("component"))
+    found = common.materialise(_join_groups(rows, items, percent, both=False), "spans")
+    if large.isEmpty():
+        return found
+    again = placed.where("large").select("cluster", "band", "fp", "n", "node")
+    component = connected_components(found.join(again.select(F.col("node").alias("a")), "a", "left_semi"))
+    again = common.materialise(again.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "again")
+    counted = again.groupBy("cluster", "component").agg(F.count("*").alias("docs"))
+    main = counted.groupBy("cluster").agg(F.max_by("component", F.struct("docs", "component")).alias("main"))
+    rest = common.materialise(again.join(main, "cluster").where("component <> main").drop("main"), "rest")
+    if rest.isEmpty():
+        return found
+    lefts, rights = _parts(rest, PART_DOCS), _parts(again.join(rest.select("cluster").distinct(), "cluster", "left_semi"), PART_DOCS)
+    left = rest.join(lefts, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int")).drop("parts")
+    left = left.join(rights.withColumnRenamed("band", "other_band"), "cluster").where("abs(band - other_band) <= 1")
+    left = left.select("cluster", "band", "part", "other_band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), F.lit(0).alias("side"), "node", "component")
+    right = again.join(rights, ["cluster", "band"]).withColumn("other", F.pmod(F.xxhash64("fp"), "parts").cast("int")).drop("parts").withColumnRenamed("band", "other_band")
+    right = right.join(lefts, "cluster").where("abs(band - other_band) <= 1")
+    right = right.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "other_band", "other", F.lit(1).alias("side"), "node", "component")
+    return found.union(_join_groups(left.union(right), items, percent, both=True))
+
+
+def _parts(rows: DataFrame, docs: int) -> DataFrame:
+    """cluster, band, parts: of so many documents, and of PART_SHINGLES."""
+    return rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+
+
+def _join_groups(rows: DataFrame, items: DataFrame, percent: int, both: bool) -> DataFrame:
+    """(a, b): spanning edges of the documents of each group (cluster, band, part, other_band, other):
+    of one side, all with all; of two, each of one with each of the other.  Documents that share a
+    component are linked already; the edges join components."""
+    group = ["cluster", "band", "part", "other_band", "other"]
+    dealt = rows.join(items, "node").repartition(*group).sortWithinPartitions(*group, "side", "node")
 
     def run(batches):
         import numpy as np
@@ -375,32 +425,35 @@ def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> Data
         held, now = [], None
 
         def join():
-            ids = np.asarray([h[0] for h in held], np.int64)
-            sets = [np.frombuffer(h[2], np.uint64) for h in held]
-            parent = list(range(len(held)))
+            sides = [[k for k, h in enumerate(held) if h[0] == side] for side in (0, 1)]
+            if both and not (sides[0] and sides[1]):
+                return
+            ids, of = np.asarray([h[1] for h in held], np.int64), np.asarray([h[2] for h in held], np.int64)
+            sets = [np.frombuffer(h[3], np.uint64) for h in held]
+            first: dict[int, int] = {}
+            parent = [first.setdefault(c, k) for k, c in enumerate(of.tolist())]
             bits = 1 << min(16, max(8, (2 * max(map(len, sets))).bit_length()))
-            lo, hi = now[1], now[2]
-            trees = [SignatureTree(np, part, sets, bits) for part in ([k for k, h in enumerate(held) if h[1] == side] for side in ({lo} | {hi})) if part]
-            if lo == hi or len(trees) == 2:
-                tree_join(np, trees[0], trees[-1], sets, parent, percent)
+            trees = [SignatureTree(np, part, sets, bits) for part in sides if part]
+            tree_join(np, trees[0], trees[-1], sets, parent, percent)
             for k in range(len(parent)):
                 while parent[k] != parent[parent[k]]:
                     parent[k] = parent[parent[k]]
             parent = np.asarray(parent)
-            apart = np.flatnonzero(ids != ids[parent])
-            return pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(ids[parent[apart]])], ["a", "b"])
+            apart = np.flatnonzero(of != of[parent])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[apart]), pa.array(ids[parent[apart]])], ["a", "b"])
 
         for batch in batches:
-            for cluster, lo, hi, node, own, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cluster, lo, hi) != now:
+            for *key, side, node, component, its in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
                     if len(held) > 1:
-                        yield join()
-                    held, now = [], (cluster, lo, hi)
-                held.append((node, own, items))
+                        yield from join()
+                    held, now = [], key
+                if not held or held[-1][:2] != (side, node):  # a hub is in its own part already
+                    held.append((side, node, component, its))
         if len(held) > 1:
-            yield join()
+            yield from join()
 
-    return dealt.select("cluster", "lo", "hi", "node", "own", "items").mapInArrow(common.tidy(run), "a long, b long")
+    return dealt.select(*group, "side", "node", "component", "items").mapInArrow(common.tidy(run), "a long, b long")
 
 
 def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -55,6 +55,7 @@ def corpus(seed, n):
 def test_all_pairs(spark, documents, size, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "COMMON", 5)
     monkeypatch.setattr(ngram_join, "PART_DOCS", 20)
+    monkeypatch.setattr(ngram_join, "PART", 7)
     rows = corpus(size, 250)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(documents(rows), size, percent).collect()}
     assert found == brute(rows, size, percent)
@@ -92,6 +93,29 @@ def test_odd_rows(spark, documents):
     assert found == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("chain", [False, True])
+def test_large_clusters(spark, documents, monkeypatch, chain):
+    """A large group about one hub, and a long chain in which few are linked with the hub; sizes
+    differ, and single documents of the same words are linked with nothing."""
+    monkeypatch.setattr(ngram_join, "PART_DOCS", 12)
+    monkeypatch.setattr(ngram_join, "PART", 5)
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    rng = random.Random(7)
+    base = [f"a{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = base[3 * i % 60 :] if not chain else [f"c{k}" for k in range(4 * i, 4 * i + 100)]
+        words = list(words)
+        if not chain:
+            words[rng.randrange(len(words))] = f"x{i}"
+        rows.append((rng.randrange(100) * 1000 + i, " ".join(words)))
+    rows += [(200_000 + i, " ".join(rng.choice(base) for _ in range(100))) for i in range(20)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(documents(rows), 4, 85).collect()}
+    expected = brute(rows, 4, 85)
+    assert found == expected
+    assert len({c for _, c in expected.values()}) >= 21
+
+
 def test_empty_table(spark, documents):
     assert ngram_join.link_documents(documents([(1, "x")]).limit(0)).count() == 0
 
