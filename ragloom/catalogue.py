@@ -5,12 +5,14 @@ Names of columns and their types are the same on both sides; floating results ar
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import prompts, text, vectors
 from .operators import chunking, communities, evaluation, graph, knn, retrieval, summaries
+from . import shared
 from .providers import HashedEmbedder, OfflineChat
 from .sources import documents as sources
 from .plans import indexing
@@ -70,7 +72,8 @@ def _pairs(t) -> DataFrame:
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content, source AS title, lang FROM documents")
 def doc_projection(t):
-    return t("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.col("source").alias("title"), "lang")
+    rows = t("documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("title"), F.create_map(F.lit("lang"), "lang").alias("metadata"))
+    return sources.corpus_to_documents(rows).select("doc_id", "content", "title", F.col("metadata")["lang"].alias("lang"))
 
 
 @query("""SELECT page_id, CASE WHEN coalesce(url, '') <> '' THEN substr(md5(url), 1, 12) ELSE 'doc_' || page_id END AS doc_id, coalesce(html, '') AS content, url FROM pages""")
@@ -168,9 +171,9 @@ def match_contains(t):
 
 @query(f"""WITH p AS (SELECT conv_id, turn, list_filter(list_distinct(string_split({_normal('prediction')}, ' ')), lambda x: x <> '') AS a,
   list_filter(list_distinct(string_split({_normal('truth')}, ' ')), lambda x: x <> '') AS b FROM ({_PAIRS_SQL}))
-SELECT conv_id, turn, CASE WHEN len(b) = 0 THEN len(a) = 0 ELSE len(list_intersect(a, b)) / greatest(len(list_distinct(a || b)), 1) >= 0.1 END AS is_correct FROM p""")
+SELECT conv_id, turn, CASE WHEN len(b) = 0 THEN len(a) = 0 ELSE len(list_intersect(a, b)) / greatest(len(list_distinct(a || b)), 1) >= 0.8 END AS is_correct FROM p""")
 def match_fuzzy(t):
-    return _pairs(t).select("conv_id", "turn", evaluation.fuzzy_metric(0.1)(F.col("prediction"), F.col("truth")).alias("is_correct"))
+    return _pairs(t).select("conv_id", "turn", evaluation.fuzzy_metric()(F.col("prediction"), F.col("truth")).alias("is_correct"))
 
 
 @query("SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 6, '0') || substr(text, 1, 500) AS shown FROM documents")
@@ -322,17 +325,19 @@ def retrieval_relevance(t):
     words of the document, are compared with every document, by broadcast if their counted size allows it."""
     lead = lambda w: F.array_join(w, " ")
     split = lambda x: F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = t("documents").select("doc_id", "text")
     items = t("benchmark").select("item_id", F.col("text").alias("item"), split(F.col("text")).alias("w"))
     short = items.where(F.size("w") < 5).select("item_id", "item")
-    items = items.where(F.size("w") >= 5).select("item_id", "item", lead(F.slice("w", 2, 3)).alias("gram"))
-    docs = t("documents").select("doc_id", "text", split(F.col("text")).alias("w"))
+    long = items.where(F.size("w") >= 5)
+    words = docs.select("doc_id", split(F.col("text")).alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: lead(F.slice("w", i, 3)))
-    listed = docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
-    found = listed.join(items, "gram").where(F.contains("text", "item")).select("item_id", "doc_id")
+    listed = words.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))  # ids and grams: texts are fetched for the pairs
+    pairs = listed.join(long.select("item_id", lead(F.slice("w", 2, 3)).alias("gram")), "gram").select("item_id", "doc_id")
+    found = pairs.join(docs, "doc_id").join(long.select("item_id", "item"), "item_id").where(F.contains("text", "item")).select("item_id", "doc_id")
     size = short.agg(F.sum(F.octet_length("item") + 64)).first()[0]
     if size:
         short = F.broadcast(short) if size <= 32 << 20 else short
-        found = found.union(docs.select("doc_id", "text").join(short, F.contains("text", "item")).select("item_id", "doc_id"))
+        found = found.union(docs.join(short, F.contains("text", "item")).select("item_id", "doc_id"))
     return found.distinct()
 
 
@@ -441,7 +446,7 @@ def _orders_graph(t) -> DataFrame:
 @query("""SELECT least(lower(s_name), 'part ' || p_partkey) AS src_key, greatest(lower(s_name), 'part ' || p_partkey) AS dst_key, CAST(count(*) AS INTEGER) AS n_relations, min(l_orderkey) AS first_order
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
 def supply_edges(t):
-    return graph.merge_relations(_orders_graph(t)).select("src_key", "dst_key", F.size("relations").alias("n_relations"), F.col("relations")[0]["ord"][0].alias("first_order"))
+    return graph.edge_counts(_orders_graph(t)).select("src_key", "dst_key", F.col("n_relations").cast("int").alias("n_relations"), F.col("first")[0].alias("first_order"))
 
 
 def _people(t) -> DataFrame:
@@ -486,9 +491,7 @@ _NAMES = r"(SELECT doc_id, unnest(regexp_extract_all(text, '\p{Lu}\p{L}+')) AS n
 @query(rf"""SELECT lower(name) AS key, min_by(name, (doc_id, pos)) AS name, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM
 (SELECT doc_id, names[i] AS name, i AS pos FROM (SELECT doc_id, regexp_extract_all(text, '\p{{Lu}}\p{{L}}+') AS names FROM documents), LATERAL (SELECT unnest(range(1, len(names) + 1)) AS i)) GROUP BY 1""")
 def entity_mentions(t):
-    names = F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{L}+)"))
-    rows = t("documents").select("doc_id", F.posexplode(names).alias("pos", "name")).withColumn("key", text.node_key(F.col("name")))
-    return rows.groupBy("key").agg(F.min_by("name", F.struct("doc_id", "pos")).alias("name"), F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+    return graph.mentions(t("documents"), "doc_id", "text")
 
 
 @query("""WITH e AS (SELECT lower(source) AS key, min(source) AS name, list(DISTINCT lang) AS langs, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1),
@@ -539,13 +542,15 @@ def community_edges(t):
     return communities.community_edges(_by_nation(t), graph.merge_relations(_geography(t))).select("community_id", "src_key", "dst_key")
 
 
-@query(f"""WITH {_GEOGRAPHY}, {_PLACES}, m AS (SELECT nation AS community_id, string_agg(node_key, ', ' ORDER BY node_key) AS names FROM places WHERE nation IS NOT NULL GROUP BY nation),
-l AS (SELECT a.nation AS community_id, string_agg(src_key || '->' || dst_key || '->LIVES_IN->' || split_part(told, '->', 4), chr(10) ORDER BY src_key, dst_key) AS lines
-  FROM edges JOIN places a ON a.node_key = src_key JOIN places b ON b.node_key = dst_key WHERE a.nation = b.nation AND src_key < dst_key GROUP BY a.nation)
+@query(f"""WITH {_GEOGRAPHY}, {_PLACES}, shown AS (SELECT places.*, coalesce(c_name, node_key) AS name FROM places LEFT JOIN customer ON lower(c_name) = node_key),
+m AS (SELECT nation AS community_id, string_agg(name, ', ' ORDER BY node_key) AS names FROM shown WHERE nation IS NOT NULL GROUP BY nation),
+l AS (SELECT a.nation AS community_id, string_agg(a.name || '->' || b.name || '->LIVES_IN->' || split_part(told, '->', 4), chr(10) ORDER BY src_key, dst_key) AS lines
+  FROM edges JOIN shown a ON a.node_key = src_key JOIN shown b ON b.node_key = dst_key WHERE a.nation = b.nation AND src_key < dst_key GROUP BY a.nation)
 SELECT community_id, names, lines FROM m JOIN l USING (community_id)""")
 def community_format(t):
+    """Customers are entities and shown by their names; nations are known from edges only."""
     edges = graph.merge_relations(_geography(t))
-    nodes = graph.with_implicit_nodes(graph.merge_entities(_people(t).limit(0)), edges)
+    nodes = graph.with_implicit_nodes(graph.merge_entities(_people(t)), edges)
     told = communities.community_tables(_by_nation(t), edges, nodes)
     return told.select("community_id", F.array_join("entity_names", ", ").alias("names"), summaries.edges_text(F.col("relation_lines")).alias("lines"))
 
@@ -591,10 +596,34 @@ def fingerprints(t):
     return one("ids", index_store.first_ids_fingerprint(d)).union(one("marked ids", index_store.first_ids_fingerprint(d, "|"))).union(one("content", index_store.content_fingerprint(d, {"chunk": 256})))
 
 
-@query("""SELECT event_id, CASE WHEN json_valid(props) THEN json_extract_string(props, '$.k') END AS k, json_valid(props) AND json_type(props) = 'OBJECT' AS is_object FROM events""")
+@dataclass(frozen=True)
+class _Echo:
+    """Replies with the text that it is asked about."""
+
+    def reply(self, prompt: str, system: str | None = None, max_tokens: int | None = None, temperature: float | None = None) -> str:
+        return prompt.partition("Text:\n")[2]
+
+
+@query("""WITH n AS (SELECT event_id, event_id % 7 AS k, json_valid(props) AND json_type(props) = 'OBJECT' AS ok FROM events)
+SELECT CAST(event_id AS VARCHAR) AS chunk_id, CASE WHEN k = 0 OR k IN (2, 3, 5) AND NOT ok OR k = 4 THEN 'failed' WHEN k IN (1, 5) THEN 'empty' ELSE 'ok' END AS status,
+  CASE WHEN k = 2 AND ok THEN 'E' || event_id || ':Unknown:' WHEN k = 3 AND ok THEN 'A' || event_id || ':T:d|B:Unknown:' WHEN k = 6 THEN 'C:Unknown:' ELSE '' END AS entities,
+  CASE WHEN k = 3 AND ok THEN 'A' || event_id || '->B->KNOWS->|A' || event_id || '->B->RELATED_TO->x' ELSE '' END AS relations FROM n""")
 def llm_json_parse(t):
-    v = F.try_parse_json("props")
-    return t("events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"))
+    """Replies of all kinds, each read by parse_reply: no JSON, empty lists, objects with other
+    members, elements of wrong kinds and without names, two objects, and text around the object."""
+    e = t("events").withColumns({"k": F.col("event_id") % 7, "id": F.col("event_id").cast("string")})
+    told = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    entity, props = told('{"entity_name": " E', F.col("id"), ' "}'), F.col("props")
+    pair = told('{"source_entity": "A', F.col("id"), '", "target_entity": "B"')
+    replies = [
+        F.lit("I can't."), F.lit('{"entities": [], "relationships": null}'), told('Sure:\n{"entities": [', entity, ', "x", {"entity_name": "  "}, 5], "more": ', props, "}\nDone."),
+        told('{"entities": [{"entity_name": "A', F.col("id"), '", "entity_type": "T", "entity_description": " d "}, {"entity_name": "B", "entity_type": null}], "relationships": [', pair, ', "relation": "KNOWS"}, {"source_entity": "", "target_entity": "B"}, ', pair, ', "relationship_description": "x"}], "more": ', props, "}"),
+        F.lit('{"entities": []} {"relationships": []}'), told('{"entities": {"entity_name": "no list"}, "more": ', props, "}"), F.lit('```json\n{"entities": [{"entity_name": "C"}]}\n```'),
+    ]
+    rows = e.select(F.col("id").alias("chunk_id"), F.col("event_id").alias("ord"), F.coalesce(*(F.when(F.col("k") == k, r) for k, r in enumerate(replies))).alias("content"))
+    found = graph.extract(rows, _Echo())
+    line = lambda col, sep, *names: F.array_join(F.transform(col, lambda x: F.concat_ws(sep, *(x[n] for n in names))), "|")
+    return found.select("chunk_id", "status", line("entities", ":", "name", "entity_type", "description").alias("entities"), line("relations", "->", "source", "target", "relation", "description").alias("relations"))
 
 
 # --- the rest: samples, stores, reports, look-ups -------------------------------------------------
@@ -610,7 +639,7 @@ def sample_cap(t):
 def index_upsert(t):
     """All documents are stored; then the English ones come again with other content, and pages."""
     d = t("documents")
-    store = index_store.IndexStore(d.sparkSession, communities.fresh_path(d.sparkSession, "index"))
+    store = index_store.IndexStore(d.sparkSession, shared.fresh_path(d.sparkSession, "index"))
     store.upsert("chunks", d.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
     new = d.where("lang = 'en'").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("content"))
     store.upsert("chunks", new.union(t("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")), "url")), "chunk_id")
@@ -621,7 +650,7 @@ def index_upsert(t):
 def predictions_csv(t):
     """Predictions written as CSV and read again."""
     rows = t("labels").join(t("documents"), "doc_id").select(F.col("doc_id").cast("string").alias("query_id"), F.col("lang").alias("query_type"), (F.col("quality") == 1).alias("is_correct"), F.col("source").alias("query"), F.col("lang").alias("ground_truth"), F.col("source").alias("prediction"))
-    path = communities.fresh_path(rows.sparkSession, "report")
+    path = shared.fresh_path(rows.sparkSession, "report")
     reports.save_predictions_csv(rows, path)
     return rows.sparkSession.read.csv(path, header=True, quote='"', escape='"')
 

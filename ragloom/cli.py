@@ -1,4 +1,4 @@
-"""Command line: index, status, ask, benchmark."""
+"""Command line: index, status, serve, ask, benchmark."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from . import config
-from .operators.communities import written
+from .shared import written
 from .plans import benchmark, indexing
 from .plans.service import Service, ask
 from .providers import HashedEmbedder, HttpChat, HttpEmbedder, OfflineChat
@@ -25,6 +25,21 @@ def providers(settings: config.Settings):
     return embedder, chat
 
 
+def serve(service: Service, host: str, port: int) -> int:
+    """Until it is stopped."""
+    try:
+        import uvicorn
+
+        from .api import create_app
+
+        app = create_app(service.store.spark, service)
+    except ImportError as e:
+        print(f"serve needs fastapi and uvicorn: {e}", file=sys.stderr)
+        return 1
+    uvicorn.run(app, host=host, port=port)
+    return 0
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="ragloom")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -34,6 +49,10 @@ def main(args: list[str] | None = None) -> int:
     index.add_argument("-t", "--type", choices=("vector", "graph", "all"), default="all")
     status = commands.add_parser("status")
     status.add_argument("-o", "--output", required=True)
+    server = commands.add_parser("serve")
+    server.add_argument("-o", "--output", required=True)
+    server.add_argument("--host", default="127.0.0.1")
+    server.add_argument("--port", type=int, default=8000)
     question = commands.add_parser("ask")
     question.add_argument("-o", "--output", required=True)
     question.add_argument("-m", "--method", choices=("vector", "graph", "hybrid"), default="hybrid")
@@ -44,8 +63,9 @@ def main(args: list[str] | None = None) -> int:
     compare.add_argument("--methods", nargs="+", choices=config.METHODS)
     compare.add_argument("--max-samples", type=int, default=0)
     compare.add_argument("--output-dir", default="results")
-    compare.add_argument("--force-rebuild", action="store_true")
-    for p in (index, status, question, compare):
+    compare.add_argument("--no-cache", action="store_true", help="build the vector index anew")
+    compare.add_argument("--force-rebuild", action="store_true", help="build both indexes anew")
+    for p in (index, status, server, question, compare):
         p.add_argument("-c", "--config")
     options = parser.parse_args(args)
     base = config.Settings() if options.command == "benchmark" else config.SERVICE
@@ -72,6 +92,8 @@ def main(args: list[str] | None = None) -> int:
     if options.command == "status":
         print(json.dumps(indexing.status(spark, options.output)))
         return 0
+    if options.command == "serve":
+        return serve(Service(IndexStore(spark, options.output), embedder, chat, settings), options.host, options.port)
     if options.command == "ask":
         print(ask(spark, Service(IndexStore(spark, options.output), embedder, chat, settings), options.question, method=options.method))
         return 0
@@ -79,7 +101,7 @@ def main(args: list[str] | None = None) -> int:
 
     settings = dataclasses.replace(settings, methods=tuple(options.methods or settings.methods), output_dir=options.output_dir)
     samples = written(documents.samples_from_json(spark, options.samples, options.max_samples or settings.evaluation.max_samples))
-    benchmark.run(samples, documents.news_corpus_from_json(spark, options.corpus), IndexStore(spark, f"{options.output_dir}/index"), embedder, chat, settings, rebuild=options.force_rebuild)
+    benchmark.run(samples, documents.news_corpus_from_json(spark, options.corpus), IndexStore(spark, f"{options.output_dir}/index"), embedder, chat, settings, rebuild=options.force_rebuild, cache=not options.no_cache)
     return 0
 
 

@@ -14,6 +14,7 @@ ANSWER_SYSTEM = "Answer from the given context only, in as few words as possible
 SUMMARY_SYSTEM = "The lines are relations of a knowledge graph, written source->target->relation->description. Summarise in a few sentences what they say, with the names they mention."
 CLASSIFY_SYSTEM = "Does the question ask for a single fact, or for reasoning over several? Reply with one word: fact or reasoning."
 EXTRACT_SYSTEM = "Reply with JSON only."
+ENTITIES_TEMPLATE = "Which names of persons, places, organisations or things does this question hold? Reply with a JSON list of texts, empty if there are none.\n\nQuestion: {query}"
 EXTRACT_TEMPLATE = (
     "List the entities in the text and how they are related, {limit} relations at most. Reply with one JSON object of two lists: "
     '"entities", of objects with entity_name, entity_type and entity_description, and "relationships", of objects with source_entity, '
@@ -53,3 +54,8 @@ def few_shot_prompt(context: Column, question: Column, examples=EXAMPLES, labels
 def extraction_prompt(text: Column, limit: int = 10) -> Column:
     head, tail = EXTRACT_TEMPLATE.replace("{limit}", str(limit)).split("{text}")
     return F.concat(F.lit(head), text, F.lit(tail))
+
+
+def query_entities_prompt(query: Column) -> Column:
+    """For a model that names a question's entities; no retriever here needs it, as they compare vectors."""
+    return F.concat(F.lit(ENTITIES_TEMPLATE.partition("{query}")[0]), query)

@@ -87,30 +87,50 @@ def relation_rows(extracted: DataFrame) -> DataFrame:
     return one.select("r.*", F.col("chunk_id").alias("source_chunk_id"), F.array("ord", F.col("pos").cast("long")).alias("ord"))
 
 
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, name (the first), mentions, documents of each capitalised word; counted before it is
+    shuffled."""
+    names = F.regexp_extract_all(text_col, F.lit(r"(\p{Lu}\p{L}+)"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(names).alias("pos", "name")).withColumn("key", node_key(F.col("name")))
+    each = rows.groupBy("key", "doc").agg(F.min(F.struct("doc", "pos", "name")).alias("first"), F.count("*").alias("n"))
+    return each.groupBy("key").agg(F.min("first").alias("first"), F.sum("n").alias("mentions"), F.count("*").alias("documents")).select("key", "first.name", "mentions", "documents")
+
+
 def merge_entities(rows: DataFrame) -> DataFrame:
     """One node a key, in order of `ord`: the first name and type; the descriptions one after the
     other, each unless it is part of what stands there; the chunk ids in order of first mention.
 
-    Equal (key, description, chunk) rows are one before anything is gathered, so a key's list is as
-    long as what differs."""
+    Names and types are partial minima.  Descriptions and chunk ids are each made distinct, with
+    their first places, before a key's are gathered, so a key that very many chunks mention is
+    one row of what differs only, as a node holds it."""
     named = rows.withColumn("name", pystrip(F.col("name"))).where("name <> ''").withColumn("key", node_key(F.col("name")))
-    once = named.groupBy("key", "description", "source_chunk_id").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"), F.min_by("entity_type", "ord").alias("entity_type"))
-    listed = once.groupBy("key").agg(
-        F.min_by("name", "ord").alias("name"), F.min_by("entity_type", "ord").alias("entity_type"),
-        F.array_sort(F.collect_list(F.struct("ord", F.coalesce("description", F.lit("")).alias("description"), "source_chunk_id"))).alias("mentions"),
-    )
-    fold = lambda acc, m: F.when((m["description"] == "") | F.contains(acc, m["description"]), acc).when(acc == "", m["description"]).otherwise(F.concat(acc, F.lit(" "), m["description"]))
-    chunks = F.array_distinct(F.filter(F.transform("mentions", lambda m: m["source_chunk_id"]), lambda c: c.isNotNull()))
-    return listed.select("key", "name", "entity_type", F.aggregate("mentions", F.lit(""), fold).alias("description"), chunks.alias("source_chunk_ids"), F.lit(True).alias("is_entity"))
+    first = named.groupBy("key").agg(F.min_by("name", "ord").alias("name"), F.min_by("entity_type", "ord").alias("entity_type"))
+    once = lambda col, wanted: named.where(wanted).groupBy("key", col).agg(F.min("ord").alias("ord")).groupBy("key")
+    listed = lambda col: F.transform(F.array_sort(F.collect_list(F.struct("ord", col))), lambda x: x[col])
+    told = once("description", F.coalesce("description", F.lit("")) != "").agg(listed("description").alias("told"))
+    chunks = once("source_chunk_id", F.col("source_chunk_id").isNotNull()).agg(listed("source_chunk_id").alias("source_chunk_ids"))
+    fold = lambda acc, d: F.when(F.contains(acc, d), acc).when(acc == "", d).otherwise(F.concat(acc, F.lit(" "), d))
+    empty = F.expr("cast(array() as array<string>)")
+    joined = first.join(told, "key", "left").join(chunks, "key", "left")
+    return joined.select("key", "name", "entity_type", F.aggregate(F.coalesce("told", empty), F.lit(""), fold).alias("description"), F.coalesce("source_chunk_ids", empty).alias("source_chunk_ids"), F.lit(True).alias("is_entity"))
 
 
 def merge_relations(rows: DataFrame) -> DataFrame:
     """One edge for each unordered pair of keys; every relation is kept, with its direction.  All
     relations of one pair are one row, as an edge is defined: that bounds a pair's relations."""
-    keyed = rows.withColumns({"a": node_key(F.col("source")), "b": node_key(F.col("target"))}).where("a <> '' AND b <> ''")
-    ends = keyed.withColumns({"src_key": F.least("a", "b"), "dst_key": F.greatest("a", "b")})
     relation = F.struct("ord", "source", "target", "relation", "description", "source_chunk_id")
-    return ends.groupBy("src_key", "dst_key").agg(F.array_sort(F.collect_list(relation)).alias("relations"))
+    return _ends(rows).groupBy("src_key", "dst_key").agg(F.array_sort(F.collect_list(relation)).alias("relations"))
+
+
+def edge_counts(rows: DataFrame) -> DataFrame:
+    """src_key, dst_key, n_relations, first (the least `ord`) of each unordered pair: partial sums
+    and minima, where the relations themselves aren't wanted."""
+    return _ends(rows).groupBy("src_key", "dst_key").agg(F.count("*").alias("n_relations"), F.min("ord").alias("first"))
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    keyed = rows.withColumns({"a": node_key(F.col("source")), "b": node_key(F.col("target"))}).where("a <> '' AND b <> ''")
+    return keyed.withColumns({"src_key": F.least("a", "b"), "dst_key": F.greatest("a", "b")})
 
 
 def with_implicit_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..providers import Embedder
-from .communities import written
 
-#: Queries that go to every task at once: at most so many rows of one vector each.
+#: Queries that a task holds at once: at most so many rows of one vector each.
 QUERY_BLOCK = 4096
 
 
@@ -35,43 +35,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk
     """query_id, rank (from 0), id, score: the k most similar vectors by cosine, ties to the
     smaller id.
 
-    Queries are numbered and go to the tasks in blocks of QUERY_BLOCK, one broadcast of proven
-    size each; vectors are read once a block and never shuffled.  A task keeps k rows a query, a
-    window over those finds the best.  Scores are rounded, then compared.  Zero vectors score 0;
-    null vectors take no part; a vector of another length is an error.
+    Queries are written to the shared folder in files of QUERY_BLOCK rows at most; each task reads
+    its vectors once, holds them, and takes the files one after the other, so neither side has to
+    fit anywhere else.  A task gives k rows a query, a window over those finds the best.  Scores are
+    rounded, then compared.  Zero vectors score 0; null vectors take no part; a vector of another
+    length is an error.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
     asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).cast("array<double>").alias("v"))
     slim = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     id_type, query_type = slim.schema["id"].dataType.simpleString(), asked.schema[query_id].dataType.simpleString()
-    total = asked.count()
-    blocks = 1
-    if total > QUERY_BLOCK:
-        asked, blocks = _in_blocks(asked, total)
-    found = None
-    for b in range(blocks):
-        rows = (asked.where(F.col("block") == b) if blocks > 1 else asked).select(query_id, "v").toArrow()
-        part = slim.mapInArrow(_scan(rows, k, digits), f"query_id {query_type}, id {id_type}, score double")
-        found = part if found is None else found.union(part)
+    path = shared.fresh_path(queries.sparkSession, "queries")
+    block = QUERY_BLOCK
+
+    def save(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, names = TaskContext.get().partitionId(), []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                sink = pa.BufferOutputStream()
+                part = pa.Table.from_batches([batch.slice(lo, block)])
+                with pa.ipc.new_file(sink, part.schema) as out:
+                    out.write_table(part)
+                names.append(f"{task:06d}-{len(names):06d}.arrow")
+                with shared.saving(f"{path}/{names[-1]}") as f:
+                    f.write(sink.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    # A name for each block of queries comes to the driver; a task that runs again writes them anew.
+    names = sorted(r.name for r in asked.sortWithinPartitions(query_id).mapInArrow(save, "name string").collect())
+    found = slim.mapInArrow(_scan(path, names, k, digits), f"query_id {query_type}, id {id_type}, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
     return ranked.select(F.col("query_id").alias(query_id), "rank", F.col("id").alias(id_col), "score")
 
 
-def _in_blocks(asked: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """Queries with the number of their block, and how many blocks there are: none has more than
-    QUERY_BLOCK rows, which is counted, not assumed."""
-    numbered = written(asked.withColumn("n", F.monotonically_increasing_id()))
-    blocks = -(-5 * total // (4 * QUERY_BLOCK))
-    while True:
-        dealt = numbered.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)))
-        if dealt.groupBy("block").count().agg(F.max("count")).first()[0] <= QUERY_BLOCK:
-            return dealt, blocks
-        blocks += -(-blocks // 4)
-
-
-def _scan(rows, k: int, digits: int):
+def _scan(path: str, names: list[str], k: int, digits: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -82,26 +84,27 @@ def _scan(rows, k: int, digits: int):
             size = np.linalg.norm(x, axis=1, keepdims=True)
             return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
-        queries = unit(rows.column(1).combine_chunks())
-        kept_q, kept_id, kept_s = [], [], []
-        if not len(queries):
-            return
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                v = unit(part.column(1))
-                if v.shape[1] != queries.shape[1]:
-                    raise ValueError(f"vectors have {v.shape[1]} dimensions, queries {queries.shape[1]}")
-                score = np.round(queries @ v.T, digits) + 0.0
-                if score.shape[1] > k:
-                    floor = np.partition(score, -k, axis=1)[:, -k]
-                    q, c = np.nonzero(score >= floor[:, None])
-                else:
-                    q, c = (x.ravel() for x in np.indices(score.shape))
-                kept_q.append(q), kept_s.append(score[q, c]), kept_id.append(part.column(0).take(pa.array(c)))
-                if sum(map(len, kept_q)) > 8 * k * len(queries) + 100_000:
-                    kept_q, kept_id, kept_s = _best(np, pa, kept_q, kept_id, kept_s, k)
-        if kept_q:
+        held = [(b.column(0), unit(b.column(1))) for b in batches if b.num_rows and names]
+        for name in names if held else ():
+            rows = pa.ipc.open_file(pa.py_buffer(shared.load(f"{path}/{name}"))).read_all()
+            queries = unit(rows.column(1).combine_chunks())
+            kept_q, kept_id, kept_s = [], [], []
+            for ids, vectors in held:
+                for lo in range(0, len(ids), 4096):
+                    v = vectors[lo : lo + 4096]
+                    if v.shape[1] != queries.shape[1]:
+                        raise ValueError(f"vectors have {v.shape[1]} dimensions, queries {queries.shape[1]}")
+                    score = np.round(queries @ v.T, digits) + 0.0
+                    if score.shape[1] > k:
+                        floor = np.partition(score, -k, axis=1)[:, -k]
+                        q, c = np.nonzero(score >= floor[:, None])
+                    else:
+                        q, c = (x.ravel() for x in np.indices(score.shape))
+                    kept_q.append(q)
+                    kept_s.append(score[q, c])
+                    kept_id.append(ids.take(pa.array(lo + c)))
+                    if sum(map(len, kept_q)) > 8 * k * len(queries) + 100_000:
+                        kept_q, kept_id, kept_s = _best(np, pa, kept_q, kept_id, kept_s, k)
             q, ids, s = (x[0] for x in _best(np, pa, kept_q, kept_id, kept_s, k))
             yield pa.RecordBatch.from_arrays([rows.column(0).combine_chunks().take(pa.array(q)), ids, pa.array(s)], ["query_id", "id", "score"])
 

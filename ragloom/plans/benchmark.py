@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import METHODS, Settings
 from ..functions import prompts
-from ..operators import communities, evaluation, knn, retrieval, summaries
+from .. import shared
+from ..operators import evaluation, knn, retrieval, summaries
 from ..providers import Chat, Embedder
 from ..sources import reports
 from ..sources.index_store import IndexStore
@@ -40,7 +41,7 @@ class Retrievers:
         return retrieval.global_for(self.queries, self.store.read("communities"))
 
     def hybrid_selection(self) -> DataFrame:
-        replies = communities.written(summaries.chat_column(self.queries.select("query_id", "query"), "query", self.chat, "reply", prompts.CLASSIFY_SYSTEM))
+        replies = shared.written(summaries.chat_column(self.queries.select("query_id", "query"), "query", self.chat, "reply", prompts.CLASSIFY_SYSTEM))
         classified = replies.withColumn("query_classification", retrieval.query_class(F.col("reply")))
         return retrieval.select_side(classified, self.vector_rag(), self.graphrag_local()).select("query_id", "context", "num_chunks")
 
@@ -61,19 +62,21 @@ def evaluate(samples: DataFrame, contexts: DataFrame, chat: Chat, method: str, m
     return evaluation.judged(asked.unionByName(silent), metric).withColumn("method_name", F.lit(method))
 
 
-def run(samples: DataFrame, documents: DataFrame, store: IndexStore, embedder: Embedder, chat: Chat, settings: Settings = Settings(), metric: evaluation.Metric | None = None, rebuild: bool = False) -> DataFrame:
-    """Predictions of all methods of the settings, written with their comparison to output_dir."""
+def run(samples: DataFrame, documents: DataFrame, store: IndexStore, embedder: Embedder, chat: Chat, settings: Settings = Settings(), metric: evaluation.Metric | None = None, rebuild: bool = False, cache: bool = True) -> DataFrame:
+    """Predictions of all methods of the settings, written with their comparison to output_dir.
+
+    Without `cache` the vector index is built anew, with `rebuild` both are."""
     methods = tuple(settings.methods)
-    chunks = communities.written(indexing.chunked(documents, settings))
+    chunks = shared.written(indexing.chunked(documents, settings))
     vector, graph = needs(methods)
     if vector:
-        indexing.index_vectors(store, chunks, embedder, replace=True)
+        indexing.index_vectors_cached(store, chunks, embedder, settings, rebuild or not cache)
     if graph:
         indexing.build_graph_cached(store, chunks, chat, embedder, settings, rebuild)
-    queries = communities.written(knn.embed(samples.select("query_id", "query"), "query", embedder, "query_embedding"))
+    queries = shared.written(knn.embed(samples.select("query_id", "query"), "query", embedder, "query_embedding"))
     retrievers = Retrievers(queries, store, chat, settings)
     metric = metric or evaluation.exact_metric()
-    parts = [communities.written(evaluate(samples, retrievers.of(m), chat, m, metric)) for m in methods]
+    parts = [shared.written(evaluate(samples, retrievers.of(m), chat, m, metric)) for m in methods]
     predictions = reduce(DataFrame.unionByName, parts)
     for m, part in zip(methods, parts, strict=True):
         reports.save_result(part, evaluation.accuracy_by_type(part), f"{settings.output_dir}/{m}")

@@ -10,6 +10,7 @@ from ..functions import prompts
 from ..operators import knn, retrieval, summaries
 from ..providers import Chat, Embedder
 from ..sources.index_store import IndexStore
+from ..tracing import observed
 
 
 class Service:
@@ -33,12 +34,14 @@ class Service:
             return self.vector_hits(queries.limit(0), k) if self.loaded()["vector"] else _no_hits(queries)
         return retrieval.graph_hits(queries, self.store.read("entity_vectors"), self.store.read("edges"), self.store.read("chunks"), k or self.settings.graph.top_k)
 
+    @observed("retrieve")
     def retrieve(self, questions: DataFrame, method: str = "hybrid", k: int | None = None) -> DataFrame:
         queries = knn.embed(questions, "query", self.embedder, "query_embedding")
         vector = self.vector_hits(queries, k) if method in ("vector", "hybrid") else None
         graph = self.graph_hits(queries, k) if method in ("graph", "hybrid") else None
         return retrieval.retrieve(vector, graph, method)
 
+    @observed("answer")
     def answer(self, questions: DataFrame, method: str = "hybrid", k: int | None = None, max_context: int | None = None) -> DataFrame:
         """query_id, query, answer, context, n_blocks: questions without any hit have the fixed
         answer and don't reach the model."""

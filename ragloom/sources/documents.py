@@ -90,5 +90,13 @@ def corpus_from_json(spark: SparkSession, path: str) -> DataFrame:
     return items.select(F.coalesce(_field("id"), F.lit("")).alias("doc_id"), F.coalesce(_field("content"), _field("text"), F.lit("")).alias("content"), F.coalesce(_field("title"), F.lit("")).alias("title"), F.coalesce(F.try_variant_get("v", "$", "map<string,string>"), F.expr(_EMPTY_MAP)).alias("metadata"))
 
 
+def corpus_to_documents(corpus: DataFrame) -> DataFrame:
+    """doc_id, content, title, metadata of corpus rows that may lack all but the content: ids as
+    text, absent titles and ids empty, absent metadata an empty map."""
+    own = lambda name, kind, absent: F.coalesce(F.col(name).cast(kind), absent) if name in corpus.columns else absent
+    empty = F.lit("")
+    return corpus.select(own("doc_id", "string", empty).alias("doc_id"), own("content", "string", empty).alias("content"), own("title", "string", empty).alias("title"), own("metadata", "map<string,string>", F.expr(_EMPTY_MAP)).alias("metadata"))
+
+
 def empty_documents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.DOCUMENT)

@@ -81,15 +81,18 @@ class IndexStore:
         return self.spark.read.parquet(f"{self.folder.path}/{tables[name]}")
 
     def write(self, fingerprint: str | None = None, **tables: DataFrame) -> None:
-        """Replaces these tables; the others stay."""
+        """Replaces these tables; the others stay.  The fingerprint, if any, is theirs."""
         written = {name: f"{name}-{uuid.uuid4().hex}" for name in tables}
         for name, df in tables.items():
             df.write.parquet(f"{self.folder.path}/{written[name]}")
         manifest = self.manifest
         old = [p for n, p in manifest["tables"].items() if n in written]
         manifest["tables"] |= written
-        if fingerprint is not None:
-            manifest["fingerprint"] = fingerprint
+        marks = manifest.setdefault("fingerprints", {})
+        for name in written:
+            marks.pop(name, None)
+            if fingerprint is not None:
+                marks[name] = fingerprint
         self.folder.write_json(MANIFEST, manifest)
         for p in old:
             self.folder.delete(p)
@@ -104,7 +107,8 @@ class IndexStore:
 
     def is_current(self, fingerprint: str, *names: str) -> bool:
         """The same content and settings, and every table has rows."""
-        return self.manifest.get("fingerprint") == fingerprint and self.has(*names) and all(not self.read(n).isEmpty() for n in names)
+        marks = self.manifest.get("fingerprints", {})
+        return self.has(*names) and all(marks.get(n) == fingerprint and not self.read(n).isEmpty() for n in names)
 
     def clear(self) -> None:
         manifest = self.manifest

@@ -4,7 +4,7 @@ import json
 import pytest
 
 from ragloom import api, cli, config, schemas
-from ragloom.operators.communities import written
+from ragloom.shared import written
 from ragloom.plans import benchmark, indexing
 from ragloom.plans.service import Service, ask
 from ragloom.providers import HashedEmbedder, OfflineChat
@@ -53,7 +53,7 @@ def test_store(spark, tmp_path):
     store.upsert("chunks", rows(("b", "2"), ("c", "2")), "chunk_id")
     assert sorted(map(tuple, store.read("chunks").collect())) == [("a", "1"), ("b", "2"), ("c", "2")]
     store.write("mark", other=rows(("z", "9")))
-    assert store.is_current("mark", "chunks", "other") and not store.is_current("else", "chunks")
+    assert store.is_current("mark", "other") and not store.is_current("else", "other") and not store.is_current("mark", "chunks", "other")
     store.clear()
     assert not store.has("chunks")
 
@@ -150,3 +150,84 @@ def test_streaming(spark, docs, tmp_path):
         part.write.mode("append").parquet(folder)
         indexer.start(indexer.document_stream(spark, folder), store, HashedEmbedder(8), str(tmp_path / "cp"), once=True).awaitTermination()
     assert store.read("chunks").count() == 3
+
+
+def test_shared_folder_is_never_one_machines(monkeypatch):
+    from types import SimpleNamespace
+
+    from ragloom import shared
+
+    unset = SimpleNamespace(get=lambda key, default: None, set=lambda *a: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    named = SimpleNamespace(get=lambda key, default: "hdfs://x/y/")
+    assert shared.folder(SimpleNamespace(conf=named)) == "hdfs://x/y"
+    assert shared.folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file:///")
+
+
+def test_written_tables_can_be_removed(spark):
+    import os
+
+    from ragloom import shared
+
+    frame = shared.written(spark.range(3).toDF("x"))
+    path = frame.written_at.removeprefix("file://")
+    assert frame.count() == 3 and os.path.isdir(path)
+    shared.discard(frame)
+    assert not os.path.exists(path)
+
+
+def test_cached_vectors(spark, docs, tmp_path):
+    store, chunks = index_store.IndexStore(spark, str(tmp_path / "ix")), written(indexing.chunked(docs, config.Settings()))
+    build = lambda **o: indexing.index_vectors_cached(store, chunks, HashedEmbedder(8), config.Settings(), **o)
+    assert [build(), build(), build(rebuild=True)] == [True, False, True]
+
+
+def test_serve_without_its_packages(spark, service, capsys, monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "uvicorn", None)
+    assert cli.serve(service, "127.0.0.1", 1) == 1 and "uvicorn" in capsys.readouterr().err
+
+
+def test_page_calls():
+    import io
+
+    from ragloom import ui
+
+    asked = []
+
+    def opener(request, timeout):
+        asked.append((request.full_url, request.data, timeout))
+        return io.BytesIO(b'{"answer": "x"}')
+
+    assert ui.call("http://h/", "query", {"query": "q"}, opener) == {"answer": "x"} and asked == [("http://h/query", b'{"query": "q"}', 60)]
+    assert ui.call("http://h", "graph/data?limit=5", None, opener) == {"answer": "x"} and asked[1][2] == 10
+
+    def broken(request, timeout):
+        raise OSError("down")
+
+    assert ui.call("http://h", "status", None, broken) == {"error": "down"}
+    assert ui.dot({"nodes": [{"id": 'a"b'}], "edges": []}) == 'digraph {\n  "a\\"b";\n}'
+
+
+def test_spans(spark, caplog):
+    from ragloom import tracing
+
+    with caplog.at_level("INFO", logger="ragloom"), tracing.span("outer"):
+        assert spark.sparkContext.getLocalProperty("spark.job.description") == "outer"
+        with pytest.raises(KeyError), tracing.span("inner"):
+            raise KeyError
+    assert spark.sparkContext.getLocalProperty("spark.job.description") is None
+    assert [r.getMessage().split(" in ")[0] for r in caplog.records] == ["inner failed", "outer done"]
+
+
+def test_corpus_to_documents(spark):
+    found = documents.corpus_to_documents(spark.createDataFrame([(1, "x"), (None, None)], "doc_id int, content string")).collect()
+    assert [tuple(r) for r in found] == [("1", "x", "", {}), ("", "", "", {})]
+
+
+def test_order_of_chunks(spark):
+    rows = spark.createDataFrame([(f"d{k % 7}", k, "x") for k in range(60)], "doc_id string, chunk_index int, content string").repartition(5)
+    found = written(indexing.ordered(rows)).orderBy("ord").collect()
+    assert [(r.doc_id, r.chunk_index) for r in found] == sorted((r.doc_id, r.chunk_index) for r in found) and len({r.ord for r in found}) == 60

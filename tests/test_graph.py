@@ -50,6 +50,18 @@ def test_edges_and_nodes(spark):
     assert [r.relation for r in graph.triplets(rel, 3).collect()] == ["likes", "knows", "is"]
 
 
+def test_merged_descriptions(spark):
+    """A description that is part of what stands there adds nothing; equal ones count at their first place."""
+    rows = [("A", "T", d, f"c{k % 3}", [k, 0]) for k, d in enumerate(["b", "", None, "abc", "b", "bc", "abc", "z", "c z"])]
+    found = graph.merge_entities(spark.createDataFrame(rows, "name string, entity_type string, description string, source_chunk_id string, ord array<long>").repartition(4)).first()
+    assert found.description == "b abc z" and found.source_chunk_ids == ["c0", "c1", "c2"]
+
+
+def test_edge_counts(spark):
+    rel = relations(spark, [("A", "likes", "B"), ("b", "knows", " a "), ("A", "is", "A"), ("C", "x", " ")])
+    assert sorted((r.src_key, r.dst_key, r.n_relations, r.first) for r in graph.edge_counts(rel).collect()) == [("a", "a", 1, [2]), ("a", "b", 2, [0])]
+
+
 def test_extract(spark):
     chunks = spark.createDataFrame([("c0", 0, "Anna met Bo in Rome"), ("c1", 1, None)], "chunk_id string, ord long, content string")
     found = graph.extract(chunks, OfflineChat())
@@ -105,6 +117,7 @@ def test_nearest(spark):
     assert found == [("q1", 0, "a", 1.0), ("q1", 1, "c", 1.0), ("q1", 2, "b", 0.0), ("q2", 0, "a", 0.0), ("q2", 1, "b", 0.0), ("q2", 2, "c", 0.0)]
     with pytest.raises(ValueError, match="k must"):
         knn.nearest(v, q, 0)
+    assert knn.nearest(v, q.limit(0), 3).count() == 0 and knn.nearest(v.limit(0), q, 3).count() == 0
     with pytest.raises(Exception, match="dimensions"):
         knn.nearest(v, spark.createDataFrame([("q", [1.0])], "query_id string, query_embedding array<float>"), 1).collect()
 
