@@ -74,18 +74,37 @@ def pack(cut: DataFrame, capacity: int = 2048, group_rows: int = 32_768) -> Data
 
 
 def fill(lengths, capacity: int = 2048):
-    """(bin of each length, its offset there): best fit in descending order, then local search.
+    """(bin of each length, its offset there): best fit as the lengths come, then local search.
 
-    Best fit keeps, for each room left, the bins that have it, and one bit for each room that any
-    bin has, so that the tightest bin for a length is one shift and one lowest bit away.
-    """
+    If that leaves more bins than the total length asks for, best fit in descending order and the
+    search from there are tried too, and the fewer bins count.  From the unsorted start the search
+    has short documents in all bins to exchange and mostly ends nearer the bound."""
     import numpy as np
 
     lengths = np.asarray(lengths, np.int64)
+    plain, least, bins = lengths.tolist(), -(-int(lengths.sum()) // capacity), None
+    for order in (range(len(plain)), np.argsort(-lengths, kind="stable").tolist()):
+        found = [b for b in improve(best_fit(plain, order, capacity), plain, capacity) if b]
+        if bins is None or len(found) < len(bins):
+            bins = found
+        if len(bins) <= least:
+            break
+    of, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for k, b in enumerate(bins):
+        of[b] = k
+        offsets[b] = np.cumsum(lengths[b]) - lengths[b]
+    return of, offsets
+
+
+def best_fit(lengths: list[int], order, capacity: int) -> list[list[int]]:
+    """Each length in the tightest open bin that takes it.
+
+    For each room left the bins that have it are kept, and one bit for each room that any bin has,
+    so that the tightest bin for a length is one shift and one lowest bit away."""
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_rooms, bins = 0, []
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
+    for i in order:
+        n = lengths[i]
         fit = open_rooms >> n
         if fit:
             room = n + (fit & -fit).bit_length() - 1
@@ -99,12 +118,7 @@ def fill(lengths, capacity: int = 2048):
         if left := room - n:
             rooms[left].append(b)
             open_rooms |= 1 << left
-    bins = [b for b in improve(bins, lengths.tolist(), capacity) if b]
-    of, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for k, b in enumerate(bins):
-        of[b] = k
-        offsets[b] = np.cumsum(lengths[b]) - lengths[b]
-    return of, offsets
+    return bins
 
 
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:

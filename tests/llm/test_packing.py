@@ -44,19 +44,64 @@ def test_each_step_raises_the_squares():
             assert (high + d) ** 2 + (low - d) ** 2 > high**2 + low**2
 
 
-def test_no_step_is_left(monkeypatch):
+def fewest(lengths, capacity):
+    """By trying every way: each length in one of the bins so far or in a new one."""
+    best = len(lengths)
+    lengths = sorted(lengths, reverse=True)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= lengths[k]:
+                left = list(rooms)
+                left.remove(room)
+                go(k + 1, left + [room - lengths[k]])
+        go(k + 1, rooms + [capacity - lengths[k]])
+
+    go(0, [])
+    return best
+
+
+def test_few_lengths_against_every_packing():
+    rng, more = np.random.default_rng(6), 0
+    for _ in range(150):
+        lengths = rng.integers(1, 21, rng.integers(1, 10)).tolist()
+        found = int(packing.fill(lengths, 20)[0].max()) + 1
+        more += found - fewest(lengths, 20)
+        assert found <= fewest(lengths, 20) + 1
+    assert more <= 3
+
+
+def test_the_search_does_the_packing(monkeypatch, small):
+    """On the fixture's lengths: the start is above the bound, and steps bring it there."""
+    import duckdb
+
+    sizes = [len(r[0]) // 4 + 1 for r in duckdb.sql(f"SELECT text FROM '{small.replace('0.001', '0.01')}/documents.parquet' ORDER BY doc_id").fetchall()]
+    lengths = [n for size in sizes for n in [2048] * (size // 2048) + [size % 2048] if n]
+    bound, steps, step = -(-sum(lengths) // 2048), [], packing._best_step
+    monkeypatch.setattr(packing, "_best_step", lambda *a: steps.append(1) or step(*a))
+    assert len(packing.best_fit(lengths, range(len(lengths)), 2048)) > bound
+    assert int(packing.fill(lengths, 2048)[0].max()) + 1 <= bound + 1 and steps
+
+
+def test_no_step_is_left():
     lengths = np.random.default_rng(3).integers(300, 1101, 1200).tolist()
     bins, _ = packing.fill(lengths, 2048)
     least, found = -(-sum(lengths) // 2048), int(bins.max()) + 1
-    monkeypatch.setattr(packing, "improve", lambda bins, *_: bins)
-    best_fit = int(packing.fill(lengths, 2048)[0].max()) + 1
-    assert 2 * (found - least) <= best_fit - least
+    descending = len(packing.best_fit(lengths, np.argsort(-np.asarray(lengths), kind="stable").tolist(), 2048))
+    assert 2 * (found - least) <= descending - least
+    if found == least:
+        return
     held = {}
     for i, b in enumerate(bins.tolist()):
         held.setdefault(b, []).append(i)
     fills = {b: sum(lengths[i] for i in held[b]) for b in held}
     under = [b for b in held if fills[b] < 2048]
-    assert len(under) > 64
     for b in under:
         for c in under:
             if b != c:
