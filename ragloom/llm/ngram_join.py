@@ -17,6 +17,7 @@ Counted shingles of one document only can't be shared, so they take a place in f
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ SAMPLED = 0.26
 COMMON, HEAVY = 24, 200_000
 #: Documents with a shingle in front in common: all pairs up to RUN, beyond it edges to the first.
 RUN = 64
-#: A cluster beyond these documents or shingles is joined part by part, at first of PART documents.
-PART_DOCS, PART_SHINGLES, PART = 1500, 2_000_000, 100
+#: A cluster beyond these documents or shingles is joined part by part, at first of PART documents,
+#: dealt anew so many times at most, then in blocks of two times BLOCK.  All this is a matter of speed.
+PART_DOCS, PART_SHINGLES, PART, ROUNDS, BLOCK = 500, 2_000_000, 100, 4, 400
 LEAF, FANOUT = 8, 8
 
 SETS_SCHEMA = "doc_id long, of_text long, n long, fp binary, free array<long>, heavy array<long>"
@@ -367,11 +369,12 @@ def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> Data
 
     A cluster of up to PART_DOCS documents and PART_SHINGLES shingles is one task's.  A larger one
     is dealt by size, as sets of sizes too far apart can't be linked, and then by hash to parts of
-    PART documents; each part is joined by itself and with the cluster's hub, its first document,
-    and mostly that makes the whole cluster one component.  What is left outside its largest
-    component is then joined with the documents of all sizes in reach, block by block.  So a large
-    group of near copies costs a row a document, and only documents that may yet be linked anew
-    are compared twice.
+    PART documents; each part is joined by itself and with the cluster's hub, its first document.
+    Where that leaves a component of a tenth of the cluster or more, it is dealt by other hashes
+    and joined again, up to ROUNDS times, which mostly makes near copies one component.  What is
+    left outside a cluster's largest component is then joined with the documents of all sizes in
+    reach, block by block.  So a large group of near copies costs some rows a document, and only
+    documents that may yet be linked anew are compared again.
     """
     held = common.materialise(members.join(fetched.withColumnRenamed("doc_id", "rep"), ["rep", "fp"]).select("node", "fp", "n", "cluster", "items"), "members")
     slim, items = held.select("node", "fp", "n", "cluster"), held.select("node", "items")
@@ -380,41 +383,63 @@ def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> Data
     band = F.floor(F.log("n") / math.log(100 / percent * 1.000001)).cast("long")  # linked sets are in one band or in neighbours
     tagged = slim.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), band).otherwise(0))
     bands = _parts(tagged.where("large"), PART)
-    placed = tagged.join(bands, ["cluster", "band"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
     hubs = tagged.where("large").groupBy("cluster").agg(F.min(F.struct("node", "band")).alias("hub")).join(bands, "cluster").where(F.abs(F.col("hub.band") - F.col("band")) <= 1)
-    hubs = hubs.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub.node")
-    rows = placed.select("cluster", "band", "part", "node").union(hubs)
-    rows = rows.select("cluster", "band", "part", F.lit(0).alias("other_band"), F.lit(0).alias("other"), F.lit(0).alias("side"), "node", F.col("node").alias("component"))
-    found = common.materialise(_join_groups(rows, items, percent, both=False), "spans")
+    hubs = hubs.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub.node", F.col("hub.node").alias("component"))
+    rows = _dealt(tagged, bands, 0).withColumn("component", F.col("node")).union(hubs)
+    spans = [common.materialise(_join_groups(rows, items, percent, both=False), "spans")]
     if large.isEmpty():
-        return found
-    again = placed.where("large").select("cluster", "band", "fp", "n", "node")
-    component = connected_components(found.join(again.select(F.col("node").alias("a")), "a", "left_semi"))
-    again = common.materialise(again.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "again")
-    counted = again.groupBy("cluster", "component").agg(F.count("*").alias("docs"))
-    main = counted.groupBy("cluster").agg(F.max_by("component", F.struct("docs", "component")).alias("main"))
-    rest = common.materialise(again.join(main, "cluster").where("component <> main").drop("main"), "rest")
+        return spans[0]
+    everyone = common.materialise(tagged.where("large").select("cluster", "band", "fp", "n", "node"), "large")
+    for k in range(1, ROUNDS + 1):
+        again, shares = _components_within(everyone, spans)
+        dense = shares.where("main_docs < docs AND 10 * main_docs >= docs").select("cluster")
+        if k == ROUNDS or dense.isEmpty():
+            break
+        rows = again.join(dense, "cluster", "left_semi")
+        rows = _dealt(rows, _parts(rows, PART), k, "component")
+        spans.append(common.materialise(_join_groups(rows, items, percent, both=False), "spans"))
+    found = reduce(DataFrame.union, spans)
+    rest = common.materialise(again.join(shares.select("cluster", "main"), "cluster").where("component <> main").drop("main"), "rest")
     if rest.isEmpty():
         return found
-    lefts, rights = _parts(rest, PART_DOCS), _parts(again.join(rest.select("cluster").distinct(), "cluster", "left_semi"), PART_DOCS)
+    lefts, rights = _parts(rest, BLOCK), _parts(again.join(rest.select("cluster").distinct(), "cluster", "left_semi"), BLOCK)
     left = rest.join(lefts, ["cluster", "band"]).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int")).drop("parts")
     left = left.join(rights.withColumnRenamed("band", "other_band"), "cluster").where("abs(band - other_band) <= 1")
-    left = left.select("cluster", "band", "part", "other_band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), F.lit(0).alias("side"), "node", "component")
+    left = left.select("cluster", "band", "part", "node", "component", "other_band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), F.lit(0).alias("side"))
     right = again.join(rights, ["cluster", "band"]).withColumn("other", F.pmod(F.xxhash64("fp"), "parts").cast("int")).drop("parts").withColumnRenamed("band", "other_band")
     right = right.join(lefts, "cluster").where("abs(band - other_band) <= 1")
-    right = right.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "other_band", "other", F.lit(1).alias("side"), "node", "component")
+    right = right.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "component", "other_band", "other", F.lit(1).alias("side"))
     return found.union(_join_groups(left.union(right), items, percent, both=True))
 
 
+def _dealt(rows: DataFrame, bands: DataFrame, seed: int, *more: str) -> DataFrame:
+    """cluster, band, part, node and more, by a hash that differs with the seed."""
+    placed = rows.join(bands, ["cluster", "band"], "left")
+    return placed.select("cluster", "band", F.pmod(F.xxhash64("fp", F.lit(seed)), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "node", *more)
+
+
+def _components_within(everyone: DataFrame, spans: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The documents of large clusters with their components so far; and each cluster's number of
+    documents, its largest component and that one's."""
+    edges = reduce(DataFrame.union, spans).join(everyone.select(F.col("node").alias("a")), "a", "left_semi")
+    again = everyone.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    again = common.materialise(again.select("cluster", "band", "fp", "n", "node", "component"), "again")
+    counted = again.groupBy("cluster", "component").agg(F.count("*").alias("docs"))
+    shares = counted.groupBy("cluster").agg(F.sum("docs").alias("docs"), F.max(F.struct("docs", "component")).alias("most"))
+    return again, common.materialise(shares.select("cluster", "docs", F.col("most.component").alias("main"), F.col("most.docs").alias("main_docs")), "shares")
+
+
 def _parts(rows: DataFrame, docs: int) -> DataFrame:
     """cluster, band, parts: of so many documents, and of PART_SHINGLES."""
     return rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
 
 
 def _join_groups(rows: DataFrame, items: DataFrame, percent: int, both: bool) -> DataFrame:
-    """(a, b): spanning edges of the documents of each group (cluster, band, part, other_band, other):
-    of one side, all with all; of two, each of one with each of the other.  Documents that share a
-    component are linked already; the edges join components."""
+    """(a, b): spanning edges of the documents of each group (cluster, band, part, and if there are
+    both sides other_band, other): of one side, all with all; of two, each of one with each of the
+    other.  Documents that share a component are linked already; the edges join components."""
+    if not both:
+        rows = rows.select("cluster", "band", "part", "node", "component", F.lit(0).alias("other_band"), F.lit(0).alias("other"), F.lit(0).alias("side"))
     group = ["cluster", "band", "part", "other_band", "other"]
     dealt = rows.join(items, "node").repartition(*group).sortWithinPartitions(*group, "side", "node")
 

@@ -99,6 +99,7 @@ def test_large_clusters(spark, documents, monkeypatch, chain):
     differ, and single documents of the same words are linked with nothing."""
     monkeypatch.setattr(ngram_join, "PART_DOCS", 12)
     monkeypatch.setattr(ngram_join, "PART", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 9)
     monkeypatch.setattr(ngram_join, "COMMON", 2)
     rng = random.Random(7)
     base = [f"a{k}" for k in range(120)]
