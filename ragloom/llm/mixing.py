@@ -54,23 +54,25 @@ def source_targets(sources: DataFrame, cap: int = 3, weights: tuple[int, ...] =
     return levels.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_id", cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, size: Column, tie: Column, source: str = "source", key: str = "doc_id", cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """Every row of docs with size, source_size, target (its source's) and copies (0 to cap).
 
     Within a source each document expects target / source_size copies.  The prefix sum of these,
     in order of size, plus one offset of the source drawn from `seed`, crosses some integers in
     each document's share; it is taken once for each.  Order by size keeps the words taken within
-    about one document of the target; of TRIES evenly spaced offsets, the first of them random,
-    that one serves whose words come nearest, which the group counts tell.
+    the source's largest document of the target, whatever the offset.  Where few long documents
+    make up a source that may still be far, so of TRIES evenly spaced offsets, the first of them
+    random, that one serves whose words come nearest, which the group counts tell.
 
     The prefix sum is a rank times a constant.  The rank is the position in a (source, size, fan)
     group, where the fan is a hash of the key, plus the rows in the groups before it: running sums
     over a source's distinct sizes and over a size's fans.  So a source or a group of copies that holds a third of all rows is dealt by
-    size and fan.  Rows with equal keys are each a document.  An empty source has its own share; a
+    size and fan.  Rows with equal keys are each a document, in order of `tie`, so that which of two
+    texts under one key is taken does not depend on the run.  An empty source has its own share; a
     null source is one too; sources without words have target 0.  Extra columns pass through.
     """
     fan = F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int") % FANS
-    rows = docs.select(F.struct("*").alias("row"), _named(F.col(source)).alias("name"), size.alias("size"), F.col(key).alias("key")).withColumn("fan", fan)
+    rows = docs.select(F.struct("*").alias("row"), _named(F.col(source)).alias("name"), size.alias("size"), F.col(key).alias("key"), tie.alias("tie")).withColumn("fan", fan)
     groups = rows.groupBy("name", "size", "fan").agg(F.count("*").alias("n"))
     # The rows before a group: those of smaller sizes, and those of its size in lower fans.
     sizes = groups.groupBy("name", "size").agg(F.sum("n").alias("of_size"))
@@ -92,21 +94,21 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: str = "doc_i
     missed = placed(plan).groupBy("name").agg(F.array(*(F.abs(t - F.first("target")) for t in taken)).alias("missed"))
     plan = plan.join(missed, "name").withColumn("offset", F.element_at(F.array(*tried), F.array_position("missed", F.array_min("missed")).cast("int"))).drop("missed")
     shares = placed(plan).select("name", "size", "fan", "before", "source_size", "target", "rate", "offset")
-    place = F.row_number().over(Window.partitionBy("name", "size", "fan").orderBy("key"))
+    place = F.row_number().over(Window.partitionBy("name", "size", "fan").orderBy("key", "tie"))
     ranked = rows.withColumn("place", place).join(shares, ["name", "size", "fan"]).withColumn("rank", F.col("before") + F.col("place"))
     return ranked.select("row", "size", "source_size", "target", F.least(crossed(F.col("offset"), F.col("rank") - 1, F.col("rank")), F.lit(cap)).cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken."""
-    mixed = mix(docs, word_count(F.col(text)), **options)
+    mixed = mix(docs, word_count(F.col(text)), F.xxhash64(text), **options)
     return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def mix_report(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted)."""
-    slim = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("words"))
-    return mix(materialise(slim, "sizes"), F.col("words"), **options).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("words"), F.xxhash64(text).alias("of_text"))
+    return mix(materialise(slim, "sizes"), F.col("words"), F.col("of_text"), **options).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def oracle(text: str = "text", key: str = "doc_id", cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, table: str = "documents") -> str:

@@ -59,6 +59,26 @@ def test_odd_rows(spark, documents):
     assert [(r.target, r.taken) for r in only_empty] == [(0.0, 0), (0.0, 0)]
 
 
+def test_nearness_on_the_fixture(spark, small):
+    """No source misses its target by more than its largest document; most by far less."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = mixing.mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    missed = []
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        off = abs(sum(r.taken for r in own) - own[0].target)
+        assert off <= max(r.size for r in own)
+        missed.append(off / own[0].target)
+    assert sorted(missed)[len(missed) // 2] < 0.02
+
+
+def test_texts_under_one_id(spark, documents):
+    """Which of them is taken, and how often, is the same in each run."""
+    docs = documents([(k // 4, f"a{k} b{k} c{k}", "x" if k < 100 else "y") for k in range(160)])
+    found = [sorted(r.text for r in mixing.mixed_documents(docs.repartition(p)).collect()) for p in (1, 3, 6)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_mixed_documents_repeat_rows(spark, documents):
     docs = documents([(i, "w " * (i % 5 + 1), "a" if i < 10 else "b") for i in range(200)])
     mixed = mixing.mixed_documents(docs)
@@ -79,5 +99,5 @@ def test_against_sql(spark, documents):
 
 
 def test_plan_is_native(spark, documents):
-    plan = mixing.mix(documents([(1, "x")]), F.lit(1).cast("long"))._jdf.queryExecution().executedPlan().toString()
+    plan = mixing.mix(documents([(1, "x")]), F.lit(1).cast("long"), F.xxhash64("text"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
