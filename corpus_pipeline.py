@@ -3,6 +3,10 @@
 Every stage takes what its predecessor kept, and its decisions take effect: rows that a stage
 drops are gone, rows that the mix takes twice are there twice.  All stages but the last return the
 columns of ``documents``; the last returns the packed pieces.
+
+Classifiers, mix and packing treat each row by itself, so null and repeated ids are like any others,
+and a null text is an empty one.  The join decides by id and text: rows that repeat both are one
+document, a null id is linked with nothing.  Empty tables give empty results.
 """
 
 from __future__ import annotations
