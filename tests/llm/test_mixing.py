@@ -69,7 +69,7 @@ def test_nearness_on_the_fixture(spark, small):
         off = abs(sum(r.taken for r in own) - own[0].target)
         assert off <= max(r.size for r in own)
         missed.append(off / own[0].target)
-    assert sorted(missed)[len(missed) // 2] < 0.02
+    assert sorted(missed)[len(missed) // 2] < 0.05
 
 
 def test_texts_under_one_id(spark, documents):
