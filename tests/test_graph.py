@@ -99,6 +99,31 @@ def test_components_and_communities(spark):
     assert len(level0) == len(set(level0)) == len(found)
 
 
+def test_large_components_are_made_coarser(spark, monkeypatch):
+    """Cliques in a row: found as they are, by tasks alone and by joins first."""
+    cliques = [[f"{c}{i}" for i in range(8)] for c in "abcd"]
+    pairs = [(x, y) for c in cliques for i, x in enumerate(c) for y in c[:i]] + [(c[0], d[0]) for c, d in zip(cliques, cliques[1:])] + [("p", "q"), ("q", "r")]
+    edges = graph.merge_relations(relations(spark, [(a, "r", b) for a, b in pairs]))
+    found = []
+    for most in (communities.TASK_EDGES, 25):
+        monkeypatch.setattr(communities, "TASK_EDGES", most)
+        rows = communities.detect(edges, max_cluster_size=5).collect()
+        groups = {}
+        for r in rows:
+            groups.setdefault((r.level, r.community_id), set()).add(r.node_key)
+        assert sorted({c for _, c in groups}) == list(range(len(groups)))
+        found.append({frozenset(g) for (level, _), g in groups.items() if level == 0})
+        assert {frozenset(c) for c in cliques} <= found[-1]
+        members = [n for g in found[-1] for n in g]
+        assert len(members) == len(set(members)) == 35
+    assert communities.detect(edges.limit(0)).count() == 0
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.createDataFrame([(f"k{i * 37 % 100:03d}",) for i in range(100)], "k string").repartition(6)
+    assert [(r.k, r.number) for r in communities.numbered(rows, "k").orderBy("number").collect()] == [(f"k{i:03d}", i) for i in range(100)]
+
+
 def test_community_tables(spark):
     edges = graph.merge_relations(relations(spark, [("A", "likes", "B"), ("B", "x", "C")]))
     nodes = graph.with_implicit_nodes(graph.merge_entities(spark.createDataFrame([("A", "T", "", "c", [0])], "name string, entity_type string, description string, source_chunk_id string, ord array<long>")), edges)
