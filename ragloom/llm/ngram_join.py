@@ -377,18 +377,19 @@ def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> Data
     documents that may yet be linked anew are compared again.
     """
     held = common.materialise(members.join(fetched.withColumnRenamed("doc_id", "rep"), ["rep", "fp"]).select("node", "fp", "n", "cluster", "items"), "members")
-    slim, items = held.select("node", "fp", "n", "cluster"), held.select("node", "items")
-    sizes = slim.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     large = common.materialise(sizes.where((F.col("docs") > PART_DOCS) | (F.col("shingles") > PART_SHINGLES)).select("cluster", F.lit(True).alias("large")), "large")
+    if large.isEmpty():
+        rows = held.select("cluster", F.lit(0).cast("long").alias("band"), F.lit(0).alias("part"), "node", F.col("node").alias("component"), "items")
+        return common.materialise(_join_groups(rows, percent, both=False), "spans")
     band = F.floor(F.log("n") / math.log(100 / percent * 1.000001)).cast("long")  # linked sets are in one band or in neighbours
-    tagged = slim.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), band).otherwise(0))
-    bands = _parts(tagged.where("large"), PART)
+    tagged = held.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), band).otherwise(0))
+    items = held.select("node", "items")
+    bands = common.materialise(_parts(tagged.where("large"), PART), "bands")
     hubs = tagged.where("large").groupBy("cluster").agg(F.min(F.struct("node", "band")).alias("hub")).join(bands, "cluster").where(F.abs(F.col("hub.band") - F.col("band")) <= 1)
-    hubs = hubs.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub.node", F.col("hub.node").alias("component"))
-    rows = _dealt(tagged, bands, 0).withColumn("component", F.col("node")).union(hubs)
-    spans = [common.materialise(_join_groups(rows, items, percent, both=False), "spans")]
-    if large.isEmpty():
-        return spans[0]
+    hubs = hubs.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub.node", F.col("hub.node").alias("component")).join(items, "node")
+    rows = _dealt(tagged.withColumn("component", F.col("node")), bands, 0, "component", "items").unionByName(hubs)
+    spans = [common.materialise(_join_groups(rows, percent, both=False), "spans")]
     everyone = common.materialise(tagged.where("large").select("cluster", "band", "fp", "n", "node"), "large")
     for k in range(1, ROUNDS + 1):
         again, shares = _components_within(everyone, spans)
@@ -396,8 +397,8 @@ def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> Data
         if k == ROUNDS or dense.isEmpty():
             break
         rows = again.join(dense, "cluster", "left_semi")
-        rows = _dealt(rows, _parts(rows, PART), k, "component")
-        spans.append(common.materialise(_join_groups(rows, items, percent, both=False), "spans"))
+        rows = _dealt(rows, _parts(rows, PART), k, "component").join(items, "node")
+        spans.append(common.materialise(_join_groups(rows, percent, both=False), "spans"))
     found = reduce(DataFrame.union, spans)
     rest = common.materialise(again.join(shares.select("cluster", "main"), "cluster").where("component <> main").drop("main"), "rest")
     if rest.isEmpty():
@@ -409,7 +410,7 @@ def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> Data
     right = again.join(rights, ["cluster", "band"]).withColumn("other", F.pmod(F.xxhash64("fp"), "parts").cast("int")).drop("parts").withColumnRenamed("band", "other_band")
     right = right.join(lefts, "cluster").where("abs(band - other_band) <= 1")
     right = right.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "component", "other_band", "other", F.lit(1).alias("side"))
-    return found.union(_join_groups(left.union(right), items, percent, both=True))
+    return found.union(_join_groups(left.union(right).join(items, "node"), percent, both=True))
 
 
 def _dealt(rows: DataFrame, bands: DataFrame, seed: int, *more: str) -> DataFrame:
@@ -434,14 +435,14 @@ def _parts(rows: DataFrame, docs: int) -> DataFrame:
     return rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
 
 
-def _join_groups(rows: DataFrame, items: DataFrame, percent: int, both: bool) -> DataFrame:
+def _join_groups(rows: DataFrame, percent: int, both: bool) -> DataFrame:
     """(a, b): spanning edges of the documents of each group (cluster, band, part, and if there are
     both sides other_band, other): of one side, all with all; of two, each of one with each of the
     other.  Documents that share a component are linked already; the edges join components."""
     if not both:
-        rows = rows.select("cluster", "band", "part", "node", "component", F.lit(0).alias("other_band"), F.lit(0).alias("other"), F.lit(0).alias("side"))
+        rows = rows.select("*", F.lit(0).alias("other_band"), F.lit(0).alias("other"), F.lit(0).alias("side"))
     group = ["cluster", "band", "part", "other_band", "other"]
-    dealt = rows.join(items, "node").repartition(*group).sortWithinPartitions(*group, "side", "node")
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, "side", "node")
 
     def run(batches):
         import numpy as np

@@ -56,6 +56,7 @@ def test_all_pairs(spark, documents, size, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "COMMON", 5)
     monkeypatch.setattr(ngram_join, "PART_DOCS", 20)
     monkeypatch.setattr(ngram_join, "PART", 7)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
     rows = corpus(size, 250)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(documents(rows), size, percent).collect()}
     assert found == brute(rows, size, percent)
@@ -100,6 +101,7 @@ def test_large_clusters(spark, documents, monkeypatch, chain):
     monkeypatch.setattr(ngram_join, "PART_DOCS", 12)
     monkeypatch.setattr(ngram_join, "PART", 5)
     monkeypatch.setattr(ngram_join, "BLOCK", 9)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 2)
     monkeypatch.setattr(ngram_join, "COMMON", 2)
     rng = random.Random(7)
     base = [f"a{k}" for k in range(120)]

@@ -110,3 +110,56 @@ def test_whole_table_is_read(spark, small):
     n = common.read(spark, small, "documents").count()
     docs = common.read(spark, small, "documents")
     assert labelled.report(toxicity.score(docs, toxicity.fit(docs, common.read(spark, small, "labels"))), 0.5).count() == n
+
+
+PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
+
+
+def test_run_is_all_stages(spark, small, stages):
+    pieces = lambda frame: Counter(map(tuple, frame.select(*PIECE).collect()))
+    assert pieces(corpus_pipeline.run(spark, small)) == pieces(stages[5])
+
+
+def test_odd_rows_through_all_stages(spark, documents, labels, tmp_path):
+    """Null and repeated ids, null, empty and very long texts: each row has its own fate."""
+    from test_classifiers import corpus
+
+    rows, marks = corpus(300, seed=3)
+    good = next(t for (_, t), (_, q, x) in zip(rows, marks, strict=True) if q and not x)
+    junk = next(t for (_, t), (_, q, x) in zip(rows, marks, strict=True) if not q)
+    bad = next(t for (_, t), (_, q, x) in zip(rows, marks, strict=True) if q and x)
+    other = " ".join(reversed(good.split()))
+    odd = [(None, good), (None, junk), (None, bad), (7000, other), (7000, bad), (7000, good), (7000, other), (7001, None), (7002, ""), (7003, (good + " ") * 300)]
+    documents(rows + odd).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(marks).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = common.materialise(stage(spark, docs, str(tmp_path)), "odd")
+        texts.append(Counter((r.doc_id, r.text) for r in docs.collect()))
+    assert texts[0][None, junk] == 0 and texts[0][None, good] == 1 and texts[0][7000, other] == 2
+    assert texts[1][None, bad] == texts[1][7000, bad] == 0 and texts[1][7000, other] == 2
+    assert texts[2][None, good] == 1  # linked with nothing
+    assert texts[2][7000, other] == 1 and texts[2][7000, good] == 0  # a copy of an earlier one
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_empty_tables_through_all_stages(spark, documents, labels, tmp_path):
+    documents([(1, "x")]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labels([(1, 1, 0)]).limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Named by the session, or on a local master a temporary one; written tables can be removed."""
+    import os
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(get=lambda key, default: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn")))
+    frame = common.materialise(spark.range(5).toDF("x"), "t")
+    path = common.local_path(frame.materialised_at)
+    assert frame.count() == 5 and os.path.isdir(path)
+    common.discard(frame)
+    assert not os.path.exists(path)

@@ -103,3 +103,10 @@ def test_tables_in_other_stores(spark, monkeypatch, kept):
     ranged = table.opened()
     assert np.array_equal(ranged.find(keys), mapped) and np.array_equal(ranged.find(keys[:7]), mapped[:, :7])
     assert np.count_nonzero(mapped[0]) == 1334 + 1  # 0 has the value 0; 9 is there three times
+
+
+def test_null_ids(spark, documents):
+    """Rows like any others: scored, and by the query's condition trained on."""
+    rows = ppm.score_documents(documents([(None, "ab cd"), (None, "ab"), (None, None), (1, "ab")]), crc_mod(F.col("doc_id"), 7) != 2).collect()
+    assert sorted((r.doc_id is None, r.n_tokens, r.held_out) for r in rows) == [(False, 2, zlib.crc32(b"1") % 7 == 2), (True, 1, False), (True, 2, False), (True, 3, False)]
+    assert all(r.score < 0 and r.n_known == r.n_tokens for r in rows)
