@@ -57,9 +57,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and reread."""
-    docs = common.read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = common.materialise(docs, f"stage{k}")
-    return docs
+    docs, before = common.read(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = common.materialise(stage(spark, docs, sf_dir), f"stage{k}")
+        if before is not None:
+            common.discard(before)  # nothing reads it any more
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
