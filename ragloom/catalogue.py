@@ -41,7 +41,12 @@ def query(oracle: str | None = None):
     return register
 
 
-# SQL that several oracles share.
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+# SQL that several oracles share; fixed values come from where they are defined.
+_SOURCE, _AUTHOR, _SEPARATOR = _quoted(f"[{text.SOURCE_LABEL}: "), _quoted(f", {text.AUTHOR_LABEL}: "), _quoted(prompts.SEPARATOR)
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _SPLIT = r"string_split(regexp_replace({}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -146,7 +151,7 @@ def chunks(t):
     return chunking.chunk_documents(_documents(t)).select("chunk_id", "doc_id", "chunk_index", "content", "start_idx", "end_idx", F.col("metadata")["title"].alias("title"), F.col("metadata")["lang"].alias("lang"))
 
 
-@query("SELECT doc_id, '[Источник: ' || source || ', Автор: ' || lang || ']' || chr(10) || text AS block FROM documents")
+@query(f"SELECT doc_id, {_SOURCE} || source || {_AUTHOR} || lang || ']' || chr(10) || text AS block FROM documents")
 def context_blocks(t):
     return t("documents").select("doc_id", text.context_block(F.col("text"), F.create_map(F.lit("title"), "source", F.lit("author"), "lang")).alias("block"))
 
@@ -306,9 +311,9 @@ def nearest_documents(t):
 @query(f"""WITH {_ITEM_HITS},
 first AS (SELECT item_id, doc_id, score, rank, source, text, row_number() OVER (PARTITION BY item_id, {_STRIP.format('lower(substr(text, 1, 200))')} ORDER BY rank) AS r
   FROM hits JOIN documents USING (doc_id)),
-blocks AS (SELECT item_id, rank, score, '[Источник: ' || source || ']' || chr(10) || text AS block FROM first WHERE r = 1),
+blocks AS (SELECT item_id, rank, score, {_SOURCE} || source || ']' || chr(10) || text AS block FROM first WHERE r = 1),
 fits AS (SELECT *, sum(length(block)) OVER (PARTITION BY item_id ORDER BY score DESC, rank) AS upto, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) AS f FROM blocks)
-SELECT item_id, coalesce(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY f) FILTER (upto <= 15000), '') AS context, CAST(count(*) FILTER (upto <= 15000) AS INTEGER) AS n_blocks FROM fits GROUP BY item_id""")
+SELECT item_id, coalesce(string_agg(block, {_SEPARATOR} ORDER BY f) FILTER (upto <= 15000), '') AS context, CAST(count(*) FILTER (upto <= 15000) AS INTEGER) AS n_blocks FROM fits GROUP BY item_id""")
 def context_for_items(t):
     """Flagship: items are embedded, the nearest documents found, near copies dropped, and what is
     left packed into a context of 15,000 characters."""
@@ -350,11 +355,11 @@ def dedup_prefix(t):
     return retrieval.first_of_prefix(hits).select(F.col("rank").alias("doc_id"), F.col("content").alias("text"))
 
 
-_BLOCK = "'[Источник: ' || source || ']' || chr(10) || text"
+_BLOCK = f"{_SOURCE} || source || ']' || chr(10) || text"
 
 
 @query(f"""WITH b AS (SELECT source, doc_id, {_BLOCK} AS block, sum(length({_BLOCK})) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents)
-SELECT source, coalesce(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) FILTER (upto <= 15000), '') AS context, CAST(count(*) FILTER (upto <= 15000) AS INTEGER) AS n_blocks FROM b GROUP BY source""")
+SELECT source, coalesce(string_agg(block, {_SEPARATOR} ORDER BY doc_id) FILTER (upto <= 15000), '') AS context, CAST(count(*) FILTER (upto <= 15000) AS INTEGER) AS n_blocks FROM b GROUP BY source""")
 def context_pack(t):
     hits = t("documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("final_rank"), F.col("text").alias("content"), F.lit(1.0).alias("score"), F.create_map(F.lit("title"), "source").alias("metadata"))
     return retrieval.pack_context(hits).select(F.col("query_id").alias("source"), "context", "n_blocks")
@@ -383,9 +388,9 @@ def hybrid_retrieve(t):
     return retrieval.retrieve(*_sides(t)).select("query_id", "vec_id", "score", "source", "final_rank")
 
 
-_SIDE_CONTEXTS = _SIDES + """,
-v AS (SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS n FROM near GROUP BY query_id),
-g AS (SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS n FROM mates GROUP BY query_id)"""
+_SIDE_CONTEXTS = _SIDES + f""",
+v AS (SELECT query_id, string_agg(text, {_SEPARATOR} ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS n FROM near GROUP BY query_id),
+g AS (SELECT query_id, string_agg(text, {_SEPARATOR} ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS n FROM mates GROUP BY query_id)"""
 
 
 def _contexts(t) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -400,7 +405,7 @@ def vector_context(t):
     return retrieval.for_all(queries, v).where("num_chunks > 0").select("query_id", "context", "num_chunks")
 
 
-@query(f"""WITH {_SIDE_CONTEXTS} SELECT q.vec_id AS query_id, concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10), '[Vector Search Results]' || chr(10) || v.context, '[Graph Search Results]' || chr(10) || g.context) AS context,
+@query(f"""WITH {_SIDE_CONTEXTS} SELECT q.vec_id AS query_id, concat_ws({_SEPARATOR}, {_quoted(retrieval.VECTOR_LABEL)} || v.context, {_quoted(retrieval.GRAPH_LABEL)} || g.context) AS context,
 coalesce(v.n, 0) + coalesce(g.n, 0) AS num_chunks FROM (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) q LEFT JOIN v ON v.query_id = q.vec_id LEFT JOIN g ON g.query_id = q.vec_id""")
 def integration(t):
     return retrieval.integrate(*_contexts(t))
@@ -559,7 +564,7 @@ def _labels(t) -> DataFrame:
     return t("embeddings").select(F.col("label").alias("community_id"), F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("node_key"))
 
 
-@query("""SELECT label AS community_id, 'This community contains the following entities: ' || string_agg('v' || lpad(CAST(vec_id AS VARCHAR), 9, '0'), ', ' ORDER BY vec_id) || '.' AS summary FROM embeddings GROUP BY label""")
+@query(f"""SELECT label AS community_id, {_quoted(summaries.FALLBACK[0])} || string_agg('v' || lpad(CAST(vec_id AS VARCHAR), 9, '0'), ', ' ORDER BY vec_id) || {_quoted(summaries.FALLBACK[1])} AS summary FROM embeddings GROUP BY label""")
 def summaries_fallback(t):
     tables = _labels(t).groupBy("community_id").agg(F.array_sort(F.collect_list("node_key")).alias("entity_names")).withColumn("relation_lines", F.expr("cast(array() as array<string>)"))
     return summaries.summarise(tables, OfflineChat()).select("community_id", "summary")
@@ -573,7 +578,7 @@ _SUMMARIES = "c AS (SELECT label AS community_id, CASE WHEN label % 4 = 3 THEN '
 
 
 @query(f"""WITH {_SUMMARIES}, h AS ({_knn_sql("q.vec_id % 100 = 0")}), m AS (SELECT DISTINCT query_id, label AS community_id FROM h JOIN embeddings e ON e.vec_id = h.vec_id)
-SELECT query_id, coalesce(string_agg(summary, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY m.community_id) FILTER (summary <> ''), '') AS context, CAST(count(*) FILTER (summary <> '') AS INTEGER) AS num_chunks
+SELECT query_id, coalesce(string_agg(summary, {_SEPARATOR} ORDER BY m.community_id) FILTER (summary <> ''), '') AS context, CAST(count(*) FILTER (summary <> '') AS INTEGER) AS num_chunks
 FROM m JOIN c USING (community_id) GROUP BY query_id""")
 def local_search(t):
     e = t("embeddings")
@@ -582,7 +587,7 @@ def local_search(t):
     return retrieval.local_search(queries, entities, e.select(F.col("vec_id").alias("node_key"), F.col("label").alias("community_id")), _summaries(t)).select("query_id", "context", "num_chunks")
 
 
-@query(f"WITH {_SUMMARIES} SELECT coalesce(string_agg(summary, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY community_id), '') AS context, CAST(count(*) AS INTEGER) AS num_chunks FROM c WHERE summary <> ''")
+@query(f"WITH {_SUMMARIES} SELECT coalesce(string_agg(summary, {_SEPARATOR} ORDER BY community_id), '') AS context, CAST(count(*) AS INTEGER) AS num_chunks FROM c WHERE summary <> ''")
 def global_search(t):
     return retrieval.global_search(_summaries(t))
 
@@ -696,10 +701,6 @@ def extraction_counts(t):
     return graph.extraction_counts(graph.extract(rows, OfflineChat()))
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 _EXTRACT_HEAD = prompts.EXTRACT_TEMPLATE.replace("{limit}", "10").partition("{text}")[0]
 
 
