@@ -115,12 +115,13 @@ def tidy(run):
 
     def wrapped(batches):
         yield from run(batches)
-        _trim()
+        trim()
 
     return wrapped
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Give unused memory back to the system."""
     import ctypes
     import gc
 
@@ -128,9 +129,9 @@ def _trim() -> None:
 
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give_back:
+        give_back(0)
 
 
 # --- files in the shared folder, from Python on any machine -------------------------------------

@@ -33,7 +33,7 @@ class WordEncoder:
 
     BLOCK, LONG = 1000, 64
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 1_250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,8 +183,8 @@ class _Takers:
         self.first = [np.full((self.width, self.width), self.none, np.int16 if self.none < 2**15 else np.int32) for _ in range(2)]
         self.flat = [x.reshape(-1) for x in self.first]
         self.gain = np.arange(self.width, dtype=np.int32 if self.none < 2**15 else np.int64)
-        self.options: dict[int, tuple[list[int], list[int]]] = {}
-        self.held: tuple[dict, dict] = ({}, {})  # (q, room): bins
+        self.options: dict[int, tuple[array, array]] = {}
+        self.held: tuple[dict, dict] = ({}, {})  # q and room as one number: the bin, or a set of several
         for b in range(len(bins)):
             self.add(b)
 
@@ -201,28 +203,39 @@ class _Takers:
         if not self.bins[b] or not room:
             return
         one, two = self.sums(b)
-        self.options[b] = one, two
+        self.options[b] = array("i", one), array("i", two)
         for table, backs in enumerate(([0, *one], two)):
+            held = self.held[table]
             for q in backs:
-                holders = self.held[table].setdefault((q, room), set())
-                if not holders:
+                key = q * self.width + room
+                holder = held.get(key)
+                if holder is None:
                     column = self.column(table, q, room)
                     self.np.minimum(column, room, out=column)
-                holders.add(b)
+                    held[key] = b
+                elif isinstance(holder, int):
+                    held[key] = {holder, b}
+                else:
+                    holder.add(b)
 
     def remove(self, b: int) -> None:
         room = self.rooms[b]
         one, two = self.options.pop(b)
         for table, backs in enumerate(([0, *one], two)):
+            held = self.held[table]
             for q in backs:
-                holders = self.held[table][q, room]
-                holders.discard(b)
-                if not holders:
-                    del self.held[table][q, room]
+                key = q * self.width + room
+                holder = held[key]
+                if isinstance(holder, int):
+                    del held[key]
                     column = self.column(table, q, room + 1)
                     after = column[room + 1] if room + 1 < len(column) else self.none
                     column = column[: room + 1]
                     column[column.searchsorted(room) :] = after
+                else:
+                    holder.discard(b)
+                    if len(holder) == 1:
+                        held[key] = next(iter(holder))
 
     def best(self, giver: int) -> int | None:
         """The bin that takes part in the giver's step with the largest rise; None if there is none.
@@ -249,7 +262,8 @@ class _Takers:
         if found is None:
             return None
         table, q, room = found
-        return min(self.held[table][q, room])
+        holder = self.held[table][q * self.width + room]
+        return holder if isinstance(holder, int) else min(holder)
 
 
 def _best_step(giver: list[int], taker: list[int], lengths: list[int], low: int, high: int, room: int):

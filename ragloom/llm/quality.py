@@ -24,7 +24,7 @@ CUT = 1 << 18
 class _Buckets(dict):
     """Bucket of each word; bounded."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

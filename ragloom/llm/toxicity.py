@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from . import labelled
+from . import common, labelled
 
 BITS = 18
 #: Training rows with a term, at least; the z at which its evidence is one half.
@@ -87,7 +87,7 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, max_terms: int = 20_000_000, factors: int = 8, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, max_terms: int = 12_000_000, factors: int = 8, seed: int = 11) -> Model:
     """Fit on at most max_rows labelled rows (a bounded sample, the one thing here that is), fewer
     if their terms are more than max_terms: both bound what comes to the driver.  All terms of these
     rows are trained.  With one class only, or no labelled row, the model has a bias only."""
@@ -105,41 +105,74 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     fits = np.cumsum(sizes["n"].to_numpy().astype(np.int64)) <= max_terms
     if not fits.all():
         rows = rows.where(F.col("place") < F.lit(int(sizes["place"][int(fits.argmin())].as_py())))
-    data = rows.select("doc_id", "label", "x").toArrow().sort_by("doc_id").combine_chunks()
-    y = (data["label"].to_numpy() > 0).astype(np.float32)
-    n = data["x"].combine_chunks().value_lengths().to_numpy() if len(y) else np.zeros(0, np.int64)
-    at = data["x"].combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0, np.int32)
+    data = rows.select("doc_id", "label", "x").toArrow()
+    y, order = (data["label"].to_numpy() > 0).astype(np.float32), np.argsort(data["doc_id"].to_numpy(), kind="stable")
     if not 0 < y.sum() < len(y):
         return Model(float(np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0))), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
-    return Model(*_train(np, at, n, y, factors, seed))
-
-
-def evidence(np, at, row, y, size: int):
+    x = data["x"]
+    del data
+    scale = evidence(np, x, y)
+    known = np.flatnonzero(scale).astype(np.int32)
+    at, n = _places(np, x, scale)
+    del x
+    bias, weights, vectors = _train(np, at, n, y[order], scale[known], factors, seed, order)
+    del at, n
+    common.trim()
+    return Model(bias, known, weights, vectors)
+
+
+def _slices(x, rows: int = 1000):
+    """(first row, lengths, terms) of a chunked column of lists, a few rows at a time."""
+    first = 0
+    for chunk in x.chunks:
+        for lo in range(0, len(chunk), rows):
+            part = chunk.slice(lo, rows)
+            yield first + lo, part.value_lengths().to_numpy(zero_copy_only=False), part.flatten().to_numpy()
+        first += len(chunk)
+
+
+def evidence(np, x, y):
     """For each term 0 to 1: z**4 / (z**4 + HALF**4), z from the difference of its two rates, or the
     share of the rows that have it if that is more; 0 below LEAST rows."""
-    seen, pos = np.bincount(at, minlength=size), np.bincount(at, y[row], size)
+    size = 1 << BITS
+    seen, pos = np.zeros(size, np.int64), np.zeros(size)
+    for first, n, at in _slices(x):
+        seen += np.bincount(at, minlength=size)
+        pos += np.bincount(at, np.repeat(y[first : first + len(n)], n), size)
     yes, no = y.sum(), len(y) - y.sum()
     share = seen / len(y)
     z4 = (np.abs(pos / yes - (seen - pos) / no) ** 2 / np.maximum(share * (1 - share) * (1 / yes + 1 / no), 1e-12)) ** 2
     return np.where(seen >= LEAST, np.maximum(z4 / (z4 + HALF**4), share), 0).astype(np.float32)
 
 
-def _train(np, at, n, y, k: int, seed: int, epochs: int = 12, rate: float = 0.07, spread: float = 0.05):
-    """(bias, hashes, weights, vectors) by adaptive gradient steps on the logistic loss, over sparse batches;
-    at: the terms of all rows, n: how many each row has."""
-    rng, size = np.random.default_rng(seed), 1 << BITS
-    row = np.repeat(np.arange(len(n)), n)
-    scale = evidence(np, at, row, y, size)
-    used = scale[at] > 0
-    at, n = at[used], np.bincount(row[used], minlength=len(n))
-    known = np.flatnonzero(scale)
-    place = np.zeros(size, np.int32)
-    place[known] = np.arange(len(known))
-    at, scale, starts = place[at], scale[known], np.cumsum(n) - n
-    w, v = np.zeros(len(known), np.float32), rng.normal(0, spread, (len(known), k)).astype(np.float32)
+def _places(np, x, scale):
+    """(places among the terms of some evidence, one row after the other; how many each row has)."""
+    place = np.where(scale > 0, np.cumsum(scale > 0) - 1, -1).astype(np.int32)
+    lengths, end = [], 0
+    out = np.empty(sum(len(at) for _, _, at in _slices(x)), np.int32)
+    for _, n, at in _slices(x):
+        found = place[at]
+        used = found >= 0
+        lengths.append(np.bincount(np.repeat(np.arange(len(n)), n)[used], minlength=len(n)))
+        kept = found[used]
+        out[end : end + len(kept)] = kept
+        end += len(kept)
+    return out[:end], np.concatenate(lengths)
+
+
+def _train(np, at, n, y, scale, k: int, seed: int, order=None, epochs: int = 12, rate: float = 0.07, spread: float = 0.05):
+    """(bias, weights, vectors) by adaptive gradient steps on the logistic loss, over sparse batches.
+
+    at: the terms of all rows, as numbers below len(scale); n: how many each row has; y: labels in
+    the order of the rows that `order` gives, so that how rows came does not matter."""
+    rng = np.random.default_rng(seed)
+    starts = np.cumsum(n) - n
+    if order is not None:
+        starts, n = starts[order], n[order]
+    w, v = np.zeros(len(scale), np.float32), rng.normal(0, spread, (len(scale), k)).astype(np.float32)
     seen_w, seen_v = np.zeros_like(w), np.zeros_like(v)
     bias, seen_bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0
-    slot = np.zeros(len(known), np.int32)
+    slot = np.zeros(len(scale), np.int32)
     batch = min(256, max(16, len(y) // 64))
     for epoch in range(epochs):
         step = rate * 0.5 ** (epoch / 4)
@@ -148,7 +181,7 @@ def _train(np, at, n, y, k: int, seed: int, epochs: int = 12, rate: float = 0.07
             ends = np.cumsum(m)
             here = at[np.repeat(starts[part] - (ends - m), m) + np.arange(ends[-1])]
             r = np.repeat(np.arange(len(part)), m)
-            marked = np.zeros(len(known), bool)
+            marked = np.zeros(len(scale), bool)
             marked[here] = True
             cols = np.flatnonzero(marked)
             slot[cols] = np.arange(len(cols), dtype=np.int32)
@@ -172,7 +205,7 @@ def _train(np, at, n, y, k: int, seed: int, epochs: int = 12, rate: float = 0.07
                 x[cols] -= step * d / np.sqrt(seen[cols] + 1e-9)
             seen_bias += float(g.sum()) ** 2
             bias -= step * float(g.sum()) / (seen_bias + 1e-9) ** 0.5
-    return bias, known.astype(np.int32), w * scale, v * scale[:, None]
+    return bias, w * scale, v * scale[:, None]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

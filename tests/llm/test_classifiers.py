@@ -175,11 +175,10 @@ def test_factorization_machine_by_pairs(data):
         assert s == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
 
 
-def test_training_lowers_the_loss(monkeypatch):
+def test_training_lowers_the_loss():
     """By a plain loss of every row, one without terms among them."""
     at, n, y = np.asarray([0, 1, 1, 2, 0, 2, 0, 1, 2, 1, 0, 2]), np.asarray([2, 2, 2, 3, 0, 1, 2]), np.asarray([1, 0, 1, 0, 1, 0, 1], np.float32)
-    monkeypatch.setattr(toxicity, "LEAST", 1)
-    bias, _, w, v = toxicity._train(np, at, n, y, 2, 1, epochs=40, rate=0.2)
+    bias, w, v = toxicity._train(np, at, n, y, np.ones(3, np.float32), 2, 1, epochs=40, rate=0.2)
     start = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
 
     def loss(bias, w, v):
@@ -195,6 +194,26 @@ def test_training_lowers_the_loss(monkeypatch):
     assert loss(bias, w, v) < 0.9 * loss(start, np.zeros_like(w), np.zeros_like(v))
 
 
+def test_evidence():
+    """By a plain count of rows with and without each term."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(0, 9))).tolist() for _ in range(200)]
+    y = np.asarray([float(1 in r or rng.random() < 0.2) for r in rows], np.float32)
+    x = pa.chunked_array([pa.array(rows[:70], pa.list_(pa.int32())), pa.array(rows[70:], pa.list_(pa.int32()))])
+    scale = toxicity.evidence(np, x, y)
+    for t in range(30):
+        has = np.asarray([t in r for r in rows])
+        p, q, share = (has & (y > 0)).sum() / y.sum(), (has & (y == 0)).sum() / (1 - y).sum(), has.mean()
+        z4 = ((p - q) ** 2 / (share * (1 - share) * (1 / y.sum() + 1 / (1 - y).sum()))) ** 2
+        assert scale[t] == pytest.approx(max(z4 / (z4 + 6.0**4), share) if has.sum() >= 3 else 0, rel=1e-5)
+    assert not scale[30:].any()
+    at, n = toxicity._places(np, x, scale)
+    known = np.flatnonzero(scale)
+    assert [known[p].tolist() for p in np.split(at, np.cumsum(n)[:-1])] == [[t for t in r if scale[t]] for r in rows]
+
+
 def test_many_terms_bound_the_rows(data):
     docs, given, truth = data
     model = toxicity.fit(docs, given, max_terms=20_000)
