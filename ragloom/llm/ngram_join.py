@@ -530,8 +530,9 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     found = common.materialise(_components(docs, size, percent, id_col, text_col).where("doc_id IS NOT NULL"), "found")
     key = ["doc_id", "of_text"]
     copies = common.materialise(found.groupBy(*key).agg(F.count("*").alias("rows"), F.first("component").alias("component")), "copies")
-    firsts = copies.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*key)).alias("first"))
-    stays = F.col("component").isNull() | (F.struct(*key) == F.col("first"))
+    firsts = copies.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = common.materialise(firsts, "firsts")  # so that the join below may split a large component
+    stays = F.col("first").isNull() | (F.struct(*key) == F.col("first"))
     decided = copies.join(firsts, "component", "left").select(*key, "rows", stays.alias("stays"))
     gone = decided.where("NOT stays OR rows > 1").select(*key)
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("of_text"))
