@@ -6,8 +6,7 @@ import json
 import re
 
 #: Split by str.split, but no white space to the tokenizers' regular expressions.
-_ODD = re.compile("[\x1c-\x1f]")
-
+_ODD = "\x1c\x1d\x1e\x1f"
 
 #: The one definition of normalising and parting text for which runs may be put together.
 #: It lower-cases each character by itself, and no piece holds both a letter and a mark after it.
@@ -33,7 +32,7 @@ class WordEncoder:
 
     BLOCK, LONG = 1000, 64
 
-    def __init__(self, path: str, limit: int = 1_250_000):
+    def __init__(self, path: str, limit: int = 1_600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -90,15 +89,19 @@ class WordEncoder:
         out = []
         for lo in range(0, len(texts), 500):
             part = texts[lo : lo + 500]
-            plain = [bool(t) and self.independent and self.mark not in t and not _ODD.search(t) for t in part]
-            split = [t.split() if p else None for t, p in zip(part, plain, strict=True)]
+            split = [t.split() if t and self.independent and self.mark not in t and not any(c in t for c in _ODD) else None for t in part]
             if len(self.table) > self.limit:
                 self.table.clear()
-            new = set().union(*filter(None, split)).difference(self.table)
+            get = self.table.get  # one look-up a run: most are known
+            codes = [list(map(get, runs)) if runs else [] for runs in split]
+            holes = [[i for i, c in enumerate(code) if c is None] if None in code else () for code in codes]
+            new = {runs[i] for runs, hole in zip(split, holes, strict=True) for i in hole}
             self._add([r for r in new if len(r) <= self.LONG])
             whole = {r: self._ids(r) for r in new if len(r) > self.LONG}
-            get = self.table.__getitem__ if not whole else lambda r, whole=whole: self.table[r] if r in self.table else whole[r]
-            out += [b"".join(map(get, runs)) if p else self._ids(t) if t else b"" for t, p, runs in zip(part, plain, split, strict=True)]
+            for runs, code, hole in zip(split, codes, holes, strict=True):
+                for i in hole:
+                    code[i] = whole[runs[i]] if runs[i] in whole else self.table[runs[i]]
+            out += [b"".join(code) if runs is not None else self._ids(t) if t else b"" for t, runs, code in zip(part, split, codes, strict=True)]
         return out
 
 
