@@ -7,6 +7,8 @@ import re
 
 #: Split by str.split, but no white space to the tokenizers' regular expressions.
 _ODD = "\x1c\x1d\x1e\x1f"
+#: Parts runs faster than a special token, for which a text is cut before it is normalised.
+_PLAIN_MARK = "\x01"
 
 #: The one definition of normalising and parting text for which runs may be put together.
 #: It lower-cases each character by itself, and no piece holds both a letter and a mark after it.
@@ -24,15 +26,15 @@ class WordEncoder:
 
     Such a tokenizer gives a text the ids of its space-free runs, one after the other, so a run is
     encoded once and then looked up; runs not yet known are encoded many at a time, parted by a
-    special token.  Under the definition _FOLDING a simple run is put together from its lower-case
+    mark that none of them holds.  Under the definition _FOLDING a simple run is put together from its lower-case
     core and a comma or full stop after a letter; all other runs are encoded as they are.  A
     tokenizer that is not of this kind encodes each text whole.  The table is emptied when it holds
     `limit` runs, and long runs stay out of it: memory is bounded.
     """
 
-    BLOCK, LONG = 1000, 64
+    BLOCK, LONG = 250, 64
 
-    def __init__(self, path: str, limit: int = 1_600_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,6 +43,9 @@ class WordEncoder:
         probe = ["ab  'll \u0107d\n12", "x\ty.. z", " q r!?\r\ns"]
         self.independent = self.mark is not None and all(self._ids(p) == b"".join(map(self._ids, p.split())) for p in probe)
         self.folds = self.independent and self._folding()
+        if self.folds and len(self._ids(_PLAIN_MARK)) == 4:
+            # Byte-level ids: no other character has this byte, so its id parts runs that don't hold it.
+            self.mark, self.mark_id = _PLAIN_MARK, int.from_bytes(self._ids(_PLAIN_MARK), "little")
         self.tails = {c: self._ids(c) for c in ",."}
         self.limit = limit
         self.table: dict[str, bytes] = {}

@@ -143,7 +143,7 @@ def test_empty(spark, documents, tokenizer_path):
     assert packing.pack_documents(documents([(1, "x")]).limit(0), tokenizer_path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", "It's A test, isn't it?", "ÉTÉ été, à la. ...,, x,.", "a\x1cb c", "Σίσυφος ΟΔΟΣ.", "é É", "<|endoftext|> x", "x" * 500 + " ok", "1,2. 3", "İstanbul ẞ", "　wide space"])
+@pytest.mark.parametrize("text", ["", "It's A test, isn't it?", "ÉTÉ été, à la. ...,, x,.", "a\x1cb c", "Σίσυφος ΟΔΟΣ.", "é É", "<|endoftext|> x", "x" * 500 + " ok", "a\x01b \x01 c\x01", "<|endoftext|><|startoftext|>.", "1,2. 3", "İstanbul ẞ", "　wide space"])
 def test_look_up_equals_the_tokenizer(tokenizer_path, text):
     encoder = WordEncoder(tokenizer_path)
     for _ in range(2):
