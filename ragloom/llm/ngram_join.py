@@ -12,6 +12,10 @@ then the rest.  Two sets that reach the similarity share a shingle among the fir
 p = n - ceil(similarity * n) + 1 of each.  Where the shared ones are not heavy, the documents even
 share p - (n - least overlap) of them, for the smaller of these two numbers, or they aren't linked.
 Counted shingles of one document only can't be shared, so they take a place in front but don't travel.
+
+Common passages gather unrelated documents by the heavy shingles into clusters that grow with the
+table.  Within the largest clusters all shingles are therefore counted, and the filter is applied once
+more with the rarest first, which parts them again.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,6 +39,8 @@ RUN = 64
 #: A cluster beyond these documents or shingles is joined part by part, at first of PART documents,
 #: dealt anew so many times at most, then in blocks of two times BLOCK.  All this is a matter of speed.
 PART_DOCS, PART_SHINGLES, PART, ROUNDS, BLOCK = 500, 2_000_000, 100, 4, 400
+#: A cluster so many times as large is parted by all its shingles first.
+WIDE = 8
 LEAF, FANOUT = 8, 8
 
 SETS_SCHEMA = "doc_id long, of_text long, n long, fp binary, free array<long>, heavy array<long>"
@@ -160,7 +166,15 @@ def document_sets(texts: DataFrame, heavy, repeated, size: int, percent: int) ->
 
 def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
     """(a, b): linked documents are connected by these edges."""
-    keys = reps.select("node", "n", F.explode("free").alias("key"))
+    few = _pairs_in_runs(reps.select("node", "n", F.explode("free").alias("key")), percent)
+    heavy = reps.select("node", F.explode("heavy").alias("key"))
+    # A row for each heavy shingle: at most HEAVY, so it can go to every task.
+    hubs = heavy.groupBy("key").agg(F.min("node").alias("hub"))
+    return few.union(heavy.join(F.broadcast(hubs), "key").where("node > hub").select("hub", "node").distinct())
+
+
+def _pairs_in_runs(keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of (node, n, key), the pairs that share as many keys as linked documents must."""
     dealt = keys.repartition("key").sortWithinPartitions("key", "node")
 
     def pairs(batches):
@@ -215,11 +229,42 @@ def _candidate_edges(reps: DataFrame, percent: int) -> DataFrame:
             yield from emit(*rest)
 
     found = dealt.mapInArrow(common.tidy(pairs), "a long, b long, need long")
-    few = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    heavy = reps.select("node", F.explode("heavy").alias("key"))
-    # A row for each heavy shingle: at most HEAVY, so it can go to every task.
-    hubs = heavy.groupBy("key").agg(F.min("node").alias("hub"))
-    return few.union(heavy.join(F.broadcast(hubs), "key").where("node > hub").select("hub", "node").distinct())
+    return found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+
+
+def _parted(held: DataFrame, percent: int) -> DataFrame:
+    """The documents of large clusters (node, fp, n, cluster, items) in clusters of their own; those
+    that can be linked with no other are left out.
+
+    Here all shingles are counted within their cluster, and the rarest come first; runs of more than
+    RUN documents give edges to their first.  A task gets a number for each document of a key."""
+    held = common.materialise(held.dropDuplicates(["node"]), "large")  # rows that repeat id and text are there twice
+
+    def spread(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, n, cluster, items in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "cluster", "items")), strict=True):
+                keys = np.frombuffer(items, np.uint64) ^ np.uint64(cluster * 0x9E3779B97F4A7C15 % (1 << 64))
+                for lo in range(0, len(keys), 100_000):
+                    part = keys[lo : lo + 100_000].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), n)), pa.array(part)], ["node", "n", "key"])
+
+    keys = held.select("node", "n", "cluster", "items").mapInArrow(common.tidy(spread), "node long, n long, key long")
+    of_key, of = Window.partitionBy("key"), Window.partitionBy("node")
+    counted = keys.withColumn("docs", F.count("*").over(of_key)).where("docs > 1")
+    placed = counted.select("node", "n", "key", F.row_number().over(of.orderBy("docs", "key")).alias("place"), F.count("*").over(of).alias("shared"))
+    fronts = placed.where(F.expr(f"n - shared + place <= n - ({percent} * n + 99) div 100 + 1")).select("node", "n", "key")  # those of one document stand before
+    fronts = fronts.withColumn("docs", F.count("*").over(of_key)).withColumn("hub", F.min("node").over(of_key)).where("docs > 1")
+    fronts = common.materialise(fronts, "fronts")
+    few = _pairs_in_runs(fronts.where(F.col("docs") <= RUN).select("node", "n", "key"), percent)
+    many = fronts.where((F.col("docs") > RUN) & (F.col("node") > F.col("hub"))).select("hub", "node").distinct()
+    clusters = connected_components(few.union(many)).withColumnRenamed("component", "cluster")
+    parted = common.materialise(held.drop("cluster").join(clusters, "node").select("node", "fp", "n", "cluster", "items"), "parted")
+    for frame in (held, fronts):
+        common.discard(frame)
+    return parted
 
 
 def _members(wanted: DataFrame, n: int):
@@ -367,9 +412,10 @@ def linked(np, x, y, percent: int) -> bool:
 def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> DataFrame:
     """(a, b): spanning edges of the linked documents of each cluster.
 
-    A cluster of up to PART_DOCS documents and PART_SHINGLES shingles is one task's.  A larger one
-    is dealt by size, as sets of sizes too far apart can't be linked, and then by hash to parts of
-    PART documents; each part is joined by itself and with the cluster's hub, its first document.
+    A cluster of up to PART_DOCS documents and PART_SHINGLES shingles is one task's.  Those
+    WIDE times as large are parted by all their shingles first.  What is still larger is dealt by size, as sets of sizes
+    too far apart can't be linked, and then by hash to parts of PART documents; each part is joined
+    by itself and with the cluster's hub, its first document.
     Where that leaves a component of a tenth of the cluster or more, it is dealt by other hashes
     and joined again, up to ROUNDS times, which mostly makes near copies one component.  What is
     left outside a cluster's largest component is then joined with the documents of all sizes in
@@ -377,20 +423,24 @@ def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> Data
     documents that may yet be linked anew are compared again.
     """
     held = common.materialise(members.join(fetched.withColumnRenamed("doc_id", "rep"), ["rep", "fp"]).select("node", "fp", "n", "cluster", "items"), "members")
-    sizes = held.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    large = common.materialise(sizes.where((F.col("docs") > PART_DOCS) | (F.col("shingles") > PART_SHINGLES)).select("cluster", F.lit(True).alias("large")), "large")
+    wide = _large(held, WIDE)
+    if not wide.isEmpty():
+        parted = _parted(held.join(wide, "cluster", "left_semi"), percent)
+        held = held.join(wide, "cluster", "left_anti").unionByName(parted)
+    large = _large(held)
     if large.isEmpty():
         rows = held.select("cluster", F.lit(0).cast("long").alias("band"), F.lit(0).alias("part"), "node", F.col("node").alias("component"), "items")
         return common.materialise(_join_groups(rows, percent, both=False), "spans")
     band = F.floor(F.log("n") / math.log(100 / percent * 1.000001)).cast("long")  # linked sets are in one band or in neighbours
     tagged = held.join(large, "cluster", "left").withColumn("band", F.when(F.col("large"), band).otherwise(0))
-    items = held.select("node", "items")
-    bands = common.materialise(_parts(tagged.where("large"), PART), "bands")
-    hubs = tagged.where("large").groupBy("cluster").agg(F.min(F.struct("node", "band")).alias("hub")).join(bands, "cluster").where(F.abs(F.col("hub.band") - F.col("band")) <= 1)
+    most = held.join(large, "cluster", "left_semi").withColumn("band", band)  # only their sets travel again
+    items = most.select("node", "items")
+    bands = common.materialise(_parts(most, PART), "bands")
+    hubs = most.groupBy("cluster").agg(F.min(F.struct("node", "band")).alias("hub")).join(bands, "cluster").where(F.abs(F.col("hub.band") - F.col("band")) <= 1)
     hubs = hubs.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub.node", F.col("hub.node").alias("component")).join(items, "node")
     rows = _dealt(tagged.withColumn("component", F.col("node")), bands, 0, "component", "items").unionByName(hubs)
     spans = [common.materialise(_join_groups(rows, percent, both=False), "spans")]
-    everyone = common.materialise(tagged.where("large").select("cluster", "band", "fp", "n", "node"), "large")
+    everyone = common.materialise(most.select("cluster", "band", "fp", "n", "node"), "large")
     for k in range(1, ROUNDS + 1):
         again, shares = _components_within(everyone, spans)
         dense = shares.where("main_docs < docs AND 10 * main_docs >= docs").select("cluster")
@@ -413,6 +463,12 @@ def _join_clusters(members: DataFrame, fetched: DataFrame, percent: int) -> Data
     return found.union(_join_groups(left.union(right).join(items, "node"), percent, both=True))
 
 
+def _large(held: DataFrame, times: int = 1) -> DataFrame:
+    """cluster, large (true) of the clusters that aren't one task's; or so many times as large."""
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    return common.materialise(sizes.where((F.col("docs") > times * PART_DOCS) | (F.col("shingles") > times * PART_SHINGLES)).select("cluster", F.lit(True).alias("large")), "large")
+
+
 def _dealt(rows: DataFrame, bands: DataFrame, seed: int, *more: str) -> DataFrame:
     """cluster, band, part, node and more, by a hash that differs with the seed."""
     placed = rows.join(bands, ["cluster", "band"], "left")

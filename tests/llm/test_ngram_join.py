@@ -119,6 +119,31 @@ def test_large_clusters(spark, documents, monkeypatch, chain):
     assert len({c for _, c in expected.values()}) >= 21
 
 
+def test_common_passage_gathers_no_cluster(spark, documents, monkeypatch):
+    """Unrelated documents with a passage in common, some of them with a copy, rows twice: the rows
+    that are joined don't grow with the square of the passage's documents."""
+    monkeypatch.setattr(ngram_join, "PART_DOCS", 12)
+    monkeypatch.setattr(ngram_join, "PART", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 9)
+    monkeypatch.setattr(ngram_join, "RUN", 8)
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    joined, join = [], ngram_join._join_groups
+
+    def counted(rows, *more, **named):
+        joined.append(rows.count())
+        return join(rows, *more, **named)
+
+    monkeypatch.setattr(ngram_join, "_join_groups", counted)
+    rng = random.Random(11)
+    passage = [f"a{k}" for k in range(30)]
+    rows = [(i, " ".join(passage + [f"d{i}x{k}" for k in range(30 + i % 7)])) for i in range(120)]
+    rows += [(1000 + i, text + " end") for i, text in rng.sample(rows, 15)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(documents(rows + rows[-30:-10]), 4, 85).collect()}
+    assert found == brute(rows, 4, 85)
+    assert len({c for _, c in found.values()}) == 120
+    assert sum(joined) < 2 * len(rows)
+
+
 def test_empty_table(spark, documents):
     assert ngram_join.link_documents(documents([(1, "x")]).limit(0)).count() == 0
 
