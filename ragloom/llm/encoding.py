@@ -16,9 +16,10 @@ _FOLDING = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-#: Runs of ASCII and of Latin-1 letters, which NFC leaves as they are and any lower-casing treats
-#: alike.  No "<": added tokens are sought before the case is folded.
-_SIMPLE = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: A word of ASCII and Latin-1 letters, which NFC leaves as they are and any lower-casing treats
+#: alike, and ASCII marks after it: two pieces.  No "<": added tokens are sought before the case is
+#: folded.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=-@\[-`{-~]*)")
 
 
 class WordEncoder:
@@ -26,15 +27,16 @@ class WordEncoder:
 
     Such a tokenizer gives a text the ids of its space-free runs, one after the other, so a run is
     encoded once and then looked up; runs not yet known are encoded many at a time, parted by a
-    mark that none of them holds.  Under the definition _FOLDING a simple run is put together from its lower-case
-    core and a comma or full stop after a letter; all other runs are encoded as they are.  A
-    tokenizer that is not of this kind encodes each text whole.  The table is emptied when it holds
-    `limit` runs, and long runs stay out of it: memory is bounded.
+    mark that none of them holds.  Under the definition _FOLDING a simple run is put together from
+    its lower-case word, which the tokenizer's model takes as it is, and the marks after it; all
+    other runs are encoded as they are.  A tokenizer that is not of this kind encodes each text
+    whole.  When the table holds `limit` runs it becomes the older one, from which runs still in use
+    are taken over into a new one; long runs stay out of it: memory is bounded.
     """
 
     BLOCK, LONG = 250, 64
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,16 +48,22 @@ class WordEncoder:
         if self.folds and len(self._ids(_PLAIN_MARK)) == 4:
             # Byte-level ids: no other character has this byte, so its id parts runs that don't hold it.
             self.mark, self.mark_id = _PLAIN_MARK, int.from_bytes(self._ids(_PLAIN_MARK), "little")
-        self.tails = {c: self._ids(c) for c in ",."}
+        if self.folds:
+            pieces, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
+            self.letters = {ord(c): pieces(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()}
+            self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.limit = limit
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _folding(self) -> bool:
         """Whether the tokenizer is defined as _FOLDING, and all its added tokens hold a "<"."""
         given = json.loads(self.tokenizer.to_str())
         steps = (given["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         added = all("<" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        return added and given["normalizer"] == _FOLDING["normalizer"] and steps[0].get("pattern") == {"Regex": _FOLDING["pattern"]} and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+        parted = steps[0].get("pattern") == {"Regex": _FOLDING["pattern"]} and (steps[0]["behavior"], steps[0]["invert"]) == ("Removed", True)
+        by_bytes = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in steps[1:]] == [("ByteLevel", False, False)]
+        return added and given["normalizer"] == _FOLDING["normalizer"] and parted and by_bytes
 
     def _ids(self, text: str) -> bytes:
         import numpy as np
@@ -63,21 +71,33 @@ class WordEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _add(self, runs: list[str]) -> None:
+        table, older, odd = self.table, self.older, []
+        if older:
+            table.update((r, older[r]) for r in runs if r in older)
+            runs = [r for r in runs if r not in older]
         if not self.folds:
             return self._learn(runs)
-        cores, made = set(), []
         for r in runs:
-            core, tail = r, ""
-            if _SIMPLE.fullmatch(r):
-                if r[-1] in self.tails and r[-2:-1].isalpha():
-                    core, tail = r[:-1], r[-1]
-                core = core.lower()
-            if core != r:
-                made.append((r, core, tail))
-            if core not in self.table:
-                cores.add(core)
-        self._learn(list(cores))
-        self.table.update((r, self.table[core] + self.tails.get(tail, b"")) for r, core, tail in made)
+            simple = _SIMPLE.fullmatch(r)
+            if simple is None:
+                odd.append(r)
+                continue
+            word, marks = simple.groups()
+            word = word.lower()
+            ids = table.get(word) or older.get(word)
+            if ids is None:
+                table[word] = ids = self._word(word)
+            if marks:
+                if marks not in table:
+                    table[marks] = self._ids(marks)
+                ids += table[marks]
+            table[r] = ids
+        self._learn(odd)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of lower-case letters, which the tokenizer would leave as one piece."""
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))])
 
     def _learn(self, runs: list[str]) -> None:
         import numpy as np
@@ -96,7 +116,7 @@ class WordEncoder:
             part = texts[lo : lo + 500]
             split = [t.split() if t and self.independent and self.mark not in t and not any(c in t for c in _ODD) else None for t in part]
             if len(self.table) > self.limit:
-                self.table.clear()
+                self.table, self.older = {}, self.table
             get = self.table.get  # one look-up a run: most are known
             codes = [list(map(get, runs)) if runs else [] for runs in split]
             holes = [[i for i, c in enumerate(code) if c is None] if None in code else () for code in codes]

@@ -170,3 +170,19 @@ def test_every_code_point(tokenizer_path):
             assert encoder.encode_all([text]) == [encoder._ids(text)]
     for text in ("<|STARTOFTEXT|> x", "x<|startoftext|>,", "<|endoftext|>."):
         assert encoder.encode_all([text]) == [encoder._ids(text)]
+
+
+def test_tables_are_bounded(tokenizer_path):
+    """What a worker holds stays small beside an executor's memory, whatever the number of words."""
+    encoder, letters = WordEncoder(tokenizer_path), str.maketrans("0123456789", "ghijklmnop")
+    for lo in range(0, 1_000_000, 50_000):
+        encoder.encode_all([" ".join(f"{i:x}" for i in range(lo, lo + 50_000)).translate(letters)])
+        assert sum(len(x) for x in vars(encoder).values() if isinstance(x, dict)) <= 800_000
+
+
+def test_tables_in_turn(tokenizer_path):
+    encoder = WordEncoder(tokenizer_path, limit=20)
+    for i in range(60):
+        text = f"the word number {i} of those That were, known. n{i}x {i // 7}, été{'y' * (i % 5)}!"
+        assert encoder.encode_all([text, text]) == [encoder._ids(text)] * 2
+        assert len(encoder.table) <= 60
