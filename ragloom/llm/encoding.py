@@ -22,6 +22,17 @@ _FOLDING = {
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=-@\[-`{-~]*)")
 
 
+class _Runs(dict):
+    """The ids of runs; those of a run that is not held are found by `learn`."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, run: str) -> bytes:
+        return self.learn(self, run)
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer whose pieces never span white space.
 
@@ -53,7 +64,7 @@ class WordEncoder:
             self.letters = {ord(c): pieces(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()}
             self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.limit = limit
-        self.table: dict[str, bytes] = {}
+        self.table: dict[str, bytes] = _Runs(self._simple)
         self.older: dict[str, bytes] = {}
 
     def _folding(self) -> bool:
@@ -70,29 +81,28 @@ class WordEncoder:
 
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _add(self, runs: list[str]) -> None:
-        table, older, odd = self.table, self.older, []
-        if older:
-            table.update((r, older[r]) for r in runs if r in older)
-            runs = [r for r in runs if r not in older]
-        if not self.folds:
-            return self._learn(runs)
-        for r in runs:
-            simple = _SIMPLE.fullmatch(r)
+    def _simple(self, table: dict[str, bytes], run: str) -> bytes | None:
+        """The ids of a run that the older table holds or that is simple, kept; None for another."""
+        older = self.older
+        ids = older.get(run)
+        if ids is None:
+            simple = _SIMPLE.fullmatch(run) if self.folds and len(run) <= self.LONG else None
             if simple is None:
-                odd.append(r)
-                continue
+                return None
             word, marks = simple.groups()
             word = word.lower()
             ids = table.get(word) or older.get(word)
             if ids is None:
-                table[word] = ids = self._word(word)
+                ids = self._word(word)
+                if marks or word != run:
+                    table[word] = ids
             if marks:
-                if marks not in table:
-                    table[marks] = self._ids(marks)
-                ids += table[marks]
-            table[r] = ids
-        self._learn(odd)
+                after = table.get(marks)
+                if after is None:
+                    table[marks] = after = self._ids(marks)
+                ids += after
+        table[run] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
         """The ids of lower-case letters, which the tokenizer would leave as one piece."""
@@ -116,12 +126,12 @@ class WordEncoder:
             part = texts[lo : lo + 500]
             split = [t.split() if t and self.independent and self.mark not in t and not any(c in t for c in _ODD) else None for t in part]
             if len(self.table) > self.limit:
-                self.table, self.older = {}, self.table
-            get = self.table.get  # one look-up a run: most are known
+                self.table, self.older = _Runs(self._simple), self.table
+            get = self.table.__getitem__  # one look-up a run: most are known
             codes = [list(map(get, runs)) if runs else [] for runs in split]
             holes = [[i for i, c in enumerate(code) if c is None] if None in code else () for code in codes]
             new = {runs[i] for runs, hole in zip(split, holes, strict=True) for i in hole}
-            self._add([r for r in new if len(r) <= self.LONG])
+            self._learn([r for r in new if len(r) <= self.LONG])
             whole = {r: self._ids(r) for r in new if len(r) > self.LONG}
             for runs, code, hole in zip(split, codes, holes, strict=True):
                 for i in hole:

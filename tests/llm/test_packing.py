@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -172,6 +173,23 @@ def test_every_code_point(tokenizer_path):
         assert encoder.encode_all([text]) == [encoder._ids(text)]
 
 
+def test_words_with_marks(tokenizer_path):
+    """Letters go to the tokenizer's model, marks once each; only other runs to the whole tokenizer."""
+    encoder, learnt = WordEncoder(tokenizer_path), []
+    learn = encoder._learn
+    encoder._learn = lambda runs: (learnt.extend(runs), learn(runs))
+    rng = random.Random(3)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if chr(c).isalpha()]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "<"]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12)) + rng.choices(marks, k=rng.randint(0, 3))) for _ in range(5000)]
+    for lo in range(0, len(words), 100):
+        text = " ".join(words[lo : lo + 100])
+        assert encoder.encode_all([text]) == [encoder._ids(text)]
+    assert learnt == []
+    assert encoder.encode_all(["it's 12 x<y <b> (a)"]) == [encoder._ids("it's 12 x<y <b> (a)")]
+    assert set(learnt) == {"it's", "12", "x<y", "<b>", "(a)"}
+
+
 def test_tables_are_bounded(tokenizer_path):
     """What a worker holds stays small beside an executor's memory, whatever the number of words."""
     encoder, letters = WordEncoder(tokenizer_path), str.maketrans("0123456789", "ghijklmnop")
