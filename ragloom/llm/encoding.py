@@ -148,3 +148,8 @@ def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Drop this worker's encoders: a later stage's tasks in the same process don't need them."""
+    _encoders.clear()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, encoding
 from .common import crc_mod
 
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -34,6 +34,7 @@ def training_features(docs: DataFrame, labels: DataFrame, label: str, max_rows:
     def run(batches):
         import pyarrow as pa
 
+        encoding.forget()
         make = features()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -82,6 +83,7 @@ def keep(docs: DataFrame, scorer: Scorer, good: Callable, text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
+        encoding.forget()
         score = scorer()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):

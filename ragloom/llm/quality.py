@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, labelled
+from . import common, encoding, labelled
 
 BITS, DIM, NONZERO, REACH, BLOCK = 15, 32, 4, 2, 1024
 #: Words that are counted at once.
@@ -82,6 +82,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text", seed: int = 5):
                 total[:, d] += np.bincount(at, near[:, d], blank + 1)
             total[:, DIM] += np.bincount(at, minlength=blank + 1)
 
+        encoding.forget()
         words, counted, n = [], [], 0
         for text in common.each_text(batches):
             ids = table.of(np, text)

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ragloom.llm import labelled, quality, toxicity
+from ragloom.llm import encoding, labelled, quality, toxicity
 
 FILLER = [f"{a}{b}" for a in ("lo", "mi", "sa", "te", "ru", "ka") for b in ("na", "ven", "dor", "lis", "pem", "gat")]
 
@@ -226,3 +226,17 @@ def test_temperature_calibrates():
     logits = rng.normal(0, 2, 4000)
     y = (rng.random(4000) < 1 / (1 + np.exp(-logits))).astype(float)
     assert quality._temperature(np, logits * 3, y) == pytest.approx(3, rel=0.1)
+
+
+def test_workers_drop_idle_encoders(tokenizer_path):
+    """Workers live on after packing: a filter's tasks there must not hold its tables beside their own."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    encoding.encoder(tokenizer_path).encode_all(["some words"])
+    docs = SimpleNamespace(columns=["text"], schema=None, mapInArrow=lambda run, schema: run)
+    run = labelled.keep(docs, lambda: lambda texts: [len(t) / 10 for t in texts], lambda s: s >= 0.5)
+    batch = pa.RecordBatch.from_arrays([pa.array(["long enough", "no"])], ["text"])
+    assert [r.to_pydict() for r in run([batch])] == [{"text": ["long enough"]}]
+    assert not encoding._encoders
