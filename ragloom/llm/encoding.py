@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 #: Split by str.split, but no white space to the tokenizers' regular expressions.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -16,10 +15,21 @@ _FOLDING = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
-#: A word of ASCII and Latin-1 letters, which NFC leaves as they are and any lower-casing treats
-#: alike, and ASCII marks after it: two pieces.  No "<": added tokens are sought before the case is
-#: folded.
-_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:;=-@\[-`{-~]*)")
+#: A simple run is a word of ASCII and Latin-1 letters, which NFC leaves as they are and any
+#: lower-casing treats alike, and these marks after it: two pieces.  No "<": added tokens are sought
+#: before the case is folded.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "<")
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class _Runs(dict):
@@ -61,11 +71,12 @@ class WordEncoder:
             self.mark, self.mark_id = _PLAIN_MARK, int.from_bytes(self._ids(_PLAIN_MARK), "little")
         if self.folds:
             pieces, self.model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model
-            self.letters = {ord(c): pieces(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()}
+            self.letters = {ord(c): pieces(c)[0][0] for c in map(chr, range(0x80, 0x100)) if c.isalpha()}
             self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.limit = limit
         self.table: dict[str, bytes] = _Runs(self._simple)
         self.older: dict[str, bytes] = {}
+        self.others: set[str] = set()
 
     def _folding(self) -> bool:
         """Whether the tokenizer is defined as _FOLDING, and all its added tokens hold a "<"."""
@@ -82,25 +93,26 @@ class WordEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _simple(self, table: dict[str, bytes], run: str) -> bytes | None:
-        """The ids of a run that the older table holds or that is simple, kept; None for another."""
-        older = self.older
-        ids = older.get(run)
+        """The ids of a run that the older table holds or that is simple, kept; None for another,
+        which is noted in `others`."""
+        ids = self.older.get(run)
         if ids is None:
-            simple = _SIMPLE.fullmatch(run) if self.folds and len(run) <= self.LONG else None
-            if simple is None:
+            word = run.rstrip(_MARKS) if self.folds and len(run) <= self.LONG else ""
+            if not word.isalpha() or not _latin(word):
+                self.others.add(run)
                 return None
-            word, marks = simple.groups()
-            word = word.lower()
-            ids = table.get(word) or older.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if marks or word != run:
-                    table[word] = ids
-            if marks:
-                after = table.get(marks)
-                if after is None:
-                    table[marks] = after = self._ids(marks)
-                ids += after
+            lower = word.lower()
+            if lower == run:
+                ids = self._word(run)
+            else:
+                ids = table.get(lower) or self.older.get(lower)
+                if ids is None:
+                    table[lower] = ids = self._word(lower)
+                if marks := run[len(word) :]:
+                    after = table.get(marks)
+                    if after is None:
+                        table[marks] = after = self._ids(marks)
+                    ids += after
         table[run] = ids
         return ids
 
@@ -121,24 +133,35 @@ class WordEncoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null."""
-        out = []
+        out: list[bytes] = []
         for lo in range(0, len(texts), 500):
-            part = texts[lo : lo + 500]
-            split = [t.split() if t and self.independent and self.mark not in t and not any(c in t for c in _ODD) else None for t in part]
             if len(self.table) > self.limit:
                 self.table, self.older = _Runs(self._simple), self.table
             get = self.table.__getitem__  # one look-up a run: most are known
-            codes = [list(map(get, runs)) if runs else [] for runs in split]
-            holes = [[i for i, c in enumerate(code) if c is None] if None in code else () for code in codes]
-            new = {runs[i] for runs, hole in zip(split, holes, strict=True) for i in hole}
+            others, new, late = self.others, set(), []
+            for text in texts[lo : lo + 500]:
+                if not text or not self._parts(text):
+                    out.append(self._ids(text) if text else b"")
+                    continue
+                runs = (text.lower() if self.folds and "<" not in text and _latin(text) else text).split()
+                code = list(map(get, runs))
+                if others:
+                    late.append((len(out), runs, code))
+                    new |= others
+                    others.clear()
+                    out.append(b"")
+                else:
+                    out.append(b"".join(code))
             self._learn([r for r in new if len(r) <= self.LONG])
             whole = {r: self._ids(r) for r in new if len(r) > self.LONG}
-            for runs, code, hole in zip(split, codes, holes, strict=True):
-                for i in hole:
-                    code[i] = whole[runs[i]] if runs[i] in whole else self.table[runs[i]]
-            out += [b"".join(code) if runs is not None else self._ids(t) if t else b"" for t, runs, code in zip(part, split, codes, strict=True)]
+            for at, runs, code in late:
+                out[at] = b"".join([(whole[r] if r in whole else self.table[r]) if c is None else c for r, c in zip(runs, code, strict=True)])
         return out
 
+    def _parts(self, text: str) -> bool:
+        """Whether the text has the ids of its runs, one after the other."""
+        return self.independent and self.mark not in text and not any(c in text for c in _ODD)
+
 
 _encoders: dict[str, WordEncoder] = {}
 

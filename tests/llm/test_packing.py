@@ -190,6 +190,20 @@ def test_words_with_marks(tokenizer_path):
     assert set(learnt) == {"it's", "12", "x<y", "<b>", "(a)"}
 
 
+def test_case_is_folded_before_the_look_up(tokenizer_path):
+    """Runs that differ in case alone are learnt once, also in texts of other Latin-1 letters."""
+    encoder, asked = WordEncoder(tokenizer_path), []
+    learn, word = encoder._learn, encoder._word
+    encoder._learn = lambda runs: (asked.extend(runs), learn(runs))
+    encoder._word = lambda run: (asked.append(run), word(run))[1]
+    texts = ["Stone STONE stone. Stone. \u00c9t\u00e9, \u00c9T\u00c9,", "5 \u00b5m 20 \u00baC 1\u00aa \u00b5M \u00ba, IT'S it's"]
+    assert encoder.encode_all(texts) == [encoder._ids(t) for t in texts]
+    assert sorted(asked) == sorted(["stone", "\u00e9t\u00e9", "5", "\u00b5m", "20", "\u00bac", "1\u00aa", "\u00ba", "it's"])
+    assert set(encoder.table) == {*asked, "stone.", "\u00e9t\u00e9,", "\u00ba,", ".", ","}
+    for text in ("a<|STARTOFTEXT|> Stone <|startoftext|>", "Stone \u0130T'S \u03a3\u039f\u03a3 \u1e9e"):  # not folded before
+        assert encoder.encode_all([text]) == [encoder._ids(text)]
+
+
 def test_tables_are_bounded(tokenizer_path):
     """What a worker holds stays small beside an executor's memory, whatever the number of words."""
     encoder, letters = WordEncoder(tokenizer_path), str.maketrans("0123456789", "ghijklmnop")
