@@ -49,11 +49,40 @@ def _save_files(files: DataFrame, spark: SparkSession) -> str:
     return path
 
 
-def _json_list(rows: DataFrame, order: list[str], item, name: str, *group) -> DataFrame:
+def _json_lists(rows: DataFrame, order: list[str], item, name: str, *group) -> DataFrame:
     """name, content: one JSON list a group, its items in order."""
-    listed = rows.groupBy(*group) if group else rows.groupBy()
     items = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.to_json(item).alias("item")))), lambda x: x["item"])
-    return listed.agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("content")).withColumn("name", F.expr(name))
+    return rows.groupBy(*group).agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("content")).withColumn("name", F.expr(name))
+
+
+def _save_list(rows: DataFrame, order: list[str], item, path: str) -> str:
+    """The path of a file with one JSON list of all items, in order.  Tasks write a range of them each,
+    and the parts are put one after the other, so no row and no task's memory holds the list."""
+    spark, parts = rows.sparkSession, shared.fresh_path(rows.sparkSession, "parts")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, first = TaskContext.get().partitionId(), next((b for b in batches if b.num_rows), None)
+        if first is not None:
+            with shared.saving(f"{parts}/{part}") as out:
+                out.write(",".join(first.column(0).to_pylist()).encode())
+                for b in batches:
+                    for text in b.column(0).to_pylist():
+                        out.write(b"," + text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], ["part"])
+
+    texts = rows.select(*order, F.to_json(item).alias("item")).repartitionByRange(*order).sortWithinPartitions(*order, "item").select("item")
+    found = sorted(r.part for r in texts.mapInArrow(run, "part int").collect())
+    with shared.saving(path) as out:
+        out.write(b"[")
+        for k, part in enumerate(found):
+            out.write(b"," if k else b"")
+            shared.copy(f"{parts}/{part}", out)
+        out.write(b"]")
+    shared.remove(spark, parts)
+    return path
 
 
 # --- files ----------------------------------------------------------------------------------------
@@ -68,7 +97,7 @@ def _document_files(t) -> DataFrame:
         F.when(even, F.col("lang")).alias("title"), F.when(even, F.create_map(F.lit("lang"), "lang")).alias("metadata"),
     )
     rows = t("documents").withColumns({"part": F.floor(F.col("doc_id") / 100), "of": F.substring(F.md5("source"), 1, 8)})
-    lists = _json_list(rows, ["doc_id"], item, "concat('s', of, '-', part, '.json')", "of", "part")
+    lists = _json_lists(rows, ["doc_id"], item, "concat('s', of, '-', part, '.json')", "of", "part")
     page = F.to_json(F.struct(F.col("html").alias("text"), F.col("url").alias("title")))
     objects = t("pages").select(F.concat(F.lit("pages/page "), "page_id", F.lit(".json")).alias("name"), page.alias("content"))
     suffix = F.when(F.col("item_id") % 2 == 0, ".txt").otherwise(".md")
@@ -93,7 +122,7 @@ def _samples_file(t) -> str:
     third, half = (F.col("conv_id") + F.col("turn")) % 3 == 0, F.col("conv_id") % 2 == 0
     item = F.struct(F.when(third, F.concat(F.lit("c"), "conv_id", F.lit("t"), "turn")).alias("id"), F.col("truth").alias("query"), F.col("prediction").alias("answer"), F.when(half, F.lit("even")).alias("question_type"), F.when(half, F.array("truth")).alias("evidence_list"))
     pairs = _pairs(t)
-    return _save_files(_json_list(pairs, ["conv_id", "turn"], item, "'samples.json'"), pairs.sparkSession) + "/samples.json"
+    return _save_list(pairs, ["conv_id", "turn"], item, shared.fresh_path(pairs.sparkSession, "files") + "/samples.json")
 
 
 _SAMPLES_SQL = f"""(SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx FROM ({_PAIRS_SQL}))"""
@@ -119,7 +148,7 @@ def qa_samples_first(t):
 def _corpus_file(t) -> str:
     item = F.struct(F.when(F.col("page_id") % 5 != 0, F.col("url")).alias("url"), F.col("page_id").alias("id"), F.concat(F.lit("page "), "page_id").alias("title"), F.col("html").alias("body"), F.when(F.col("page_id") % 2 == 0, F.col("html")).alias("content"), F.col("url").alias("text"), F.lit("web").alias("source"))
     pages = t("pages")
-    return _save_files(_json_list(pages, ["page_id"], item, "'corpus.json'"), pages.sparkSession) + "/corpus.json"
+    return _save_list(pages, ["page_id"], item, shared.fresh_path(pages.sparkSession, "files") + "/corpus.json")
 
 
 @query("""SELECT CASE WHEN page_id % 5 <> 0 THEN substr(md5(url), 1, 12) ELSE 'doc_' || (row_number() OVER (ORDER BY page_id) - 1) END AS doc_id, html AS content, 'page ' || page_id AS title,
@@ -497,10 +526,10 @@ def command_line_benchmark(t):
     """The comparison of all methods from the command line; its reports read from their files."""
     b = t("benchmark")
     spark = b.sparkSession
-    samples = _json_list(b, ["item_id"], F.struct(F.col("text").alias("query"), F.lit("x").alias("answer")), "'samples.json'")
-    corpus = _json_list(b, ["item_id"], F.struct(F.concat(F.lit("http://item/"), "item_id").alias("url"), F.col("text").alias("body")), "'corpus.json'")
-    path, out = _save_files(samples.unionByName(corpus), spark), shared.fresh_path(spark, "results")
-    if cli.main(["benchmark", "--samples", f"{path}/samples.json", "--corpus", f"{path}/corpus.json", "--output-dir", out, "--max-samples", "10", "--no-cache"]):
+    path, out = shared.fresh_path(spark, "files"), shared.fresh_path(spark, "results")
+    samples = _save_list(b, ["item_id"], F.struct(F.col("text").alias("query"), F.lit("x").alias("answer")), f"{path}/samples.json")
+    corpus = _save_list(b, ["item_id"], F.struct(F.concat(F.lit("http://item/"), "item_id").alias("url"), F.col("text").alias("body")), f"{path}/corpus.json")
+    if cli.main(["benchmark", "--samples", samples, "--corpus", corpus, "--output-dir", out, "--max-samples", "10", "--no-cache"]):
         raise RuntimeError("the comparison was not made")
     found = None
     for method in config.METHODS:

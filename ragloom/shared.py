@@ -99,3 +99,18 @@ def load(uri: str) -> bytes:
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_file(path) as f:
         return f.read()
+
+
+def copy(uri: str, out) -> None:
+    """A file's bytes to an open one, some at a time."""
+    import shutil
+
+    if path := _local(uri):
+        with open(path, "rb") as f:
+            shutil.copyfileobj(f, out, 1 << 23)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        shutil.copyfileobj(f, out, 1 << 23)
