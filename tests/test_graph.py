@@ -212,3 +212,21 @@ def test_providers():
     e = HttpEmbedder("http://x", "m", dimension=1, batch=2)
     object.__setattr__(e, "_post", lambda path, body: {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]})
     assert e.embed(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]]
+
+
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    """Joins of nodes, edges and memberships are dealt out by key: none collects a side in the driver."""
+    plans, write = [], communities.written
+    monkeypatch.setattr(communities, "written", lambda df: plans.append(df) or write(df))
+    pairs = [(f"n{i:02}", f"n{j:02}") for i in range(12) for j in range(i) if (i < 6) == (j < 6) or i == 6]
+    rows = spark.createDataFrame([([k, 0], a, b, "r", "", "c") for k, (a, b) in enumerate(pairs)], "ord array<long>, source string, target string, relation string, description string, source_chunk_id string")
+    edges = write(graph.merge_relations(rows))
+    named = rows.select(F.col("source").alias("name"), F.lit("T").alias("entity_type"), F.col("target").alias("description"), "source_chunk_id", "ord")
+    nodes = write(graph.with_implicit_nodes(graph.merge_entities(named), edges))
+    membership = communities.detect(edges, 3)
+    tables = communities.community_tables(membership, edges, nodes)
+    plans += [graph.with_implicit_nodes(graph.merge_entities(named), edges), tables]
+    joins = [line for df in plans for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in j for j in joins) > 8
+    components_too_large = [j for j in joins if "BroadcastHashJoin" in j and "LeftAnti" in j]  # a name each
+    assert len(components_too_large) == 1 == sum("Broadcast" in j for j in joins)
